@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").select("v", "u").distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,25 +65,32 @@ def variants(fps: DataFrame, bits: int) -> DataFrame:
     return every.select(F.expr(f"((shiftrightunsigned(fp, {lo}) & {mask} & ~shiftleft(1L, bit - {lo})) * {BITS}) + bit").alias("key"), "fp")
 
 
-def classes(fps: DataFrame, bits: int = 4) -> DataFrame:
+def classes(fps: DataFrame, bits: int = 4, back: int = 4) -> DataFrame:
     """Columns fp, root for the fingerprints linked to another at `bits` or fewer differing bits: exact, with no cap.
 
-    Fingerprints that share a variant are first tied to the least of them where it is near enough, and
-    the components of these ties found. Then only variants whose holders still lie in several components
-    are looked at again, each holder outside the variant's commonest component against those of other
-    components. A dense group of near copies is thus joined by a star and not by all of its pairs.
+    Within a variant each holder is compared with the least one and with the `back` before it, which is all
+    there is to compare where back + 1 or fewer hold it, and which joins dense groups of near copies by stars
+    and chains and not by all of their pairs. Variants held by more are looked at again only while their
+    holders lie in several components: each holder outside the variant's commonest component is compared
+    with those of other components.
     """
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
     w = Window.partitionBy("key")
-    held = stash(variants(fps.select("fp").distinct(), bits).withColumn("n", F.count("*").over(w)).withColumn("other", F.min("fp").over(w)).where("n > 1").select("key", "fp", "other"))
-    first = cut(components(held.where(near & (F.col("fp") != F.col("other"))).select(F.col("fp").alias("a"), F.col("other").alias("b"))))
-    marked = held.select("key", "fp").join(first.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    ties = ["least", *[f"back{i}" for i in range(1, back + 1)]]
+    held = variants(fps.select("fp").distinct(), bits).withColumn("n", F.count("*").over(w)).where("n > 1")
+    held = held.withColumn("least", F.min("fp").over(w)).withColumns({f"back{i}": F.lag("fp", i).over(w.orderBy("fp")) for i in range(1, back + 1)})
+    tied = {t: F.coalesce(near("fp", t) & (F.col("fp") != F.col(t)), F.lit(False)) for t in ties}
+    held = stash(held.where((F.col("n") > back + 1) | reduce(lambda a, b: a | b, tied.values())))
+    links = reduce(DataFrame.union, [held.where(tied[t]).select(F.col("fp").alias("a"), F.col(t).alias("b")) for t in ties])
+    known = cut(components(links).select(F.col("node").alias("fp"), "root"))
+    marked = held.where(F.col("n") > back + 1).select("key", "fp").join(known.hint("merge"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = marked.withColumn("main", F.mode("root").over(w)).withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").select("key", "fp", "root", "main")
     rest = mixed.where("root <> main").select("key", F.col("fp").alias("other"), F.col("root").alias("other_root"))
-    more = mixed.hint("merge").join(rest.hint("merge"), "key").where(near & (F.col("root") != F.col("other_root"))).select(F.col("root").alias("a"), F.col("other_root").alias("b"))
-    second = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    both = first.select(F.col("node").alias("fp"), "root").join(second.hint("merge"), "root", "full").select(F.coalesce("fp", "root").alias("fp"), F.coalesce("top", "root").alias("root"))
-    return both.union(both.select(F.col("root").alias("fp"), "root")).groupBy("fp").agg(F.min("root").alias("root"))
+    more = mixed.hint("merge").join(rest.hint("merge"), "key").where(near("fp", "other") & (F.col("root") != F.col("other_root")))
+    joined = cut(components(more.select(F.col("root").alias("a"), F.col("other_root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    # A root may be a fingerprint without links so far; it enters the table here.
+    every = known.join(joined.hint("merge"), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    return every.union(joined.select(F.col("root").alias("fp"), F.col("top").alias("root"))).groupBy("fp").agg(F.min("root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
