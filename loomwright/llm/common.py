@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -57,43 +58,86 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Punctuation that ends a word after an ASCII letter or digit or a Latin-1 letter; the pre-tokenizer parts it from the word.
+ENDS = re.compile(rb"([.,!?;:])(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))([.,!?;:]*)(?=[\x20\x09-\x0D]|\Z)")
+
+
 class WordIds:
     """Token ids of whole texts, word by word, with a bounded memory of words already seen.
 
     The vocabulary's pre-tokenizer never lets a token cross white space and its normaliser never joins
-    characters across it, so a text's ids are the ids of its words in order. The library still encodes
-    every word that is not remembered; ids are kept as little-endian unsigned 32-bit bytes.
+    characters across it, so a text's ids are the ids of its words in order. It also always parts a letter
+    or digit from punctuation that ends the word, and lower-cases, so texts are first brought to that form
+    (not those with special strings, which are case-sensitive). The library encodes every word that is not
+    remembered, many in one call; ids are kept as little-endian unsigned 32-bit bytes. The memory has two
+    generations of at most MOST words each: a full one is set aside, and words met again come back.
     """
 
-    MOST, LONG = 300_000, 64
+    MOST, LONG = 200_000, 48
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        size = self.library.get_vocab_size()
+        self.closes = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.seen: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def fetch(self, words: list[bytes]) -> list[bytes]:
+    def encode(self, words: list[bytes], together: int = 200) -> dict[bytes, bytes]:
+        """Ids of each word from the library, which gets the words in lines. Words of letters alone end with the id that
+        closes a word; others are told apart by offsets."""
         import numpy as np
 
-        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def ids(self, data: bytes | None, piece: int = 1 << 20) -> bytes:
-        """The ids of one UTF-8 text; a very long text is taken about a megabyte of whole words at a time."""
-        out = []
-        for words in word_runs(data or b"", piece):
-            if missing := [w for w in set(words) if w not in self.seen]:
-                if len(self.seen) + len(missing) > self.MOST:
-                    self.seen = {}
-                    missing = list(set(words))
-                self.seen.update(zip(missing, self.fetch(missing), strict=True))
-            out.append(b"".join(map(self.seen.__getitem__, words)))
-            for w in missing:
-                if len(w) > self.LONG:
-                    del self.seen[w]
-        return b"".join(out)
+        out, letters, others = {}, [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            (letters if t.isalpha() else others).append((w, t))
+        lines = [letters[a : a + together] for a in range(0, len(letters), together)]
+        for line, e in zip(lines, self.library.encode_batch_fast(["\n".join([t for _, t in x]) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) != len(line):
+                others += line
+                continue
+            data, at = ids.tobytes(), 0
+            for (w, _), end in zip(line, ends.tolist(), strict=True):
+                out[w] = data[at:end]
+                at = end
+        for (w, _), e in zip(others, self.library.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def fetch(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        got = {w: self.old[w] for w in missing if w in self.old} if self.old else {}
+        got |= self.encode(sorted(missing - got.keys()))
+        if len(self.seen) + len(got) > self.MOST:
+            self.old, self.seen = self.seen, {}
+        self.seen.update(got if max(map(len, got), default=0) <= self.LONG else {w: v for w, v in got.items() if len(w) <= self.LONG})
+        return got
+
+    def many(self, texts: list[bytes | None], most: int = 200_000) -> list[bytes]:
+        """The ids of UTF-8 texts; about `most` words are held at a time, and a very long text is taken in pieces of whole words."""
+        done: list[list[bytes]] = [[] for _ in texts]
+        held, n = [], 0
+        for i, t in enumerate(texts):
+            if t and b"<|" not in t:
+                t = ENDS.sub(rb" \1\2", t.lower())
+            for words in word_runs(t or b"", 1 << 20):
+                held.append((i, words, list(map(self.seen.get, words))))
+                n += len(words)
+                if n > most:
+                    self._fill(held, done)
+                    held, n = [], 0
+        self._fill(held, done)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in done]
+
+    def _fill(self, held: list[tuple[int, list[bytes], list[bytes | None]]], done: list[list[bytes]]) -> None:
+        got = self.fetch({w for _, words, ids in held if None in ids for w, v in zip(words, ids, strict=True) if v is None})
+        for i, words, ids in held:
+            done[i].append(b"".join(ids if None not in ids else [got[w] if v is None else v for w, v in zip(words, ids, strict=True)]))
 
 
 def word_runs(data: bytes, piece: int = 1 << 20):

@@ -80,7 +80,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
 
         words = WordIds(path)
         for b in batches:
-            got = pa.array([words.ids(t) + end for t in b.column(1).to_pylist()], pa.binary())
+            got = pa.array([t + end for t in words.many(b.column(1).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=[id_col, "ids"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])

@@ -71,7 +71,8 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         words = WordIds(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            n = [spliced(words.library, t.decode("utf-8", "replace")) if t and len(t) > huge else len(words.ids(t)) // 4 for t in texts]
+            n = [len(x) // 4 for x in words.many([t if t and len(t) <= huge else None for t in texts])]
+            n = [spliced(words.library, t.decode("utf-8", "replace")) if t and len(t) > huge else k for t, k in zip(texts, n, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
