@@ -58,7 +58,7 @@ FROM {eval_items} i JOIN {user_turns} u ON i.conv_id = u.conv_id AND i.turn = u.
 
 
 def needs(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text)) if n in VIEWS or n in BASE]
 
 
 class Tables:
@@ -86,7 +86,7 @@ def oracle(body: str) -> str:
                     order.append(n)
 
     visit(body)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    plain = lambda s: re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in VIEWS or m[1] in BASE else m[0], s)
     ctes = [f"{n} AS ({plain(VIEWS[n])})" for n in order]
     body = plain(body).strip()
     recursive = body.upper().startswith("WITH RECURSIVE ")
