@@ -204,3 +204,9 @@ def accuracy_by(results: DataFrame, by: list[str], distance: str, width: float,
     """Share correct by keys and bucket of distance; distances past the last bucket fall in it."""
     b = F.least(F.floor(F.col(distance) / width), F.lit(buckets - 1)).cast("int")
     return results.groupBy(*by, b.alias("bucket")).agg(F.count("*").alias("n"), share(F.col("correct")).alias("accuracy"))
+
+
+def slot_labels(items: DataFrame, keys: list[str], cache: DataFrame, cache_keys: list[str], default: str) -> DataFrame:
+    """Distinct slot keys with their cached label, the default where there is none; the expensive labelling sees each key once."""
+    first = cache.groupBy(*cache_keys).agg(F.min("label").alias("label"))
+    return items.select(*keys).distinct().join(first, cache_keys, "left").select(*keys, F.coalesce("label", F.lit(default)).alias("label"))
