@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from itertools import compress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +59,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Punctuation that ends a word after an ASCII letter or digit or a Latin-1 letter; the pre-tokenizer parts it from the word.
-ENDS = re.compile(rb"([.,!?;:])(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))([.,!?;:]*)(?=[\x20\x09-\x0D]|\Z)")
+#: Punctuation (no apostrophe) that ends a word after an ASCII letter or digit or a Latin-1 letter; the pre-tokenizer parts it from the word.
+ENDS = re.compile(rb"([!-&(-/:-@\[-`{-~])(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))([!-&(-/:-@\[-`{-~]*)(?=[\x20\x09-\x0D]|\Z)")
 
 
 class WordIds:
@@ -70,7 +71,7 @@ class WordIds:
     or digit from punctuation that ends the word, and lower-cases, so texts are first brought to that form
     (not those with special strings, which are case-sensitive). The library encodes every word that is not
     remembered, many in one call; ids are kept as little-endian unsigned 32-bit bytes. The memory has two
-    generations of at most MOST words each: a full one is set aside, and words met again come back.
+    generations of about MOST words each: a full one is set aside, and words met again come back.
     """
 
     MOST, LONG = 200_000, 48
@@ -88,36 +89,29 @@ class WordIds:
 
     def encode(self, words: list[bytes], together: int = 200) -> dict[bytes, bytes]:
         """Ids of each word from the library, which gets the words in lines. Words of letters alone end with the id that
-        closes a word; others are told apart by offsets."""
+        closes a word; others are encoded one by one."""
         import numpy as np
 
-        out, letters, others = {}, [], []
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            (letters if t.isalpha() else others).append((w, t))
-        lines = [letters[a : a + together] for a in range(0, len(letters), together)]
-        for line, e in zip(lines, self.library.encode_batch_fast(["\n".join([t for _, t in x]) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+        if not words:
+            return {}
+        out: dict[bytes, bytes] = {}
+        texts = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        plain = list(map(str.isalpha, texts))
+        others = [(w, t) for w, t, p in zip(words, texts, plain, strict=True) if not p]
+        letters, words = list(compress(texts, plain)), list(compress(words, plain))
+        spans = range(0, len(letters), together)
+        for a, e in zip(spans, self.library.encode_batch_fast(["\n".join(letters[a : a + together]) for a in spans], add_special_tokens=False), strict=True):
+            ids, line = np.array(e.ids, "<u4"), words[a : a + together]
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
             if len(ends) != len(line):
-                others += line
+                others += zip(line, letters[a : a + together], strict=True)
                 continue
-            data, at = ids.tobytes(), 0
-            for (w, _), end in zip(line, ends.tolist(), strict=True):
-                out[w] = data[at:end]
-                at = end
+            data = ids.tobytes()
+            out.update(zip(line, [data[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
         for (w, _), e in zip(others, self.library.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
             out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def fetch(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        got = {w: self.old[w] for w in missing if w in self.old} if self.old else {}
-        got |= self.encode(sorted(missing - got.keys()))
-        if len(self.seen) + len(got) > self.MOST:
-            self.old, self.seen = self.seen, {}
-        self.seen.update(got if max(map(len, got), default=0) <= self.LONG else {w: v for w, v in got.items() if len(w) <= self.LONG})
-        return got
-
     def many(self, texts: list[bytes | None], most: int = 200_000) -> list[bytes]:
         """The ids of UTF-8 texts; about `most` words are held at a time, and a very long text is taken in pieces of whole words."""
         done: list[list[bytes]] = [[] for _ in texts]
@@ -126,7 +120,7 @@ class WordIds:
             if t and b"<|" not in t:
                 t = ENDS.sub(rb" \1\2", t.lower())
             for words in word_runs(t or b"", 1 << 20):
-                held.append((i, words, list(map(self.seen.get, words))))
+                held.append((i, words))
                 n += len(words)
                 if n > most:
                     self._fill(held, done)
@@ -134,10 +128,18 @@ class WordIds:
         self._fill(held, done)
         return [x[0] if len(x) == 1 else b"".join(x) for x in done]
 
-    def _fill(self, held: list[tuple[int, list[bytes], list[bytes | None]]], done: list[list[bytes]]) -> None:
-        got = self.fetch({w for _, words, ids in held if None in ids for w, v in zip(words, ids, strict=True) if v is None})
-        for i, words, ids in held:
-            done[i].append(b"".join(ids if None not in ids else [got[w] if v is None else v for w, v in zip(words, ids, strict=True)]))
+    def _fill(self, held: list[tuple[int, list[bytes]]], done: list[list[bytes]]) -> None:
+        every = set().union(*[words for _, words in held])
+        missing = every.difference(self.seen)
+        if len(self.seen) + len(missing) > self.MOST:
+            self.old, self.seen, missing = self.seen, {}, every
+        back = missing.intersection(self.old)
+        self.seen.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        self.seen.update(self.encode(sorted(missing - back)))
+        for i, words in held:
+            done[i].append(b"".join(map(self.seen.__getitem__, words)))
+        for w in [w for w in missing if len(w) > self.LONG]:
+            del self.seen[w]
 
 
 def word_runs(data: bytes, piece: int = 1 << 20):
