@@ -47,6 +47,16 @@ def unit(*cols: Column | str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(16**13))
 
 
+def bounded_sample(rows: DataFrame, most: int, key: str, seed: int) -> DataFrame:
+    """At most `most` rows, those with the least seeded hash of the key. Rows well above the expected threshold go before the
+    sort, so each partition sends about its share and not `most` rows."""
+    h = F.xxhash64(F.lit(seed), key)
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(h, F.lit(1 << 30)) < int((1.2 * most / n + 20 / n) * (1 << 30)))
+    return rows.orderBy(F.pmod(h, F.lit(1 << 30)), h, key).limit(most)
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs without ASCII white space); null counts as an empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

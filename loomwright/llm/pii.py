@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import cut
+from loomwright.llm.common import bounded_sample, cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the contract; an email's host is sought first and its name is read backwards from there.
@@ -161,7 +161,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     around spans come to the driver.
     """
     holds = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9]{3}|@"))
-    sample = holds.orderBy(F.xxhash64(F.lit(seed), "id", F.length("t")), "id").select("id", "t").limit(most_rows)
+    sample = bounded_sample(holds, most_rows, "id", seed).select("id", "t")
 
     def rewrite(batches):
         import pyarrow as pa
