@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import cut
+from loomwright.llm.common import bounded_sample, cut
 
 BUCKETS = 1 << 20
 TERM = re.compile(r"\w+")
@@ -103,10 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     id or label are left out. Without labels the machine gives every text the same low score.
     """
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_lw_id")).agg(F.max(F.col(label_col).cast("int")).alias("_lw_y"))
-    lab = cut(lab)
-    n = lab.count()
-    if n > most_rows:
-        lab = lab.orderBy(F.xxhash64(F.lit(seed), "_lw_id"), "_lw_id").limit(most_rows)
+    lab = cut(bounded_sample(cut(lab), most_rows, "_lw_id", seed))
     # At most most_rows rows of an id and a label: a bounded broadcast.
     rows = docs.select(F.col(id_col).alias("_lw_id"), F.col(text_col).alias("_lw_text")).join(F.broadcast(lab), "_lw_id").select("_lw_y", "_lw_text")
 
