@@ -76,7 +76,7 @@ query(
     "sink_06_report_table",
     f"""WITH s AS (SELECT DISTINCT system_id::VARCHAR AS system, CASE WHEN system_id < 10 THEN 0 ELSE 1 END AS group_pos, system_id AS pos, CASE WHEN system_id < 10 THEN 'plain' ELSE 'memory' END AS g FROM {{eval_big}}),
 v AS (SELECT system_id::VARCHAR AS system, round(avg(CASE WHEN {P} = 'remember_correct' THEN 1 ELSE 0 END), 6) AS v, round(avg(CASE WHEN {P} = 'not_remember' THEN 1 ELSE 0 END) - 0.3, 6) AS d FROM {{eval_big}} WHERE system_id <> 7 GROUP BY 1)
-SELECT group_pos, pos, s.system, CASE WHEN v.v IS NULL THEN '-' ELSE printf('%.2f (%+.2f)', round(v.v, 2), round(v.d, 2)) END AS cell FROM s LEFT JOIN v ON v.system = s.system UNION ALL SELECT group_pos, -1, min(g), '' FROM s GROUP BY 1 UNION ALL SELECT 999, 0, 'mean', printf('%.2f (%+.2f)', round(avg(v), 2), round(avg(d), 2)) FROM v""",
+SELECT group_pos, pos, s.system, CASE WHEN v.v IS NULL THEN '-' ELSE printf('%.2f (%+.2f)', round(v.v, 2) + 0.0, round(v.d, 2) + 0.0) END AS cell FROM s LEFT JOIN v ON v.system = s.system UNION ALL SELECT group_pos, -1, min(g), '' FROM s GROUP BY 1 UNION ALL SELECT 999, 0, 'mean', printf('%.2f (%+.2f)', round(avg(v), 2) + 0.0, round(avg(d), 2) + 0.0) FROM v""",
 )(
     lambda t: io.format_table(
         t.eval_big.where("system_id <> 7").groupBy(F.col("system_id").cast("string").alias("system")).agg(F.round(F.avg((F.col(P) == "remember_correct").cast("int")), 6).alias("v"), F.round(F.avg((F.col(P) == "not_remember").cast("int")) - 0.3, 6).alias("d")),

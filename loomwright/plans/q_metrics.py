@@ -43,7 +43,7 @@ x AS (SELECT *, coalesce(nullif(regexp_extract(u, '<FINAL_ANSWER>\\s*[\\(\\[]?\\
   CASE WHEN regexp_matches(u, '\\bA\\b') THEN 'A' END, CASE WHEN regexp_matches(u, '\\bB\\b') THEN 'B' END, CASE WHEN regexp_matches(u, '\\bC\\b') THEN 'C' END, '') AS choice FROM r),
 d AS (SELECT system_id, world, conv_id % 4 AS persona, qa_family, turn_role, CASE choice WHEN 'A' THEN 'not_remember' WHEN 'B' THEN 'remember_correct' WHEN 'C' THEN 'distractor_irrelevant' ELSE '' END AS predicted_answer_type FROM x)
 """
-    + vu_sql("d", "system_id", "persona,"),
+    + vu_sql("d", "system_id", "persona,").replace("{d}", "d"),
 )
 def flagship(t):
     types = F.create_map(*[F.lit(x) for x in ("A", S.REFUSED, "B", S.RECALLED, "C", S.DISTRACTED)])

@@ -111,7 +111,7 @@ def upsert_sections(current: DataFrame, updates: DataFrame, key: str) -> DataFra
 
 def format_table(values: DataFrame, systems: DataFrame, value: str, delta: str) -> DataFrame:
     """Report rows: a header row per group, systems in their fixed order with 'v (+d)' or a dash, and a mean row at the end."""
-    two = lambda v, d: F.format_string("%.2f (%+.2f)", F.round(v, 2), F.round(d, 2))
+    two = lambda v, d: F.format_string("%.2f (%+.2f)", F.round(v, 2) + F.lit(0.0), F.round(d, 2) + F.lit(0.0))
     cell = F.when(F.col(value).isNotNull(), two(value, delta)).otherwise("-")
     body = systems.join(values, "system", "left").select("group_pos", "pos", "system", cell.alias("cell"))
     head = systems.groupBy("group_pos").agg(F.first("group").alias("system")).select("group_pos", F.lit(-1).alias("pos"), "system", F.lit("").alias("cell"))
