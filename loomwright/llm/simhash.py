@@ -103,7 +103,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = fp.groupBy("fp").agg(F.min(id_col).alias("rep"))
     root = cut(classes(ids, bits))
     reps = ids.join(root.hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = reps.select("fp", F.min("rep").over(Window.partitionBy("root")).alias("component_id"))
+    least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = reps.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
     return fp.join(named.hint("merge"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
