@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.indexing import global_index
+
 
 def task_table(items: DataFrame) -> DataFrame:
     """One row per question: whole items as they are, slot items from each element of slots."""
@@ -110,7 +112,7 @@ def mix_distractors(blocks: DataFrame, pool: DataFrame, who: str, per_block: int
 
     A draw is the number of a pool row, so sessions come by an equi-join on it and no block meets the whole pool.
     """
-    numbered = pool.withColumn("no", F.row_number().over(Window.orderBy("doc_id")))
+    numbered = global_index(pool, ["doc_id"], "no")
     n = pool.count()
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), who, "block", "slot")), 1, 12), 16, 10).cast("long") % F.lit(max(n, 1)) + 1
     want = blocks.select(who, "block", F.explode(F.sequence(F.lit(0), F.lit(per_block - 1))).alias("slot")).withColumn("no", pick)

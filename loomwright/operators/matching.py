@@ -161,8 +161,11 @@ def later_occurrence(rows: DataFrame, keys: list[str], stage: str) -> DataFrame:
 
 def allocate(ids: DataFrame, pool: DataFrame, mapping: DataFrame, seed: int = 1) -> DataFrame:
     """Pool rows for ids: mapped ones keep theirs, the others take unused rows in a hashed order; columns id, row."""
-    new = ids.join(mapping, "id", "left_anti").withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(f"i{seed}"), "id")), "id")))
-    free = pool.join(mapping, "row", "left_anti").withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(f"r{seed}"), "row")), "row")))
+    from loomwright.operators.indexing import global_index
+
+    drawn = lambda df, col: df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(f"{col[0]}{seed}"), col)))
+    new = global_index(drawn(ids.join(mapping, "id", "left_anti"), "id"), ["_h", "id"]).drop("_h")
+    free = global_index(drawn(pool.join(mapping, "row", "left_anti"), "row"), ["_h", "row"]).drop("_h")
     return mapping.join(ids, "id", "left_semi").select("id", "row").unionByName(new.join(free, "k").select("id", "row"))
 
 

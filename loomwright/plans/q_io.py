@@ -118,6 +118,21 @@ def str_02b(t):
 
 FOLD = "WITH l AS (SELECT user_id, mem_id, arg_max(action, seq) AS a, arg_max(value, seq) AS value, max(seq) AS last_seq FROM {store_log} WHERE action <> 'NONE' GROUP BY ALL) SELECT user_id, mem_id, value, last_seq FROM l WHERE a <> 'DELETE'"
 query("str_03_fold_actions", FOLD)(lambda t: streams.fold_batch(t.store_log, "user_id", "mem_id", "seq", "value"))
+
+
+@query("str_03b_fold_stream", FOLD)
+def str_03b(t):
+    """The fold by state; the state processor needs the RocksDB store, which is set for this run and then set back."""
+    key, path = "spark.sql.streaming.stateStore.providerClass", scratch(t, "fold")
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s = streams.fold_stream(as_stream(t, t.store_log.select("seq", "user_id", "mem_id", "action", "value"), "str03", 1), "user_id", "mem_id", "seq", "value")
+        return streams.run_to_table(s, f"fold_{uuid.uuid4().hex}", "update", path)
+    finally:
+        t.spark.conf.set(key, before)
+
+
 query("str_04_tumbling_rates", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, avg((value > 20)::INT) AS rate FROM events GROUP BY ALL")(lambda t: streams.windowed_rates(t.events, "ts", F.col("value") > 20, "1 day", by=["event_type"]))
 query("str_04b_sliding_rates", "SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS start, count(*) AS n, avg((value > 20)::INT) AS rate FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL")(lambda t: streams.windowed_rates(t.events, "ts", F.col("value") > 20, "1 day", "6 hours"))
 query("str_04c_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s")(

@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions import scoring, text
+import loomwright.plans.q_joins
+import loomwright.plans.q_lines
+import loomwright.plans.q_metrics  # noqa: F401
 from loomwright.operators import lines, longctx, matching, similarity
 from loomwright.plans.catalog import QUERIES
 from loomwright.plans.views import Tables
@@ -137,8 +140,8 @@ def test_fold_stream_equals_batch(spark, small, tmp_path):
     try:
         src = str(tmp_path / "log")
         log.repartitionByRange(1, "seq").write.parquet(src)
-        out = streams.fold_stream(streams.read_files(spark, src, log.schema), "user_id", "mem_id", "seq", "value")
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        out = streams.fold_stream(streams.read_files(spark, src, log.schema), "user_id", "mem_id", "seq", "value")
         got = streams.run_to_table(out, "folded", "update", str(tmp_path / "cp")).collect()
     except Exception as e:  # the state server needs packages that an installation may lack
         if "protobuf" in str(e).lower() or "grpc" in str(e).lower():
@@ -170,6 +173,15 @@ def test_same_under_any_number_of_partitions(name, spark, small):
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_global_index(spark):
+    from loomwright.operators.indexing import global_index
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x")).repartition(9)
+    got = {r.x: r.k for r in global_index(df, ["x"]).collect()}
+    assert got == {x: i + 1 for i, x in enumerate(sorted(got))} and len(got) == 1000
+    assert global_index(df.limit(0), ["x"]).count() == 0
+
+
 def test_empty_tables(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert lines.merge_roles(turns).count() == lines.page_pairs(turns).count() == lines.transcript(turns).count() == 0
