@@ -7,30 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwright.llm import mixing, packing, pii, simhash, toxicity
 from loomwright.llm.common import stash
+from loomwright.plans.shipping import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold, by a machine learned from the labels of this table's documents."""
+    ship(spark)
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    ship(spark)
     return simhash.keep_first(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by the names of its kinds."""
+    ship(spark)
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate asks for."""
+    ship(spark)
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    ship(spark)
     return packing.pack(docs)
 
 
