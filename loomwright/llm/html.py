@@ -42,13 +42,15 @@ class Node:
 
 
 def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The generalised step of a path (tag and classes without digits), whether it is furniture, whether it names the article."""
+    """The generalised step of a path (tag and classes, or else its id, with digits as #), whether it is furniture, whether it names the article."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if attrs else {}
     names = [GAP.sub("", re.sub(r"\d+", "#", c)) for c in found.get("class", "").split()]
     said = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower()
     words = set(re.split(r"[^a-z]+", re.sub(r"\b(?:no|has|with|without)[-_]\w+", "", said)))
     away = tag in DROP or bool(words & (SMALL if tag == "article" else AWAY)) and tag not in ("main", "body", "html")
     away = away or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+    if not names and (name := re.sub(r"\d+", "#", GAP.sub("", found.get("id", "")))):
+        return f"{tag}#{name}", away, tag in ("article", "main") or bool(words & HOME)
     return ".".join([tag, *sorted(names)[:4]]), away, tag in ("article", "main") or bool(words & HOME)
 
 
@@ -185,7 +187,10 @@ def extract(page: str, paths: list[str]) -> str:
         own = scores(nodes)
         path = max(own, key=lambda p: (own[p], p)) if own else None
         chosen = [x for x in nodes if x.path == path and x.tag in CONTAINER and not x.away] if own else nodes[:1]
-    text = "\n".join(t for x in chosen for t, _ in blocks(x))
+    parts = [blocks(x) for x in chosen]
+    # Of several containers on one path, those that are mostly links are lists of links and not the article.
+    plain = [b for b in parts if 2 * sum(n for _, n in b) <= sum(len(t) for t, _ in b)]
+    text = "\n".join(t for b in plain or parts for t, _ in b)
     return text or "\n".join(t for t, _ in blocks(nodes[0]))
 
 
