@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,14 +106,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def group_job(t):
         import pyarrow as pa
 
-        ids, keys, group = t.column("ids"), t.column(id_col), t.column("_lw_group")[0].as_py()
-        order = sorted(range(len(ids)), key=lambda i: (len(ids[i].as_buffer()), str(keys[i].as_py()), ids[i].as_py()))
-        lengths = [len(ids[i].as_buffer()) // 4 for i in order]
+        ids, names, group = t.column("ids"), list(map(str, t.column(id_col).to_pylist())), t.column("_lw_group")[0].as_py()
+        data = [x.as_buffer() for x in ids]
+        order = sorted(range(len(data)), key=lambda i: (len(data[i]), names[i], zlib.crc32(data[i])))
+        lengths = [len(data[i]) // 4 for i in order]
         rows = []
         for s, pieces in enumerate(place(lengths, room)):
             at = 0
             for i, start, n in pieces:
-                rows.append((order[i], start, n, lengths[i], (group << 32) + s, at, ids[order[i]].as_buffer()[4 * start : 4 * (start + n)].to_pybytes()))
+                rows.append((order[i], start, n, lengths[i], (group << 32) + s, at, data[order[i]][4 * start : 4 * (start + n)].to_pybytes()))
                 at += n
         cols = list(zip(*rows, strict=True))
         return pa.table([t.column(id_col).take(pa.array(cols[0])), *[pa.array(c, pa.int64()) for c in cols[1:6]], pa.array(cols[6], pa.binary())], names=[f.name for f in fields])
