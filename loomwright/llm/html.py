@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,7 +211,9 @@ def votes(pages: DataFrame, host: str, html_col: str = "html", keep: int = 3) ->
 
     cast = pages.select(F.col(host).alias("host"), html_col).mapInArrow(each, "host string, path string, share double")
     summed = cast.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("score"))
-    ranked = summed.groupBy("host").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", "path")))), 1, keep).alias("best"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), F.desc("path")))
+    best = summed.withColumn("place", place).where(F.col("place") <= keep)
+    ranked = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("best"))
     return ranked.select(F.col("host").alias("_lw_h"), F.col("best.path").alias("_lw_paths"))
 
 
