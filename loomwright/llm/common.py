@@ -57,6 +57,13 @@ def bounded_sample(rows: DataFrame, most: int, key: str, seed: int) -> DataFrame
     return rows.orderBy(F.pmod(h, F.lit(1 << 30)), h, key).limit(most)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in slices of a few rows, so a worker holds few texts as Python values at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs without ASCII white space); null counts as an empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import cut
+from loomwright.llm.common import cut, slices
 
 #: Fixed values of HTML: elements without an end tag, elements whose content is no markup, and elements that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,7 +200,7 @@ def votes(pages: DataFrame, host: str, html_col: str = "html", keep: int = 3) ->
     def each(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = scores(parse(page)) if page else {}
@@ -233,7 +233,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def each(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             text = [extract(p, w or []) if p else "" for p, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.llm.common import slices
+
 #: Public wordings by which licences are announced, by SPDX name. <...> stands for any words.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -107,7 +109,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def each(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = [(i, n) for i, t in enumerate(b.column(1).to_pylist()) for n in notices(t, held)]
             cols = [pa.array([n[f] for _, n in rows], pa.string() if t == "string" else pa.int32()) for f, t in fields]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in rows], pa.int32())), *cols], names=[id_col, *[f for f, _ in fields]])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import WordIds, vocabulary
+from loomwright.llm.common import WordIds, slices, vocabulary
 
 
 class Bins:
@@ -80,7 +80,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
         import pyarrow as pa
 
         words = WordIds(path)
-        for b in batches:
+        for b in slices(batches):
             got = pa.array([t + end for t in words.many(b.column(1).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=[id_col, "ids"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import bounded_sample, cut
+from loomwright.llm.common import bounded_sample, cut, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the contract; an email's host is sought first and its name is read backwards from there.
@@ -166,7 +166,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     def rewrite(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rng = random.Random(f"{seed}:{key}")
@@ -209,7 +209,7 @@ def find(docs: DataFrame, keep: list[str], judge: Judge, text_col: str = "text")
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         listed = lambda spans: [{"kind": k, "start": a, "end": e} for k, a, e in sorted(spans, key=lambda s: (order[s[0]], s[1]))]
-        for b in batches:
+        for b in slices(batches):
             base, more = [], []
             for t in b.column(len(keep)).to_pylist():
                 spans = base_spans(t) if t else []
@@ -258,7 +258,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     def each(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             new = pa.array([clean(t) if t else t for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], names=names)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import cut, stash, word_runs
+from loomwright.llm.common import cut, slices, stash, word_runs
 from loomwright.llm.components import components
 
 BITS = 64
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", size:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, size) for t in b.column(len(keys)).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(fp)], names=[*keys, "fp"])
 

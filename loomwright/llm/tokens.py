@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import WordIds, vocabulary
+from loomwright.llm.common import WordIds, slices, vocabulary
 
 STABLE = frozenset(" \t\n\x0b\x0c\r")
 
@@ -69,7 +69,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         import pyarrow as pa
 
         words = WordIds(path)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             n = [len(x) // 4 for x in words.many([t if t and len(t) <= huge else None for t in texts])]
             n = [spliced(words.library, t.decode("utf-8", "replace")) if t and len(t) > huge else k for t, k in zip(texts, n, strict=True)]

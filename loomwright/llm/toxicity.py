@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import bounded_sample, cut
+from loomwright.llm.common import bounded_sample, cut, slices
 
 BUCKETS = 1 << 20
 TERM = re.compile(r"\w+")
@@ -32,7 +32,7 @@ class Reader:
         out: set[int] = set()
         if text:
             seen = self.seen
-            if len(seen) > 300_000:
+            if len(seen) > 150_000:
                 seen.clear()
             for w in set(TERM.findall(text.lower())):
                 got = seen.get(w)
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         reader = Reader()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([reader(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["y", "terms"])
 
     sparse = cut(rows.mapInArrow(read, "y int, terms array<int>"))
@@ -156,12 +156,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
         machine = shared.value
         reader, known = Reader(frozenset(machine.place)), {}
-        for b in batches:
+        for b in slices(batches):
             got = []
             for t in b.column(len(keep)).to_pylist():
                 found = tuple(reader(t))
                 if found not in known:
-                    if len(known) > 100_000:
+                    if len(known) > 20_000:
                         known.clear()
                     known[found] = machine.score(list(found))
                 got.append(known[found])
