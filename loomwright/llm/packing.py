@@ -119,7 +119,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         cols = list(zip(*rows, strict=True))
         return pa.table([t.column(id_col).take(pa.array(cols[0])), *[pa.array(c, pa.int64()) for c in cols[1:6]], pa.array(cols[6], pa.binary())], names=[f.name for f in fields])
 
-    return tokens.groupBy("_lw_group").applyInArrow(group_job, T.StructType(fields))
+    # As many partitions as the groups ask for, two to each, whatever number the session has for shuffles.
+    dealt = tokens.repartition(max(8, math.ceil(groups / 2)), "_lw_group")
+    return dealt.groupBy("_lw_group").applyInArrow(group_job, T.StructType(fields))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
