@@ -102,9 +102,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp = cut(fingerprints(docs, [id_col], text_col, size))
     ids = fp.groupBy("fp").agg(F.min(id_col).alias("rep"))
     root = cut(classes(ids, bits))
-    reps = ids.join(root.hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = reps.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
+    reps = cut(ids.join(root.hint("merge"), "fp", "left").select("fp", "rep", "root"))
+    # Fingerprints without links name themselves; for the others the least id of a component is found first and then joined,
+    # so that both sides of the join are plain shuffles, which Spark splits where a component is large.
+    least = cut(reps.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least")))
+    named = reps.join(least.hint("merge"), "root", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return fp.join(named.hint("merge"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
