@@ -81,9 +81,9 @@ def violation_utility(items: DataFrame, record: list[str], system: str = "system
 
 
 def with_mean_row(table: DataFrame, key: str, label: str = "mean") -> DataFrame:
-    """The table with its key as text and one more row holding the mean of every other column."""
+    """The table with its key as text and one more row holding the mean of every other column, to six places."""
     cols = [c for c in table.columns if c != key]
-    mean = table.agg(*[F.round(F.avg(c), 9).alias(c) for c in cols]).select(F.lit(label).alias(key), *cols)
+    mean = table.agg(*[F.round(F.avg(c), 6).alias(c) for c in cols]).select(F.lit(label).alias(key), *cols)
     return table.withColumn(key, F.col(key).cast("string")).unionByName(mean)
 
 

@@ -105,7 +105,7 @@ query("agg_11_violation_utility", VU)(lambda t: M.violation_utility(t.eval_big,
 VALS = [f"{w}_{m}" for w in M.WORLDS for m in ("utility", "violation")] + [f"{w}_delta" for w in M.WORLDS[1:]]
 query(
     "agg_11b_violation_utility_mean_row",
-    f"WITH v AS ({VU}) SELECT system_id::VARCHAR AS system_id, {', '.join(VALS)} FROM v UNION ALL SELECT 'mean', {', '.join(f'round(avg({c}), 9)' for c in VALS)} FROM v",
+    f"WITH v AS ({VU}) SELECT system_id::VARCHAR AS system_id, {', '.join(VALS)} FROM v UNION ALL SELECT 'mean', {', '.join(f'round(avg({c}), 6)' for c in VALS)} FROM v",
 )(lambda t: M.with_mean_row(M.violation_utility(t.eval_big, ["persona", "ask_stage"]), "system_id"))
 query("agg_12_violation_utility_split", vu_sql("eval_big", "system_id", "persona, ask_stage,", "qa_family,").replace("ask_stage, qa_family, avg(CASE", "ask_stage, avg(CASE").replace("persona, ask_stage, qa_family, avg(CASE", "persona, ask_stage, avg(CASE"))(
     lambda t: M.violation_utility(t.eval_big, ["persona", "ask_stage"], by=["qa_family"])
