@@ -1 +1 @@
-
+"""Column expressions and hooks for user functions."""

@@ -83,10 +83,8 @@ def descendants(edges: DataFrame, child: str, parent: str, depth: int = 1000) ->
     Works in doubling steps: the paths of length up to 2^k are joined with themselves, so a chain of n takes
     about log n joins. Cycles end because a pair keeps its shortest distance and a node is not its own ancestor.
     """
-    from pyspark import StorageLevel
-
     paths = edges.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(child))).groupBy(F.col(child).alias("descendant")).agg(F.max(parent).alias("ancestor")).withColumn("distance", F.lit(1))
-    paths = _cut(paths.persist(StorageLevel.MEMORY_AND_DISK))
+    paths = _cut(paths)
     n, done = paths.count(), 1
     while done < depth:
         step = paths.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))

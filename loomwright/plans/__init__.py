@@ -1 +1 @@
-
+"""Views, the registry, and the registered queries."""

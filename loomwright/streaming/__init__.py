@@ -1 +1 @@
-
+"""Structured Streaming over traces and logs."""
