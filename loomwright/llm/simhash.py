@@ -110,18 +110,131 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(named.hint("merge"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
+def shingles(data: bytes | None, size: int = 5, seed: int = 42):
+    """The distinct XXH64 of one UTF-8 text's shingles of words, A-Z lower-cased, in ascending order; a shorter text is one shingle."""
+    import numpy as np
+    from xxhash import xxh64_intdigest as xxh
+
+    out, tail, n = [], [], 0
+    for words in word_runs(data or b"", 1 << 20):
+        words = tail + words
+        if len(words) >= size:
+            line = b" ".join(words).lower()
+            length = np.fromiter(map(len, words), np.int64, len(words))
+            end = np.cumsum(length + 1) - 1
+            view = memoryview(line)
+            out.append(np.unique(np.array([xxh(view[a:b], seed) for a, b in zip((end - length)[: len(words) - size + 1].tolist(), end[size - 1 :].tolist(), strict=True)], np.uint64)))
+            n += 1
+        tail = words[-(size - 1) :] if size > 1 else []
+    if not n:
+        return np.array([xxh(b" ".join(tail).lower(), seed)], np.uint64)
+    return out[0] if n == 1 else np.unique(np.concatenate(out))
+
+
+def shingle_sets(docs: DataFrame, keys: list[str], text_col: str = "text", size: int = 5, whole: bool = True) -> DataFrame:
+    """The key columns and fp, a hash of the text's set of shingles, of each row; with whole also n, the set's size, and set, its hashes as signed longs."""
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest as xxh
+
+        for b in slices(batches):
+            sets = [shingles(t, size) for t in b.column(len(keys)).to_pylist()]
+            fp = pa.array(np.array([xxh(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+            n = np.fromiter(map(len, sets), np.int32, len(sets))
+            more = [pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))] if whole else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], fp, *more], names=[*keys, "fp", *(["n", "set"] if whole else [])])
+
+    fields = [T.StructField("fp", T.LongType()), *([T.StructField("n", T.IntegerType()), T.StructField("set", T.ArrayType(T.LongType()))] if whole else [])]
+    schema = T.StructType([*[T.StructField(k, docs.schema[k].dataType) for k in keys], *fields])
+    return docs.select(*keys, F.col(text_col).cast("binary").alias("_lw_text")).mapInArrow(each, schema)
+
+
+def common_shingles(sets: DataFrame, least: int = 10, sampled: int = 20_000, most: int = 100_000) -> list[int]:
+    """Shingles that many sets of a sample hold. They only set the order in which shingles are taken, so the sample changes costs and no link."""
+    n = sets.count()
+    some = sets.where(F.pmod("fp", F.lit(1 << 30)) < int(min(1.0, sampled / max(n, 1)) * (1 << 30))) if n > sampled else sets
+    often = some.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    return [r.h for r in often.orderBy(F.desc("k"), "h").limit(most).select("h").collect()]
+
+
+def heads(sets: DataFrame, common: list[int], tenths: int) -> DataFrame:
+    """Columns key, fp, n: of each set the first n - ceil(share * n) + 1 shingles, common ones last. Two sets with a Jaccard
+    similarity of the share or more have one of these in common, whatever the order."""
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        late = np.unique(np.array(common, np.int64))
+        for b in slices(batches):
+            fp, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            take = n - (n.astype(np.int64) * tenths + 9) // 10 + 1
+            parts = []
+            for x, k in zip(b.column(2), take.tolist(), strict=True):
+                x = x.values.to_numpy()
+                back = np.isin(x, late)
+                parts.append(np.concatenate([x[~back], x[back]])[:k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])), pa.array(np.repeat(fp, take)), pa.array(np.repeat(n, take))], names=["key", "fp", "n"])
+
+    return sets.select("fp", "n", "set").mapInArrow(each, "key long, fp long, n int")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Of the distinct pairs a, b those whose sets have a Jaccard similarity of tenths / 10 or more."""
+    one = pairs.select("a", "b").distinct().join(sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("set").alias("a_set")).hint("merge"), "a")
+    both = one.join(sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("set").alias("b_set")).hint("merge"), "b")
+    shared = both.select("a", "b", (F.col("an") + F.col("bn")).alias("sum"), F.size(F.array_intersect("a_set", "b_set")).alias("shared"))
+    return shared.where(10 * F.col("shared") >= tenths * (F.col("sum") - F.col("shared"))).select("a", "b")
+
+
+def set_classes(sets: DataFrame, tenths: int = 8, back: int = 4) -> DataFrame:
+    """Columns fp, root for the sets linked to another at a Jaccard similarity of tenths / 10 or more: exact, with no cap.
+
+    As in classes(): within a shingle each holder is compared with the least one and with the `back` before it, and
+    where more than back + 1 hold it and lie in several components, each holder outside the commonest with those of others.
+    """
+    near = lambda x, y: (10 * F.least(x, y) >= tenths * F.greatest(x, y))
+    w = Window.partitionBy("key")
+    order = w.orderBy("n", "fp")
+    held = heads(sets, common_shingles(sets), tenths).withColumn("k", F.count("*").over(w)).where("k > 1")
+    me = F.struct("n", "fp")
+    held = stash(held.withColumn("least", F.min(me).over(w)).withColumns({f"back{i}": F.lag(me, i).over(order) for i in range(1, back + 1)}))
+    ties = ["least", *[f"back{i}" for i in range(1, back + 1)]]
+    met = held.select("fp", "n", F.explode(F.array(*ties)).alias("t")).where(F.col("t").isNotNull() & (F.col("t.fp") != F.col("fp")) & near(F.col("t.n"), F.col("n")))
+    links = alike(met.select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b")), sets, tenths)
+    known = cut(components(links).select(F.col("node").alias("fp"), "root"))
+    marked = held.where(F.col("k") > back + 1).select("key", "fp", "n").join(known.hint("merge"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    mixed = marked.withColumn("main", F.mode("root").over(w)).withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").select("key", "fp", "n", "root", "main")
+    rest = mixed.where("root <> main").select("key", F.col("fp").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    meet = mixed.hint("merge").join(rest.hint("merge"), "key").where((F.col("root") != F.col("other_root")) & near(F.col("n"), F.col("other_n")))
+    more = alike(meet.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")), sets, tenths)
+    # Links of both rounds together; those of the first stand as its components.
+    return components(known.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(more)).select(F.col("node").alias("fp"), "root")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, tenths: int = 8) -> DataFrame:
     """The documents, one of each group of near-duplicates: the smallest id (null last), then the smallest text hash.
 
-    Of rows repeating both id and text one stays. Columns stay as they were; an empty table gives none.
+    Near-duplicates are texts whose sets of shingles of `size` words have a Jaccard similarity of tenths / 10 or more,
+    and all that are reached over such links. Null and blank texts are alike. Of rows repeating both id and text one stays.
+    Columns stay as they were; an empty table gives none.
     """
     keyed = docs.withColumn("_lw_hash", F.xxhash64(text_col))
-    fp = cut(fingerprints(keyed, [id_col, "_lw_hash"], text_col, size).groupBy(id_col, "_lw_hash", "fp").agg(F.count("*").alias("n")))
-    ids = fp.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_lw_hash").alias("h"), "n")).alias("rep"))
-    root = cut(classes(ids, bits))
+    fp = cut(shingle_sets(keyed, [id_col, "_lw_hash"], text_col, size, whole=False).groupBy(id_col, "_lw_hash", "fp").agg(F.count("*").alias("n")))
+    ids = cut(fp.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_lw_hash").alias("h"), "n")).alias("rep")))
+    repeated = not ids.where("rep.n > 1").isEmpty()
+
+    def chosen(reps):
+        named = reps.select(F.col("rep.id").alias("_lw_id"), F.col("rep.h").alias("_lw_h"))
+        return keyed.join(named.hint("merge"), keyed[id_col].eqNullSafe(F.col("_lw_id")) & (F.col("_lw_hash") == F.col("_lw_h")), "left_semi")
+
+    # One text of each set of shingles: exact copies meet no others.
+    sets = shingle_sets(chosen(ids), [], text_col, size)
+    root = cut(set_classes(stash(sets.dropDuplicates(["fp"]) if repeated else sets), tenths))
     reps = ids.join(root.hint("merge"), "fp", "left").select("rep", F.coalesce("root", "fp").alias("root"))
-    chosen = cut(reps.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("_lw_id"), F.col("rep.h").alias("_lw_h"), "rep.n"))
-    out = keyed.join(chosen.drop("n").hint("merge"), keyed[id_col].eqNullSafe(F.col("_lw_id")) & (F.col("_lw_hash") == F.col("_lw_h")), "left_semi")
-    if not chosen.where("n > 1").isEmpty():
+    out = chosen(cut(reps.groupBy("root").agg(F.min("rep").alias("rep"))))
+    if repeated:
         out = out.dropDuplicates([id_col, "_lw_hash"])
     return out.drop("_lw_hash")

@@ -103,3 +103,37 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_sets(text, size=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def test_stage_links_at_similarity_of_shingles(frame):
+    rng = random.Random(7)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for _ in range(12):
+            words = list(words)
+            for _ in range(rng.randrange(1, 6)):
+                words[rng.randrange(200)] = f"n{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(words)))
+    line = "one line that very many of the texts hold in the middle of their own words "
+    rows += [(len(rows) + i, f"a{i} b{i} c{i} {line} d{i}") for i in range(60)]
+    sets = {i: plain_sets(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id for r in simhash.keep_first(frame(rows)).collect()}
+    assert got == {i for i in sets if find(i) == i}
