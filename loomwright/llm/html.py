@@ -29,7 +29,9 @@ HOME = frozenset("article content main post entry story body text page".split())
 CONTAINER = frozenset("article main section div td body".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its name, then a quoted or bare value.
+ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+SAYS = frozenset("class id role style hidden aria-hidden".split())
 GAP = re.compile(r"\s+")
 
 
@@ -43,7 +45,10 @@ class Node:
 
 def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """The generalised step of a path (tag and classes, or else its id, with digits as #), whether it is furniture, whether it names the article."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if attrs else {}
+    found: dict[str, str] = {}
+    for m in ATTR.finditer(attrs or ""):
+        if (name := m[1].lower()) in SAYS:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
     names = [GAP.sub("", re.sub(r"\d+", "#", c)) for c in found.get("class", "").split()]
     said = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower()
     words = set(re.split(r"[^a-z]+", re.sub(r"\b(?:no|has|with|without)[-_]\w+", "", said)))

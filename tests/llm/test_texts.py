@@ -242,3 +242,15 @@ def test_toxicity_edges(spark, frame):
     assert toxicity.toxicity(docs, labels).count() == 5
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.clean(docs, labels).columns == docs.columns
+
+
+@pytest.mark.parametrize("attrs", ['href="/hidden-valley"', 'title="the hidden city"', 'data-hidden="false"', 'href="/p?id=ad-server"', 'data-role="navigation"', "title='class=ad'", "href=/a?class=sidebar"])
+def test_main_text_reads_attribute_names(attrs):
+    page = f"<html><body><article><p>Before it <a {attrs}>the words of a link</a> and after it.</p></article></body></html>"
+    assert html.extract(page, []) == "Before it the words of a link and after it."
+    assert html.describe("div", f' {attrs} class="text" id=a1 ') == ("div.text", False, True)
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", 'a="b"hidden', "aria-hidden = true", "role='navigation'", "class=ad", 'style="x: y; display : none"', 'id="sidebar" id="text"'])
+def test_main_text_leaves_out_what_is_marked(attrs):
+    assert html.describe("div", f" {attrs} ")[1]
