@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,9 @@ TEMPLATES: dict[str, list[str]] = {
 CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution|public domain|waived all|creative commons|SPDX"
 CUE_LINE = re.compile(CUE[4:], re.I)
 WORDS = re.compile(r"\w+(?:[.-]\w+)*")
+#: The same across line feeds: a word with a hyphen may be wrapped behind it, and the next line may begin as a comment does.
+WRAPPED = re.compile(r"\w+(?:[.-]\w+|-[ \t]*\r?\n[ \t*#/;>|!%-]*\w+)*")
+BREAK = re.compile(r"-[ \t]*\r?\n[ \t*#/;>|!%-]*")
 #: Words that carry the terms: if one is missing or stands where the template has none, it is another licence.
 TERMS = frozenset("not no non nc nd sa by gnu gpl lgpl affero lesser general mit apache bsd mozilla creative cc cc0 noncommercial sharealike attribution attribution-noncommercial attribution-sharealike by-nc by-sa by-nd by-nc-sa by-nc-nd 3-clause 2-clause 1 2 3 1.0 2.0 2.1 3.0 4.0".split())
 
@@ -54,46 +58,85 @@ def cost(text: bytes, template: bytes | None = None) -> int:
     return len(z.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, **how).compress(text))
 
 
-def difference(template: str, block: str) -> tuple[list[str], list[str], int]:
-    """Words of the template that the block lacks, words within the match that the template lacks, and words matched."""
-    a, b = words(template), words(block)
-    ops = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    same = [o for o in ops if o[0] == "equal"]
-    first, last = (same[0][3], same[-1][4]) if same else (0, 0)
-    missing = [w for o in ops if o[0] in ("delete", "replace") for w in a[o[1] : o[2]]]
-    extra = [w for o in ops if o[0] in ("insert", "replace") for j, w in enumerate(b[o[3] : o[4]], o[3]) if first <= j < last]
-    return missing, extra, sum(o[2] - o[1] for o in same)
-
-
-def notices(text: str, templates: dict[str, list[str]], most_words: int = 60, ranked: int = 4, share: float = 0.85) -> list[dict]:
+def tight(runs: list) -> list:
+    """Matching runs without those at the edges that lie further from the rest, in the block, than their own words and the template's between are worth."""
+    runs = [r for r in runs if r.size]
+    for _ in range(len(runs)):
+        if len(runs) < 2:
+            break
+        spare = lambda x, y, edge: (y.b - x.b - x.size) - (y.a - x.a - x.size) - edge.size
+        first, last = spare(runs[0], runs[1], runs[0]), spare(runs[-2], runs[-1], runs[-1])
+        if max(first, last) <= 0:
+            break
+        runs = runs[1:] if first >= last else runs[:-1]
+    return runs
+
+
+def confirmed(cands: list[tuple[str, str, str, list]], share: float, at: int, done: int) -> dict | None:
+    """Of candidate blocks (licence, template, block, its words as (word, start, end) within the text), the first, in order of the
+    share of bytes saved, whose words match; it must end behind `at` and start at `done` or later. All with a gain are tried."""
+    ranked = []
+    for name, template, block, part in cands:
+        mine, have = Counter(words(template)), Counter(w for w, _, _ in part)
+        # Fewer words in common, in any order, cannot be confirmed.
+        if sum((mine & have).values()) >= share * sum(mine.values()):
+            data = block.encode("utf-8", "replace")
+            plain = cost(data)
+            saved = plain - cost(data, template.encode())
+            ranked.append((saved / max(1, min(plain, cost(template.encode()))), name, template, saved, part))
+    for gain, name, template, saved, part in sorted(ranked, key=lambda x: x[:3], reverse=True):
+        if gain <= 0:
+            break
+        a, b = words(template), [w for w, _, _ in part]
+        runs = tight(difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        if not runs:
+            continue
+        same, met = {i for r in runs for i in range(r.a, r.a + r.size)}, {i for r in runs for i in range(r.b, r.b + r.size)}
+        missing = [w for i, w in enumerate(a) if i not in same]
+        extra = [b[i] for i in range(runs[0].b, runs[-1].b + runs[-1].size) if i not in met]
+        start, end = part[runs[0].b][1], part[runs[-1].b + runs[-1].size - 1][2]
+        if len(same) >= share * len(a) and not TERMS & {*missing, *extra} and len(extra) <= 0.3 * len(same) and start >= done and end > at:
+            return {"license": name, "start": start, "end": end, "saved": int(saved), "missing": " ".join(missing), "extra": " ".join(extra)}
+    return None
+
+
+def notices(text: str, templates: dict[str, list[str]], most_words: int = 60, share: float = 0.85) -> list[dict]:
     """Confirmed notices of one text: licence, start, end (code points), bytes saved and the words that differ.
 
-    A candidate block is a line with a cue, cut to windows of most_words words around each cue where the
-    line is long. Templates are ranked by how much of the block's packed size they save; of the best few
-    the first is confirmed that matches at least the share of its words with no difference in a word of TERMS.
+    A cue has two kinds of block: its line, cut to windows of most_words words around the cue where the line is long, and,
+    for notices that are wrapped, the words around it across line feeds, as far as each template is long. Templates are ranked
+    by how much of the block's packed size they save; the first is confirmed that matches at least the share of its words with
+    no difference in a word of TERMS. A wrapped notice takes the place of its own line's where it is longer and of the same licence.
     """
-    out, at = [], 0
+    out, at, done = [], 0, 0
+    longest = max((len(words(t)) for ts in templates.values() for t in ts), default=0)
     for line in text.split("\n"):
-        done = -1
         for cue in CUE_LINE.finditer(line):
-            if cue.start() < done:
+            here = at + cue.start()
+            if here < done:
                 continue
-            spots = [m for m in WORDS.finditer(line, max(0, cue.start() - 400), min(len(line), cue.end() + 1200))]
-            k = next((i for i, m in enumerate(spots) if m.end() > cue.start()), 0)
+            spots = [(m[0].lower(), at + m.start(), at + m.end()) for m in WORDS.finditer(line, max(0, cue.start() - 400), min(len(line), cue.end() + 1200))]
+            k = next((i for i, m in enumerate(spots) if m[2] > here), 0)
             part = spots[max(0, k - most_words // 2) : k + most_words]
-            a, b = part[0].start() if part else cue.start(), part[-1].end() if part else cue.end()
-            block = line[a:b]
-            plain = cost(block.encode("utf-8", "replace"))
-            saved = sorted(((plain - cost(block.encode("utf-8", "replace"), t.encode())) / max(1, min(plain, cost(t.encode()))), name, t) for name, ts in templates.items() for t in ts)[::-1]
-            for gain, name, template in saved[:ranked]:
-                missing, extra, n = difference(template, block)
-                if gain > 0 and n >= share * len(words(template)) and not TERMS & {*missing, *extra} and len(extra) <= 0.3 * n:
-                    mine = words(template)
-                    runs = difflib.SequenceMatcher(None, mine, [m[0].lower() for m in part], autojunk=False).get_matching_blocks()[:-1]
-                    s, e = part[runs[0].b].start(), part[runs[-1].b + runs[-1].size - 1].end()
-                    out.append({"license": name, "start": at + s, "end": at + e, "saved": int(plain - cost(block.encode("utf-8", "replace"), template.encode())), "missing": " ".join(missing), "extra": " ".join(extra)})
-                    done = e
-                    break
+            a, b = (part[0][1], part[-1][2]) if part else (here, at + cue.end())
+            found = confirmed([(name, t, text[a:b], part) for name, ts in templates.items() for t in ts], share, here, done)
+            # A cue may be any word of the template, and up to 0.3 of the words may stand between.
+            reach = 40 * longest + 1200
+            spots = [(BREAK.sub("-", m[0]).lower(), m.start(), m.end()) for m in WRAPPED.finditer(text, max(0, here - reach), min(len(text), here + reach))]
+            k = next((i for i, m in enumerate(spots) if m[2] > here), 0)
+            wide = []
+            for name, ts in templates.items():
+                for t in ts:
+                    m = len(words(t)) * 13 // 10 + 2
+                    part = [x for x in spots[max(0, k - m) : k + m] if x[1] >= done]
+                    if part and (found is None or name == found["license"]):
+                        wide.append((name, t, text[part[0][1] : part[-1][2]], part))
+            more = confirmed(wide, share, here, done)
+            if more and more["start"] <= here and (found is None or more["end"] - more["start"] > found["end"] - found["start"]):
+                found = more
+            if found:
+                out.append(found)
+                done = found["end"]
         at += len(line) + 1
     return out
 

@@ -254,3 +254,33 @@ def test_main_text_reads_attribute_names(attrs):
 @pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", 'a="b"hidden', "aria-hidden = true", "role='navigation'", "class=ad", 'style="x: y; display : none"', 'id="sidebar" id="text"'])
 def test_main_text_leaves_out_what_is_marked(attrs):
     assert html.describe("div", f" {attrs} ")[1]
+
+
+@pytest.mark.parametrize("before", ["", " * ", "# "])
+@pytest.mark.parametrize("width", [30, 50, 72])
+def test_licences_wrapped_over_lines(before, width):
+    import textwrap
+
+    for name, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            if not licenses.CUE_LINE.search(t):
+                continue
+            page = "Some prose.\n\n" + textwrap.indent(textwrap.fill(t, width), before) + "\n\nMore of it."
+            got = licenses.notices(page, licenses.TEMPLATES)
+            assert [(n["license"], n["missing"], n["extra"]) for n in got] == [(name, "", "")], t
+            assert licenses.words(page[got[0]["start"] : got[0]["end"]])[-1] == licenses.words(t)[-1]
+
+
+def test_licences_beyond_the_fourth_in_rank():
+    # Near templates save more bytes, but each has a term that the text lacks.
+    text = "This tool is licensed under the GNU General Public License, version 3."
+    near = {f"L{i}": [f"{text[:-1]}, not {w}."] for i, w in enumerate("one two six ten red".split())}
+    right = {"right": ["This work is licensed under the GNU General Public License, version 3."]}
+    assert [n["license"] for n in licenses.notices(text, {**near, **right})] == ["right"]
+
+
+def test_licences_wrapped_with_another_term():
+    for t in ("This work is licensed under the\nGNU Lesser General\nPublic License, version 2.", "This work is licensed under a\nCreative Commons Attribution-\nNoDerivatives 4.0 International License.", "Licensed under the Apache\nLicense, Version 1.1."):
+        assert licenses.notices(t, licenses.TEMPLATES) == []
+    two = "Licensed under the Apache\nLicense, Version 2.0.\nThis work is licensed under the GNU General\nPublic License, version 3."
+    assert [n["license"] for n in licenses.notices(two, licenses.TEMPLATES)] == ["Apache-2.0", "GPL-3.0"]
