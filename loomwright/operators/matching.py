@@ -77,24 +77,24 @@ def resolve_old_dates(history: DataFrame, conv: str, date: str, old_date: str, o
     return ids.join(old, [conv, old_date], "left").withColumn("subtype", F.when(F.col("source_event_id").isNull(), "init").otherwise("change"))
 
 
-def descendants(edges: DataFrame, child: str, parent: str, depth: int = 1000) -> DataFrame:
+def descendants(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Every (descendant, ancestor, distance) along parent edges; a child has one parent, the last in the table's order of ids.
 
-    Works in doubling steps: the paths of length up to 2^k are joined with themselves, so a chain of n takes
-    about log n joins. Cycles end because a pair keeps its shortest distance and a node is not its own ancestor.
+    Works in doubling steps: the one ancestor at the greatest distance so far leads on to all that it reaches, so a
+    chain of n takes about log n joins and makes each pair once. Ends when a round adds no pair, at any depth. Cycles
+    end because a pair keeps its shortest distance and a node is not its own ancestor.
     """
     paths = edges.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(child))).groupBy(F.col(child).alias("descendant")).agg(F.max(parent).alias("ancestor")).withColumn("distance", F.lit(1))
     paths = _cut(paths)
-    n, done = paths.count(), 1
-    while done < depth:
+    n, reach = paths.count(), 1
+    while True:
         step = paths.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))
-        longer = paths.join(step, "ancestor").where(F.col("descendant") != F.col("further")).select("descendant", F.col("further").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        longer = paths.where(F.col("distance") == reach).join(step, "ancestor").where(F.col("descendant") != F.col("further")).select("descendant", F.col("further").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
         paths = _cut(paths.unionByName(longer).groupBy("descendant", "ancestor").agg(F.min("distance").alias("distance")))
         now = paths.count()
         if now == n:
-            break
-        n, done = now, 2 * done
-    return paths
+            return paths
+        n, reach = now, 2 * reach
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -70,6 +70,7 @@ query(
     "jon_11_lineage_closure",
     "WITH RECURSIVE e AS (SELECT event_id AS c, parent_id AS p FROM {history} WHERE parent_id IS NOT NULL AND stage < 2), r AS (SELECT c AS descendant, p AS ancestor, 1 AS distance FROM e UNION ALL SELECT r.descendant, e.p, r.distance + 1 FROM r JOIN e ON e.c = r.ancestor) SELECT descendant, ancestor, distance FROM r",
 )(lambda t: J.descendants(t.history.where("stage < 2").select("event_id", "parent_id"), "event_id", "parent_id"))
+query("jon_11b_lineage_closure_all")(lambda t: J.descendants(t.history.select("event_id", "parent_id"), "event_id", "parent_id"))
 CAND = "SELECT user_id, event_id AS id, stage AS o, event_type AS g, (value * 100)::BIGINT % 500 AS v, parent_id FROM {history}"
 
 

@@ -191,3 +191,28 @@ def test_pandas_is_only_where_no_expression_is():
     out = subprocess.run(["grep", "-rlE", "applyInPandas|mapInPandas|pandas_udf|InPandas", str(ROOT / "loomwright"), "--include=*.py"], capture_output=True, text=True).stdout.split()
     assert {Path(p).name for p in out if "/llm/" not in p} == {"longctx.py", "similarity.py", "text.py", "udf.py", "streams.py"}
     assert pd is not None
+
+
+def test_descendants_have_no_greatest_depth(spark):
+    parent = {i: i - 1 for i in range(1, 1100)} | {2000 + i: 2000 + (i + 1) % 7 for i in range(7)} | {2100: 2003, 2101: 2100}
+    want = {}
+    for d in parent:
+        a, k = d, 0
+        while (a := parent.get(a)) is not None and a != d and (d, a) not in want:
+            want[d, a] = k = k + 1
+    df = spark.createDataFrame(list(parent.items()), "c long, p long")
+    assert {(r.descendant, r.ancestor): r.distance for r in matching.descendants(df, "c", "p").collect()} == want
+
+
+def test_lineage_closure_of_the_whole_history(spark, small):
+    from loomwright.plans.catalog import QUERIES
+    from loomwright.plans.views import Tables
+
+    parent = {r.event_id: r.parent_id for r in Tables(spark, small).history.select("event_id", "parent_id").collect() if r.parent_id is not None}
+    want = set()
+    for d in parent:
+        a, k = d, 0
+        while (a := parent.get(a)) is not None:
+            k += 1
+            want.add((d, a, k))
+    assert {(r.descendant, r.ancestor, r.distance) for r in QUERIES["jon_11b_lineage_closure_all"](spark, small).collect()} == want
