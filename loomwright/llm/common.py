@@ -41,6 +41,11 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_or_merge(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """The narrow, already written table for a join: broadcast up to a counted number of rows, joined by shuffle and merge beyond."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def unit(*cols: Column | str) -> Column:
     """A reproducible number in [0, 1) from the text forms of the columns; DuckDB gives the same from the same md5."""
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) if isinstance(c, str) else c for c in cols])

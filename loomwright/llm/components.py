@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import cut
 
 
+def with_least(pairs: DataFrame) -> DataFrame:
+    """The pairs u, v with m, the least v of their u.
+
+    The least is an aggregate with partial sums on the map side, written out before it is joined: both sides of the
+    join are then plain shuffles, which Spark splits where one u has very many rows.
+    """
+    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")))
+    return pairs.hint("merge").join(least.hint("merge"), "u")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Columns node, root: every node of an edge with the smallest node that it reaches.
 
@@ -19,13 +29,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = cut(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
     before = None
     while True:
-        both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").select("v", "u").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
+        low = with_least(cut(large.distinct()))
+        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        e = cut(small.where("u <> v").select("v", "u").distinct())

@@ -135,5 +135,27 @@ def test_stage_links_at_similarity_of_shingles(frame):
             if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
+    want = {i for i in sets if find(i) == i}
     got = {r.doc_id for r in simhash.keep_first(frame(rows)).collect()}
-    assert got == {i for i in sets if find(i) == i}
+    # What is dropped is linked at 0.8 or more, without exception; the fingerprints find nearly all such links.
+    assert want <= got and len(got - want) <= 0.05 * (len(rows) - len(want))
+
+
+def test_stage_against_all_pairs_of_the_smallest_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r.doc_id, frozenset(plain_sets(r.text))) for r in docs.collect()]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (a, sa) in enumerate(rows):
+        for b, sb in rows[:k]:
+            if 10 * len(sa & sb) >= 8 * len(sa | sb):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {i for i, _ in rows if find(i) == i}
+    got = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert want <= got and len(got - want) <= 1 and len(got) < len(rows)
