@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,19 +29,49 @@ SMALL = frozenset("comment comments reply replies related promo sponsored ad ads
 HOME = frozenset("article content main post entry story body text page".split())
 CONTAINER = frozenset("article main section div td body".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What begins a comment, a declaration or a tag, with the tag's slash and name.
+OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: Where a tag ends, or a quoted value begins.
+STOP = re.compile(r">|=\s*([\"'])")
 #: One attribute: its name, then a quoted or bare value.
 ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SAYS = frozenset("class id role style hidden aria-hidden".split())
 GAP = re.compile(r"\s+")
 
 
+#: Elements below this depth hang side by side on the one at it, as browsers have it; their text stays.
+DEPTH = 4096
+
+
 class Node:
-    __slots__ = ("tag", "path", "up", "away", "parts", "home")
+    """An element. Its path is a hash of its block elements' steps from the top, which takes as much room at any depth."""
+
+    __slots__ = ("tag", "path", "up", "away", "parts", "home", "depth")
 
     def __init__(self, tag, path, up, away, home):
         self.tag, self.path, self.up, self.away, self.home = tag, path, up, away, home
         self.parts = []
+        self.depth = up.depth + 1 if up is not None else 0
+
+
+def path_of(above: int, step: str) -> int:
+    """The path of a block element below another: the number of steps, and 48 bits that hash them. Of two, the smaller lies higher."""
+    from xxhash import xxh64_intdigest as xxh
+
+    return ((above >> 48) + 1 << 48) + (xxh(step.encode("utf-8", "replace"), above) >> 16)
+
+
+def tag_end(page: str, at: int) -> int:
+    """The place of the > that ends a tag, not in a quoted value; -1 if there is none. A quote that never closes counts as none,
+    which can happen once for each kind of quote, so all tags of a page take time in proportion to its length."""
+    while m := STOP.search(page, at):
+        if not m[1]:
+            return m.start()
+        close = page.find(m[1], m.end())
+        if close < 0:
+            return page.find(">", m.end())
+        at = close + 1
+    return -1
 
 
 def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -56,68 +87,93 @@ def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
     away = away or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
     if not names and (name := re.sub(r"\d+", "#", GAP.sub("", found.get("id", "")))):
         return f"{tag}#{name}", away, tag in ("article", "main") or bool(words & HOME)
-    return ".".join([tag, *sorted(names)[:4]]), away, tag in ("article", "main") or bool(words & HOME)
+    return ".".join([tag, *sorted(names)]), away, tag in ("article", "main") or bool(words & HOME)
 
 
 def parse(page: str) -> list[Node]:
-    """The page's elements in order; parts holds text, line marks (None) and elements. Broken markup is closed where HTML closes it."""
-    root = Node("", "", None, False, False)
-    nodes, top, at, n = [root], root, 0, len(page)
-
-    def closed(node, until):
-        while node.up is not None and node is not until:
-            node = node.up
-        return node.up if node is until and node.up is not None else node
+    """The page's elements in order; parts holds text and elements. Broken markup is closed where HTML closes it."""
+    root = Node("", 0, None, False, False)
+    nodes, top, at, n, over = [root], root, 0, len(page), 0
+    ends: dict[str, int] = {}
+    opened: Counter[str] = Counter()
+
+    def rise(to: Node) -> Node:
+        """Ends the open elements below one; none is looked for that is not open."""
+        now = top
+        while now is not to:
+            opened[now.tag] -= 1
+            now = now.up
+        return to
 
     while at < n:
-        m = TAG.search(page, at)
+        m = OPENS.search(page, at)
         if m is None:
-            if at < n:
-                top.parts.append(page[at:])
+            top.parts.append(page[at:])
             break
+        if m[1]:
+            end = page.find("-->", m.end())
+            stop = end + 3 if end >= 0 else n
+        else:
+            end = page.find(">", m.end()) if m[2] else tag_end(page, m.end())
+            if end < 0:  # nothing that begins from here on ends
+                top.parts.append(page[at:])
+                break
+            stop = end + 1
         if m.start() > at:
             top.parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        at = stop
+        if not m[4]:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = top
+        tag = m[4].lower()
+        if m[3]:
+            if over and tag not in VOID:
+                over -= 1
+                top = rise(top.up) if top.depth >= DEPTH else top
+                continue
+            node = top if opened[tag] else None
             while node is not None and node.tag != tag:
                 node = node.up if not (node.tag in ("table", "td", "th", "article", "main", "body") and tag in ("p", "li", "span", "a", "b", "i", "em", "strong")) else None
             if node is not None and node.up is not None:
-                top = node.up
+                top = rise(node.up)
             elif tag == "br":
                 top.parts.append(" ")
             continue
         if tag in ("br", "wbr"):
             top.parts.append(" " if tag == "br" else "")
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             node = top
             while node.up is not None and node.tag != "p" and (node.tag not in BLOCK):
                 node = node.up
             if node.tag == "p":
-                top = node.up
-        if tag in SIBLING:
-            mine, stop = SIBLING[tag]
+                top = rise(node.up)
+        if tag in SIBLING and any(opened[x] for x in SIBLING[tag][0]):
+            mine, family_ends = SIBLING[tag]
             node, last = top, None
-            while node.up is not None and node.tag not in stop:
+            while node.up is not None and node.tag not in family_ends:
                 if node.tag in mine:
                     last = node
                 node = node.up
             if last is not None:
-                top = last.up
-        step, away, home = describe(tag, m[3])
-        node = Node(tag, f"{top.path}>{step}" if tag in BLOCK else top.path, top, away or top.away, home)
+                top = rise(last.up)
+        attrs = page[m.end() : end]
+        step, away, home = describe(tag, attrs)
+        alone = tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK
+        while top.depth >= DEPTH:
+            top, over = rise(top.up), over + (not alone and tag not in RAW)
+        node = Node(tag, path_of(top.path, step) if tag in BLOCK else top.path, top, away or top.away, home)
         top.parts.append(node)
         nodes.append(node)
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if alone:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            # An end tag that is nowhere behind one place is nowhere behind a later one.
+            if ends.get(tag) != n:
+                found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                ends[tag] = found.end() if found else n
+            at = ends[tag]
             continue
+        opened[tag] += 1
         top = node
     return nodes
 
@@ -155,7 +211,7 @@ def blocks(node: Node) -> list[tuple[str, int]]:
     return out
 
 
-def scores(nodes: list[Node]) -> dict[str, float]:
+def scores(nodes: list[Node]) -> dict[int, float]:
     """Path -> score of its best container. A block's plain characters count for its container and less for those above;
     elements that name the article count more, the page's body less."""
     got: dict[int, float] = {}
@@ -173,8 +229,10 @@ def scores(nodes: list[Node]) -> dict[str, float]:
                 got[id(up)] = got.get(id(up), 0.0) + weight * share
                 held[id(up)] = up
                 share *= 0.6
+                if share < 1e-6:
+                    break
             up = up.up
-    best: dict[str, float] = {}
+    best: dict[int, float] = {}
     for k, v in got.items():
         node = held[k]
         if not node.away:
@@ -182,7 +240,7 @@ def scores(nodes: list[Node]) -> dict[str, float]:
     return best
 
 
-def extract(page: str, paths: list[str]) -> str:
+def extract(page: str, paths: list[int]) -> str:
     """The main text by the first of the host's paths that the page has, else by the page's own best container, else all that is no furniture."""
     nodes = parse(page)
     for path in paths:
@@ -190,7 +248,7 @@ def extract(page: str, paths: list[str]) -> str:
             break
     else:
         own = scores(nodes)
-        path = max(own, key=lambda p: (own[p], p)) if own else None
+        path = max(own, key=lambda p: (own[p], -p)) if own else None
         chosen = [x for x in nodes if x.path == path and x.tag in CONTAINER and not x.away] if own else nodes[:1]
     parts = [blocks(x) for x in chosen]
     # Of several containers on one path, those that are mostly links are lists of links and not the article.
@@ -200,23 +258,24 @@ def extract(page: str, paths: list[str]) -> str:
 
 
 def votes(pages: DataFrame, host: str, html_col: str = "html", keep: int = 3) -> DataFrame:
-    """Per host the paths of its pages' best containers, best first: each page gives a path its share of the page's score."""
+    """Per host the `keep` best paths of its pages' containers, best first: each page gives every path that has half of its best
+    path's score or more its share of these scores. A page with none of its host's paths is read by its own best container."""
 
     def each(batches):
         import pyarrow as pa
 
-        for b in slices(batches):
+        for b in slices(batches, 50):
             rows = []
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = scores(parse(page)) if page else {}
-                top = sorted(own.items(), key=lambda x: (-x[1], x[0]))[:keep]
-                total = sum(v for _, v in top)
-                rows += [(h, p, v / total) for p, v in top if total]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "share"])
+                most = max(own.values(), default=0.0)
+                top = {p: v for p, v in own.items() if 2 * v >= most > 0}
+                rows += [(h, p, v / sum(top.values())) for p, v in top.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.float64()))], names=["host", "path", "share"])
 
-    cast = pages.select(F.col(host).alias("host"), html_col).mapInArrow(each, "host string, path string, share double")
+    cast = pages.select(F.col(host).alias("host"), html_col).mapInArrow(each, "host string, path long, share double")
     summed = cast.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), F.desc("path")))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "path"))
     best = summed.withColumn("place", place).where(F.col("place") <= keep)
     ranked = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("best"))
     return ranked.select(F.col("host").alias("_lw_h"), F.col("best.path").alias("_lw_paths"))
@@ -238,7 +297,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def each(batches):
         import pyarrow as pa
 
-        for b in slices(batches):
+        for b in slices(batches, 50):
             text = [extract(p, w or []) if p else "" for p, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
