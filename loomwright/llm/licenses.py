@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,50 +14,118 @@ from pyspark.sql import types as T
 
 from loomwright.llm.common import slices
 
-#: Public wordings by which licences are announced, by SPDX name. <...> stands for any words.
-TEMPLATES: dict[str, list[str]] = {
+#: Public licences by SPDX name, with the names that notices call them by.
+NAMES: dict[str, list[str]] = {
+    "0BSD": ["BSD Zero Clause License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"],
+    "ISC": ["ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"],
+    "MIT": ["MIT License", "MIT license terms"],
+    "MPL-1.1": ["Mozilla Public License Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+}
+#: How a notice announces a name, and the identifiers after the SPDX name.
+FORMS = ["Licensed under {}.", "Licensed under the {}.", "Licensed under a {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}."]
+SPDX = ["", "-only", "-or-later"]
+#: Public wordings of notices, by SPDX name.
+TEXTS: dict[str, list[str]] = {
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Licensed under the BSD 3-Clause License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": [
-        "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     ],
+    "MPL-1.1": ['The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
+}
+TEMPLATES: dict[str, list[str]] = {
+    name: [form.format(n) for n in NAMES[name] for form in FORMS] + [f"SPDX-License-Identifier: {name}{end}" for end in (SPDX if "GPL" in name else SPDX[:1])] + TEXTS.get(name, []) for name in sorted(NAMES)
 }
-CUE = r"(?i)licen[sc]e|copyright|permission is hereby|redistribution|public domain|waived all|creative commons|SPDX"
-CUE_LINE = re.compile(CUE[4:], re.I)
-WORDS = re.compile(r"\w+(?:[.-]\w+)*")
-#: The same across line feeds: a word with a hyphen may be wrapped behind it, and the next line may begin as a comment does.
-WRAPPED = re.compile(r"\w+(?:[.-]\w+|-[ \t]*\r?\n[ \t*#/;>|!%-]*\w+)*")
+#: Words that notices hold; between two of them the line may end and a comment mark may stand.
+CUE = r"(?i)licen[sc]e|copyright|permission is hereby|permission is granted|permission to use|redistribution|public domain|released under|distributed under|waived all|creative commons|free software|SPDX".replace(" ", r"[\s*#/;>|!%-]+")
+CUES = re.compile(CUE[4:], re.I)
+#: A word; one with a hyphen may be wrapped behind it, and the next line may begin as a comment does.
+WORDS = re.compile(r"\w+(?:[.-]\w+|-[ \t]*\r?\n[ \t*#/;>|!%-]*\w+)*")
 BREAK = re.compile(r"-[ \t]*\r?\n[ \t*#/;>|!%-]*")
 #: Words that carry the terms: if one is missing or stands where the template has none, it is another licence.
-TERMS = frozenset("not no non nc nd sa by gnu gpl lgpl affero lesser general mit apache bsd mozilla creative cc cc0 noncommercial sharealike attribution attribution-noncommercial attribution-sharealike by-nc by-sa by-nd by-nc-sa by-nc-nd 3-clause 2-clause 1 2 3 1.0 2.0 2.1 3.0 4.0".split())
+TERMS = frozenset("not no non nc nd sa by gnu gpl lgpl affero lesser general mit apache bsd mozilla creative cc cc0 isc boost eclipse zlib artistic noncommercial sharealike noderivatives attribution neither 1 2 3 1.0 1.1 2.0 2.1 3.0 4.0 v2.0 v2.1 v3.0".split()) | {"attribution-noncommercial", "attribution-sharealike", "attribution-noderivatives", "attribution-noncommercial-sharealike", "attribution-noncommercial-noderivatives", "by-nc", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd", "3-clause", "2-clause", "gplv2", "gplv3", "lgplv2.1", "lgplv3", "agplv3", "unlicense"}
 
 
 def words(s: str) -> list[str]:
-    return [w.lower() for w in WORDS.findall(s)]
+    return [BREAK.sub("-", w).lower() for w in WORDS.findall(s)]
+
+
+class Template:
+    """A wording with its words and a compressor that has it as raw dictionary, prepared once for a worker."""
 
+    def __init__(self, name: str, text: str):
+        import zstandard as z
 
-def cost(text: bytes, template: bytes | None = None) -> int:
-    """Bytes of the text as zstandard packs it, with the template as raw dictionary if there is one."""
-    import zstandard as z
+        self.name, self.text, self.words = name, text, words(text)
+        self.counts, self.terms = Counter(self.words), TERMS & set(self.words)
+        data = z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+        self.packer = z.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False)
 
-    how = {"dict_data": z.ZstdCompressionDict(template, dict_type=z.DICT_TYPE_RAWCONTENT)} if template else {}
-    return len(z.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, **how).compress(text))
+
+class Templates:
+    def __init__(self, by_name: dict[str, list[str]]):
+        import zstandard as z
+
+        self.all = [Template(n, t) for n, ts in by_name.items() for t in ts]
+        self.plain = z.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
+
+
+@lru_cache(maxsize=4)
+def prepared(held: tuple[tuple[str, tuple[str, ...]], ...]) -> Templates:
+    return Templates({n: list(ts) for n, ts in held})
 
 
 def tight(runs: list) -> list:
@@ -72,88 +142,82 @@ def tight(runs: list) -> list:
     return runs
 
 
-def confirmed(cands: list[tuple[str, str, str, list]], share: float, at: int, done: int) -> dict | None:
-    """Of candidate blocks (licence, template, block, its words as (word, start, end) within the text), the first, in order of the
-    share of bytes saved, whose words match; it must end behind `at` and start at `done` or later. All with a gain are tried."""
-    ranked = []
-    for name, template, block, part in cands:
-        mine, have = Counter(words(template)), Counter(w for w, _, _ in part)
-        # Fewer words in common, in any order, cannot be confirmed.
-        if sum((mine & have).values()) >= share * sum(mine.values()):
-            data = block.encode("utf-8", "replace")
-            plain = cost(data)
-            saved = plain - cost(data, template.encode())
-            ranked.append((saved / max(1, min(plain, cost(template.encode()))), name, template, saved, part))
-    for gain, name, template, saved, part in sorted(ranked, key=lambda x: x[:3], reverse=True):
-        if gain <= 0:
-            break
-        a, b = words(template), [w for w, _, _ in part]
-        runs = tight(difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-        if not runs:
-            continue
-        same, met = {i for r in runs for i in range(r.a, r.a + r.size)}, {i for r in runs for i in range(r.b, r.b + r.size)}
-        missing = [w for i, w in enumerate(a) if i not in same]
-        extra = [b[i] for i in range(runs[0].b, runs[-1].b + runs[-1].size) if i not in met]
-        start, end = part[runs[0].b][1], part[runs[-1].b + runs[-1].size - 1][2]
-        if len(same) >= share * len(a) and not TERMS & {*missing, *extra} and len(extra) <= 0.3 * len(same) and start >= done and end > at:
-            return {"license": name, "start": start, "end": end, "saved": int(saved), "missing": " ".join(missing), "extra": " ".join(extra)}
-    return None
+def differences(a: list[str], b: list[str], share: float) -> tuple[int, int, list[str], list[str]] | None:
+    """Where the block's words b hold the template's a: first and last word's place, the words missing and those in excess; None
+    if too few match, too many stand between, or one that differs carries terms."""
+    runs = tight(difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    if not runs:
+        return None
+    same, met = {i for r in runs for i in range(r.a, r.a + r.size)}, {i for r in runs for i in range(r.b, r.b + r.size)}
+    missing = [w for i, w in enumerate(a) if i not in same]
+    first, last = runs[0].b, runs[-1].b + runs[-1].size - 1
+    extra = [b[i] for i in range(first, last + 1) if i not in met]
+    if len(same) < share * len(a) or TERMS & {*missing, *extra} or len(extra) > 0.3 * len(same):
+        return None
+    return first, last, missing, extra
+
 
+def reach(n: int) -> int:
+    """Words to either side of a cue that a notice of n template words can have: a cue may be any of its words, and 0.3 may stand between."""
+    return n * 13 // 10 + 2
 
-def notices(text: str, templates: dict[str, list[str]], most_words: int = 60, share: float = 0.85) -> list[dict]:
+
+def notices(text: str, templates: dict[str, list[str]] | None = None, share: float = 0.85) -> list[dict]:
     """Confirmed notices of one text: licence, start, end (code points), bytes saved and the words that differ.
 
-    A cue has two kinds of block: its line, cut to windows of most_words words around the cue where the line is long, and,
-    for notices that are wrapped, the words around it across line feeds, as far as each template is long. Templates are ranked
-    by how much of the block's packed size they save; the first is confirmed that matches at least the share of its words with
-    no difference in a word of TERMS. A wrapped notice takes the place of its own line's where it is longer and of the same licence.
+    For each cue and template the candidate block is the words around the cue, across line feeds and comment marks, as far as
+    the template is long. Templates are ranked by how many bytes of the packed block they save, most first, and the first is
+    confirmed that matches at least the share of its words with no difference in a word of TERMS; all that save any are tried.
+    Of those that save nearly as much (0.8) the one with the fewest differing words is reported.
+    Blocks with fewer of a template's words than the share, or without one of its terms, cannot be confirmed and are not
+    packed. The next cue is sought behind the notice, so each notice is reported once.
     """
-    out, at, done = [], 0, 0
-    longest = max((len(words(t)) for ts in templates.values() for t in ts), default=0)
-    for line in text.split("\n"):
-        for cue in CUE_LINE.finditer(line):
-            here = at + cue.start()
-            if here < done:
-                continue
-            spots = [(m[0].lower(), at + m.start(), at + m.end()) for m in WORDS.finditer(line, max(0, cue.start() - 400), min(len(line), cue.end() + 1200))]
-            k = next((i for i, m in enumerate(spots) if m[2] > here), 0)
-            part = spots[max(0, k - most_words // 2) : k + most_words]
-            a, b = (part[0][1], part[-1][2]) if part else (here, at + cue.end())
-            found = confirmed([(name, t, text[a:b], part) for name, ts in templates.items() for t in ts], share, here, done)
-            # A cue may be any word of the template, and up to 0.3 of the words may stand between.
-            reach = 40 * longest + 1200
-            spots = [(BREAK.sub("-", m[0]).lower(), m.start(), m.end()) for m in WRAPPED.finditer(text, max(0, here - reach), min(len(text), here + reach))]
-            k = next((i for i, m in enumerate(spots) if m[2] > here), 0)
-            wide = []
-            for name, ts in templates.items():
-                for t in ts:
-                    m = len(words(t)) * 13 // 10 + 2
-                    part = [x for x in spots[max(0, k - m) : k + m] if x[1] >= done]
-                    if part and (found is None or name == found["license"]):
-                        wide.append((name, t, text[part[0][1] : part[-1][2]], part))
-            more = confirmed(wide, share, here, done)
-            if more and more["start"] <= here and (found is None or more["end"] - more["start"] > found["end"] - found["start"]):
-                found = more
-            if found:
-                out.append(found)
-                done = found["end"]
-        at += len(line) + 1
+    held = prepared(tuple((n, tuple(ts)) for n, ts in (templates or TEMPLATES).items()))
+    cues = [m.start() for m in CUES.finditer(text)]
+    spots = [(BREAK.sub("-", m[0]).lower(), m.start(), m.end()) for m in WORDS.finditer(text)] if cues else []
+    ends, out, done = [e for _, _, e in spots], [], 0
+    for here in cues:
+        if here < done:
+            continue
+        k, free, ranked = bisect.bisect_right(ends, here), bisect.bisect_left(ends, done), []
+        around: dict[int, tuple] = {}
+        for i, t in enumerate(held.all):
+            m = reach(len(t.words))
+            if m not in around:
+                part = spots[max(free, k - m) : k + m]
+                around[m] = part, Counter(w for w, _, _ in part)
+            part, have = around[m]
+            if part and t.terms <= have.keys() and sum(min(n, have[w]) for w, n in t.counts.items()) >= share * len(t.words):
+                data = text[part[0][1] : part[-1][2]].encode("utf-8", "replace")
+                ranked.append((len(held.plain.compress(data)) - len(t.packer.compress(data)), -i, part))
+        best: tuple | None = None
+        for saved, i, part in sorted(ranked, key=lambda x: x[:2], reverse=True):
+            if saved <= 0 or best and saved < 0.8 * best[1]:
+                break
+            got = differences(held.all[-i].words, [w for w, _, _ in part], share)
+            if got and part[got[1]][2] > here >= done and part[got[0]][1] >= done:
+                off = len(got[2]) + len(got[3])
+                if best is None or off < best[0]:
+                    best = off, best[1] if best else saved, {"license": held.all[-i].name, "start": part[got[0]][1], "end": part[got[1]][2], "saved": int(saved), "missing": " ".join(got[2]), "extra": " ".join(got[3])}
+        if best:
+            out.append(best[2])
+            done = best[2]["end"]
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per confirmed notice: id, license, start, end (code points, end exclusive), saved, missing, extra.
 
-    Only texts with a cue leave the JVM; a null or empty text has none. Repeated rows repeat.
+    Only texts with a cue leave the JVM; a null or empty text has none, an empty table gives none. A null id stays null and
+    repeated rows repeat. Columns other than id and text are not read.
     """
-    held = templates or TEMPLATES
     fields = [("license", "string"), ("start", "int"), ("end", "int"), ("saved", "int"), ("missing", "string"), ("extra", "string")]
 
     def each(batches):
         import pyarrow as pa
 
         for b in slices(batches):
-            rows = [(i, n) for i, t in enumerate(b.column(1).to_pylist()) for n in notices(t, held)]
+            rows = [(i, n) for i, t in enumerate(b.column(1).to_pylist()) for n in notices(t, templates)]
             cols = [pa.array([n[f] for _, n in rows], pa.string() if t == "string" else pa.int32()) for f, t in fields]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in rows], pa.int32())), *cols], names=[id_col, *[f for f, _ in fields]])
 

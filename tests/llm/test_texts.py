@@ -305,14 +305,51 @@ def test_licences_wrapped_over_lines(before, width):
 
     for name, ts in licenses.TEMPLATES.items():
         for t in ts:
-            if not licenses.CUE_LINE.search(t):
-                continue
-            page = "Some prose.\n\n" + textwrap.indent(textwrap.fill(t, width), before) + "\n\nMore of it."
-            got = licenses.notices(page, licenses.TEMPLATES)
-            assert [(n["license"], n["missing"], n["extra"]) for n in got] == [(name, "", "")], t
+            page = "Some prose.\n\n" + textwrap.indent(textwrap.fill(t, width, break_long_words=False), before, lambda _: True) + "\n\nMore of it."
+            got = licenses.notices(page)
+            assert licenses.CUES.search(t) and [(n["license"], n["missing"], n["extra"]) for n in got] == [(name, "", "")], t
             assert licenses.words(page[got[0]["start"] : got[0]["end"]])[-1] == licenses.words(t)[-1]
 
 
+def test_spdx_lines_and_near_misses():
+    names = lambda t: [n["license"] for n in licenses.notices(t)]
+    assert names("// SPDX-License-Identifier: MIT\nint main;") == ["MIT"] and names("# SPDX-License-Identifier: GPL-2.0-or-later\n") == ["GPL-2.0"]
+    assert names("x SPDX-License-Identifier: Apache-2.0 y\nSPDX-License-Identifier: BSD-2-Clause") == ["Apache-2.0", "BSD-2-Clause"]
+    assert names("SPDX-License-Identifier: LicenseRef-Own") == names("This code has a MIT feel and no licence.") == []
+    assert names("Licensed under the MIT License.") == ["MIT"] and names("It is licensed under GPLv3.") == ["GPL-3.0"]
+    assert names(licenses.TEXTS["BSD-3-Clause"][1].replace("3. Neither", "3. All of")) != ["BSD-3-Clause"]
+    assert names(licenses.TEXTS["BSD-2-Clause"][0]) == ["BSD-2-Clause"] and names(licenses.TEXTS["AGPL-3.0"][0]) == ["AGPL-3.0"]
+    assert names(licenses.TEXTS["MPL-1.1"][0].replace("1.1", "1.0")) == []
+
+
+def test_scan_against_every_template_at_every_place(spark, small):
+    """Brute force: each template against the words around each word of each text, not packed, not ranked."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    want = set()
+    for d, t in docs.items():
+        if not licenses.CUES.search(t):
+            continue
+        w = licenses.words(t)
+        for name, ts in licenses.TEMPLATES.items():
+            for a in map(licenses.words, ts):
+                m, rare = licenses.reach(len(a)), set(a) & licenses.TERMS
+                for k in range(0, len(w), max(1, m // 3)):
+                    b = w[k : k + 2 * m]
+                    if rare <= set(b) and len(set(a) & set(b)) >= 0.8 * len(set(a)) and licenses.differences(a, b, 0.85):
+                        want.add((d, name))
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert got == want and want
+
+
+def test_scan_edges(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, None, "x"), (2, "", "x"), (None, notice, "x"), (3, "a " * 200_000 + notice + " b" * 200_000, "x"), (4, notice, "x"), (4, notice, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = sorted((r.doc_id or -1, r.license, r.start) for r in licenses.scan(docs).collect())
+    assert got == [(-1, "Apache-2.0", 0), (3, "Apache-2.0", 400_000), (4, "Apache-2.0", 0), (4, "Apache-2.0", 0)]
+    assert licenses.scan(docs.limit(0)).columns == ["doc_id", "license", "start", "end", "saved", "missing", "extra"]
+
+
 def test_licences_beyond_the_fourth_in_rank():
     # Near templates save more bytes, but each has a term that the text lacks.
     text = "This tool is licensed under the GNU General Public License, version 3."
