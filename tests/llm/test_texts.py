@@ -359,7 +359,11 @@ def test_licences_beyond_the_fourth_in_rank():
 
 
 def test_licences_wrapped_with_another_term():
-    for t in ("This work is licensed under the\nGNU Lesser General\nPublic License, version 2.", "This work is licensed under a\nCreative Commons Attribution-\nNoDerivatives 4.0 International License.", "Licensed under the Apache\nLicense, Version 1.1."):
+    for t in ("This work is licensed under the\nGNU Lesser General\nPublic License, version 2.", "This work is licensed under a\nCreative Commons Attribution-\nNoDerivatives 3.0 Unported License.", "Licensed under the Apache\nLicense, Version 1.1."):
         assert licenses.notices(t, licenses.TEMPLATES) == []
+    # The term behind the wrapped hyphen decides; that licence has a template of its own.
+    nd = "This work is licensed under a\nCreative Commons Attribution-\nNoDerivatives 4.0 International License."
+    assert [n["license"] for n in licenses.notices(nd, licenses.TEMPLATES)] == ["CC-BY-ND-4.0"]
+    assert licenses.notices(nd, {k: v for k, v in licenses.TEMPLATES.items() if k != "CC-BY-ND-4.0"}) == []
     two = "Licensed under the Apache\nLicense, Version 2.0.\nThis work is licensed under the GNU General\nPublic License, version 3."
     assert [n["license"] for n in licenses.notices(two, licenses.TEMPLATES)] == ["Apache-2.0", "GPL-3.0"]
