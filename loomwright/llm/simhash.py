@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.llm.common import cut, few_or_merge, slices, stash, word_runs
 from loomwright.llm.components import components
+from loomwright.operators.indexing import global_index
 
 BITS = 64
-#: Up to this many keys, counted, are broadcast to pick their rows before these are shuffled again; beyond, all rows are.
-KEYS = 2_000_000
 
 
 def fingerprint(data: bytes | None, size: int = 4, seed: int = 42) -> int:
@@ -54,8 +53,9 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", size:
     return docs.select(*keys, F.col(text_col).cast("binary").alias("_lw_text")).mapInArrow(each, schema)
 
 
-def variants(words: DataFrame, bits: int = 4) -> DataFrame:
-    """Columns key, node, sign, from columns node, sign, word (a number) and fp: the one-wildcard variants of the segments of fp.
+def segments(words: DataFrame, bits: int, wildcard: bool) -> DataFrame:
+    """Columns key and those of words but word and fp, where words has word (a number) and fp: one row for each segment of fp,
+    or with wildcard for each one-wildcard variant of a segment.
 
     bits // 2 + 1 segments: of at most `bits` differing bits some segment holds at most one, and two
     segments that differ in at most one bit share the variant that leaves this bit out.
@@ -64,47 +64,63 @@ def variants(words: DataFrame, bits: int = 4) -> DataFrame:
     starts = [BITS * i // parts for i in range(parts + 1)]
     lo = "CASE " + " ".join(f"WHEN bit < {b} THEN {a}" for a, b in zip(starts, starts[1:], strict=False)) + " END"
     mask = "CASE " + " ".join(f"WHEN bit < {b} THEN {(1 << (b - a)) - 1}L" for a, b in zip(starts, starts[1:], strict=False)) + " END"
-    every = words.select("node", "sign", "word", "fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"))
-    return every.select(F.expr(f"((shiftrightunsigned(fp, {lo}) & {mask} & ~shiftleft(1L, bit - {lo})) * 1024) + word * {BITS} + bit").alias("key"), "node", "sign")
-
-
-def linked(held_by: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Columns node, root: components over all pairs of nodes that share a key, whose signs are near and which confirm keeps.
-
-    held_by has key, node, sign. Exact, with no cap, and without writing all pairs of a key. Counts, least and greatest
-    node of a key are aggregates; a key of two nodes is done with that, and of a larger one each node is first compared
-    with these two, which joins dense groups by stars. Keys whose nodes then still lie in several components are
-    looked at again: each node outside the key's commonest component is compared with those of other components.
-    Joins are merge joins of plain shuffles, so a key that very many nodes hold is split over tasks.
-    Rows of nodes that share no key with two others are shuffled once.
+    rest = [c for c in words.columns if c not in ("word", "fp")]
+    at = F.sequence(F.lit(0), F.lit(BITS - 1)) if wildcard else F.array(*map(F.lit, starts[:-1]))
+    left = f"& ~shiftleft(1L, bit - {lo})" if wildcard else ""
+    every = words.select(*rest, "word", "fp", F.explode(at).alias("bit"))
+    return every.select(F.expr(f"((shiftrightunsigned(fp, {lo}) & {mask} {left}) * 1024) + word * {BITS} + bit").alias("key"), *rest)
+
+
+def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], back: int = 4) -> DataFrame:
+    """Columns node, root: components over all pairs of nodes that share a variant, are near and are kept by confirm.
+
+    words has node, word and fp; near compares two nodes, which are longs. Exact, with no cap, and without writing all
+    pairs of a variant. First the nodes of each whole segment are chained: each node meets the least and the greatest of
+    those that stand before it or first in a segment of its own, which joins dense groups at little cost. Then variants are
+    made, with each node's component so far, and only those whose nodes lie in several components are looked at: a node
+    meets the first and the `back` before it, which is all there is to compare where back + 1 or fewer hold the variant.
+    Of larger ones that still lie in several components, each node outside the commonest is compared with those of others.
     """
-    me = F.struct("node", "sign")
-    per = held_by.groupBy("key").agg(F.count("*").alias("k"), F.min(me).alias("lo"), F.max(me).alias("hi"))
-    per = stash(per.where((F.col("k") > 2) | (F.col("k") == 2) & near(F.col("lo.sign"), F.col("hi.sign"))))
-    large = per.where("k > 2").select("key")
-    some = large.count() <= KEYS
-    held = held_by.join(F.broadcast(large), "key", "left_semi") if some else held_by
-    held = stash(held.hint("merge").join(per.where("k > 2").hint("merge"), "key"))
-    few = per.where("k = 2").select(F.col("lo.node").alias("a"), F.col("hi.node").alias("b"))
-    met = held.select("node", "sign", F.explode(F.array("lo", "hi")).alias("t")).where((F.col("t.node") != F.col("node")) & near(F.col("t.sign"), F.col("sign")))
-    pairs = few.union(met.select(F.least("node", "t.node").alias("a"), F.greatest("node", "t.node").alias("b"))).distinct()
-    known = cut(components(confirm(pairs)))
-    marked = stash(held.select("key", "node", "sign").hint("merge").join(known.hint("merge"), "node", "left").select("key", "node", "sign", F.coalesce("root", "node").alias("root")))
+    col, w = F.col, Window.partitionBy("key")
+    ties = ["least", *[f"back{i}" for i in range(1, back + 1)]]
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("least", F.min("node").over(w)).withColumns({f"back{i}": F.lag("node", i).over(w.orderBy("node")) for i in range(1, back + 1)})
+
+    pair = lambda df, t: df.select(F.least("node", t).alias("a"), F.greatest("node", t).alias("b"))
+    apart = lambda t: (col(t) != col("node")) & near(col(t), col("node"))
+    first = met(segments(words, bits, False)).select("node", F.explode(F.array(*ties)).alias("t")).where(apart("t"))
+    first = first.groupBy("node").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
+    known = cut(components(confirm(pair(first, "t").distinct())))
+
+    placed = words.hint("merge").join(known.hint("merge"), "node", "left").select("word", "fp", "node", F.coalesce("root", "node").alias("root"))
+    open_ones = segments(placed, bits, True).withColumns({"k": F.count("*").over(w), "lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo <> hi").select("key", "node", "root", "k")
+    tied = reduce(lambda a, b: a | b, [F.coalesce(apart(t), F.lit(False)) for t in ties])
+    held = stash(met(open_ones).where((col("k") > back + 1) | tied))
+    some = held.select("k", "node", F.explode(F.array(*ties)).alias("t")).where(apart("t"))
+    many = some.where(col("k") > back + 1).groupBy("node").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
+    more = confirm(pair(some.where(col("k") <= back + 1), "t").union(pair(many, "t")).distinct())
+    known = cut(components(known.select(col("node").alias("a"), col("root").alias("b")).union(more)))
+
+    marked = held.where(col("k") > back + 1).select("key", "node").hint("merge").join(known.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    marked = stash(marked)
     most = marked.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    most = cut(most.where("roots > 1").select("key", F.col("main.root").alias("main")))
+    most = cut(most.where("roots > 1").select("key", col("main.root").alias("main")))
+    if most.isEmpty():
+        return known
     mixed = stash(marked.hint("merge").join(most.hint("merge"), "key"))
-    rest = mixed.where("root <> main").select("key", F.col("node").alias("other"), F.col("sign").alias("other_sign"), F.col("root").alias("other_root"))
-    meet = mixed.hint("merge").join(rest.hint("merge"), "key").where((F.col("root") != F.col("other_root")) & near(F.col("sign"), F.col("other_sign")))
-    more = confirm(meet.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    # Links of both rounds together; those of the first stand as its components.
-    return components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    rest = mixed.where("root <> main").select("key", col("node").alias("t"), col("root").alias("other"))
+    last = mixed.hint("merge").join(rest.hint("merge"), "key").where((col("root") != col("other")) & apart("t"))
+    last = cut(confirm(pair(last, "t").distinct()))
+    # New links together with those so far, which stand as components.
+    return known if last.isEmpty() else components(known.select(col("node").alias("a"), col("root").alias("b")).union(last))
 
 
 def classes(fps: DataFrame, bits: int = 4) -> DataFrame:
     """Columns fp, root for the fingerprints linked to another at `bits` or fewer differing bits: exact, with no cap."""
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits
-    words = fps.select(F.col("fp").alias("node"), F.col("fp").alias("sign"), F.lit(0).alias("word"), "fp").distinct()
-    return linked(variants(words, bits), near, lambda pairs: pairs).select(F.col("node").alias("fp"), "root")
+    words = fps.select(F.col("fp").alias("node"), F.lit(0).alias("word"), "fp").distinct()
+    return linked(words, bits, near, lambda pairs: pairs).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
@@ -227,27 +243,38 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives none.
     """
     keyed = docs.withColumn("_lw_hash", F.xxhash64(text_col))
-    names = [f"f{k}" for k in range(count)]
-    rows = cut(marked_sets(keyed, [id_col, "_lw_hash"], text_col, size, count).groupBy(id_col, "_lw_hash", "set_hash", *names).agg(F.count("*").alias("n")))
+    names = [f"f{k}" for k in range(count + 1)]
+    rows = cut(marked_sets(keyed, [id_col, "_lw_hash"], text_col, size, count + 1).groupBy(id_col, "_lw_hash", "set_hash", *names).agg(F.count("*").alias("n")))
     me = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_lw_hash").alias("h"), "n")
-    # Numbers, and not hashes, name the sets: they pack well in the shuffle of variants. The checkpoint fixes them.
-    sets = cut(rows.groupBy("set_hash", *names).agg(F.min(me).alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    low = lambda k: F.col(f"f{k % count}").bitwiseAND(F.lit(0xFFFFFFFF)).alias("sign")
-    words = reduce(DataFrame.union, [sets.select("node", low(k + 1), F.lit(k).alias("word"), F.col(f"f{k}").alias("fp")) for k in range(count)])
+    # A set's name is its number and, behind that, 28 bits of the word that is not indexed: most chance meetings show there.
+    sign = F.col(names[-1]).bitwiseAND(F.lit((1 << 28) - 1))
+    sets = global_index(rows.groupBy("set_hash", *names).agg(F.min(me).alias("rep")), ["set_hash", *names], "number")
+    sets = cut(sets.withColumn("node", F.shiftleft("number", 28) + sign).drop("number"))
+    words = reduce(DataFrame.union, [sets.select("node", F.lit(k).alias("word"), F.col(f"f{k}").alias("fp")) for k in range(count)])
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 28) - 1))) <= 9
+    made: list[DataFrame] = []
+
+    def shingled(numbers: DataFrame) -> DataFrame:
+        """Whole shingle sets of the sets with these numbers; each is made once."""
+        new = numbers
+        for old in made:
+            new = new.hint("merge").join(old.select("node").hint("merge"), "node", "left_anti")
+        wanted = cut(sets.hint("merge").join(new.hint("merge"), "node").select("node", F.col("rep.id").alias("_lw_id"), F.col("rep.h").alias("_lw_h")))
+        if not made or not wanted.isEmpty():
+            texts = keyed.join(few_or_merge(wanted), keyed[id_col].eqNullSafe(F.col("_lw_id")) & (F.col("_lw_hash") == F.col("_lw_h"))).select("node", keyed[text_col].alias("_lw_whole"))
+            held = shingle_sets(texts, "node", "_lw_whole", size)
+            made.append(stash(held.dropDuplicates(["node"]) if repeated else held))
+        return reduce(DataFrame.union, made)
 
     def confirm(pairs):
         fp = lambda side: sets.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}_{f}") for f in names])
         both = pairs.hint("merge").join(fp("a").hint("merge"), "a").hint("merge").join(fp("b").hint("merge"), "b")
         apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names])
-        close = stash(both.where(4 * apart < BITS * count).select("a", "b"))
-        nodes = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-        wanted = cut(sets.hint("merge").join(nodes.hint("merge"), "node").select("node", F.col("rep.id").alias("_lw_id"), F.col("rep.h").alias("_lw_h")))
-        texts = keyed.join(few_or_merge(wanted), keyed[id_col].eqNullSafe(F.col("_lw_id")) & (F.col("_lw_hash") == F.col("_lw_h"))).select("node", keyed[text_col].alias("_lw_whole"))
-        held = shingle_sets(texts, "node", "_lw_whole", size)
-        return alike(close, stash(held.dropDuplicates(["node"]) if repeated else held), tenths)
+        close = stash(both.where(4 * apart < BITS * len(names)).select("a", "b"))
+        return alike(close, shingled(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), tenths)
 
     repeated = not sets.where("rep.n > 1").isEmpty()
-    root = cut(linked(variants(words), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 10, confirm))
+    root = cut(linked(words, 4, near, confirm))
     grouped = sets.hint("merge").join(root.hint("merge"), "node", "left").select("set_hash", "rep", F.coalesce("root", "node").alias("root"))
     first = cut(grouped.groupBy("root").agg(F.min("rep").alias("first")))
     named = cut(grouped.hint("merge").join(first.hint("merge"), "root").select("set_hash", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")))

@@ -98,9 +98,10 @@ def test_edges(frame):
     assert simhash.near_duplicates(frame([(1, "a")]).limit(0)).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_chains_and_stars(spark, few):
     e = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (300, 301), (301, 300), (None, 4)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long"), few=few).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
