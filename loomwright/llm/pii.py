@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -21,12 +22,15 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Generators of further candidates, wider than the patterns above.
+AT, DOT = r"(?:@|\[at\]|\(at\)|\{at\}|<at>|[ _-](?:at|AT)[ _-])", r"(?:\.|\[dot\]|\(dot\)|\{dot\}|<dot>|\[\.\]|\(\.\)|[ _-](?:dot|DOT)[ _-])"
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|\[at\]|\(at\)|\{at\}|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\}|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{1,63}){1,4}"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|\s(?:dot)\s)\s?[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[ .\-–/]{0,2}[0-9]){12,18}"),
-    "phone": re.compile(r"(?:\+|00|\()?[0-9](?:[ ().\-–/]{0,3}[0-9]){6,14}"),
+    "email": re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}\s?{AT}\s?[A-Za-z0-9-]{{1,63}}(?:\s?{DOT}\s?[A-Za-z0-9-]{{1,63}}){{1,4}}"),
+    "ip": re.compile(rf"[0-9]{{1,3}}(?:\s?(?:{DOT}|\{{\.\}}|,)\s?[0-9]{{1,3}}){{3}}"),
+    "card": re.compile(r"[0-9](?:[ .\-–—_/,:|]{0,3}[0-9]){12,18}"),
+    "phone": re.compile(r"(?:\+|00|\()?[0-9](?:[ ().\-–—_/]{0,3}[0-9]){6,14}"),
 }
+#: Texts without any of these hold no candidate for an email.
+MAIL = re.compile(r"@|at[\])}>]|[ _-](?:at|AT)[ _-]")
 CUES = {
     "email": re.compile(r"mail|contact|write|reach|@", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|login|from", re.I),
@@ -34,6 +38,7 @@ CUES = {
     "phone": re.compile(r"phone|call|tel|mobile|cell|fax|whatsapp|contact|sms", re.I),
 }
 DIGIT = re.compile(r"[0-9]")
+FOLDS = 4
 
 
 def luhn(digits: str) -> bool:
@@ -70,17 +75,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover together, in order."""
+    starts, ends = [], []
+    for _, a, e in sorted(spans, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(a)
+            ends.append(e)
+    return starts, ends
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the wide generators that touch no base span; spans of different kinds may overlap."""
+    """Spans of the wide generators that touch no base span; spans of different kinds may overlap. Each is sought by halving
+    among the stretches that base spans cover, so many spans cost no more than their sorting."""
     has_digit = DIGIT.search(text) is not None
     out = []
     for kind in KINDS:
-        if kind == "email" and "@" not in text and "at]" not in text and "at)" not in text and "at}" not in text and not (" dot " in text or " DOT " in text):
-            continue
-        if kind != "email" and not has_digit:
-            continue
-        out += [(kind, m.start(), m.end()) for m in WIDE[kind].finditer(text)]
-    return [c for c in out if not any(c[1] < b[2] and b[1] < c[2] for b in base)]
+        if has_digit if kind != "email" else MAIL.search(text):
+            out += [(kind, m.start(), m.end()) for m in WIDE[kind].finditer(text)]
+    starts, ends = merged(base)
+    free = lambda a, e: (k := bisect.bisect_right(ends, a)) == len(ends) or e <= starts[k]
+    return [c for c in out if free(c[1], c[2])]
 
 
 def features(text: str, span: tuple[str, int, int]) -> list[float]:
@@ -97,22 +114,34 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
         float(s[:1] == "+"), float(s[:2] == "00"), float("(" in s), float(s.count(" ")), float(s.count("-")), float(s.count(".")), float("@" in s), float("at" in s.lower() and "@" not in s),
         float(len(re.split(r"\.|dot", s, flags=re.I)[-1].strip(" ])}")) if kind == "email" else 0), near(before[-1:]), near(after[:1]), float(before[-1:] in "#$€=_/:\"" if before else 0),
         float(bool(CUES[kind].search(before))), float(bool(CUES[kind].search(after))), float(len(DIGIT.findall(before))), float(len(DIGIT.findall(after))), float(len(set(digits)) if digits else 0),
+        float(any(c in s for c in "[({<")), float(bool(re.search(r"[.,]\s", s))), float("\n" in s), float(any("A" <= c <= "Z" for c in s)), float(any(c.isalpha() for c in s)),
+        float(re.split(r"\.|dot", s, flags=re.I)[-1].strip(" ])}>").isalpha()), float(digits != "" and len(digits) > 0.4 * len(s)),
     ]
 
 
+def letters(rng: random.Random, least: int = 3, most: int = 9) -> str:
+    return "".join(rng.choice("aabcdeefghiijklmnoopqrstuuvwxyz") for _ in range(rng.randrange(least, most)))
+
+
 def disguised(kind: str, s: str, rng: random.Random) -> str:
     """Another common way to write a base span, which the base patterns miss."""
     if kind == "email":
-        at, dot = rng.choice([("[at]", "."), ("(at)", "."), (" at ", " dot "), ("[at]", "[dot]"), (" @ ", "."), ("(at)", "(dot)")])
+        at, dot = rng.choice([("[at]", "."), ("(at)", "."), (" at ", " dot "), ("[at]", "[dot]"), (" @ ", "."), ("(at)", "(dot)"), ("@", " dot "), (" [at] ", ".")])
         name, host = s.rsplit("@", 1)
+        if rng.random() < 0.6:  # other names and hosts than this corpus has
+            name = letters(rng) + rng.choice(["", "", rng.choice("._-") + letters(rng), str(rng.randrange(100))])
+            host = letters(rng) + rng.choice(["", "", "-" + letters(rng), str(rng.randrange(10))]) + "." + rng.choice(["com", "org", "net", "de", "fr", "io", "co.uk", "info"])
         return name + at + host.replace(".", dot)
     if kind == "ip":
-        return s.replace(".", rng.choice(["[.]", "(.)", " . ", " dot "]))
+        dot = rng.choice(["[.]", "(.)", " . ", " dot ", "[dot]"])
+        return s.replace(".", dot, rng.choice([1, 3, 3, 3]))
     d = only_digits(s)
     if kind == "card":
         sep = rng.choice([".", "/", "  ", "–", " - "])
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
-    return rng.choice([f"00{d}", f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"0{d[1:4]}/{d[4:]}"])
+    if rng.random() < 0.5:  # without its country
+        d = d[-10:]
+    return rng.choice([f"00{d}", f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"0{d[1:4]}/{d[4:]}", f"00 {d[:2]} {d[2:5]} {d[5:]}", f"{d[:3]} {d[3:6]} {d[6:]}"])
 
 
 def spoiled(kind: str, s: str, rng: random.Random) -> str:
@@ -125,7 +154,8 @@ def spoiled(kind: str, s: str, rng: random.Random) -> str:
         return ".".join(str(rng.choice([rng.randrange(256, 999), rng.randrange(20)])) for _ in range(4)).replace(".", rng.choice([".", " . "]), 3)[:40] if rng.random() < 0.7 else f"{rng.randrange(300, 900)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}"
     if kind == "phone":
         return rng.choice([f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", f"{rng.randrange(10**7, 10**12)}", f"{rng.randrange(1, 99)}.{rng.randrange(100, 999)}.{rng.randrange(100, 999)}", f"{d[:2]}-{d[2:3]}-{d[3:9]}"])
-    return rng.choice([f"at {d[:3]}", f"look at me. {d[:2]}", f"{d[:3]} @ {d[3:5]}.{d[5:7]}", f"arrive at noon.{d[:1]}"])
+    a, b, c = letters(rng), letters(rng), letters(rng)
+    return rng.choice([f"{a} at {b}. {c.title()}", f"{a} at {b}.\n{c.title()} {b}", f"{a} at {b}. {c}", f"at {d[:3]}", f"look at me. {d[:2]}", f"{d[:3]} @ {d[3:5]}.{d[5:7]}", f"arrive at noon.{d[:1]}"])
 
 
 @dataclass
@@ -142,23 +172,29 @@ class Judge:
         found = candidates(text, base) if self.trees is not None else []
         if not found:
             return []
-        z = self.trees.decision(np.array([features(text, c) for c in found]))
+        z = np.concatenate([self.trees.decision(np.array([features(text, c) for c in found[i : i + 4096]])) for i in range(0, len(found), 4096)])
+        starts: list[int] = []
         taken: list[tuple[str, int, int]] = []
         for i in np.lexsort((np.arange(len(z)), -z)):
-            c = found[i]
-            if z[i] >= self.limits.get(c[0], float("inf")) and not any(c[1] < t[2] and t[1] < c[2] for t in taken):
-                taken.append(c)
+            kind, a, e = found[i]
+            if z[i] < self.limits.get(kind, float("inf")):
+                continue
+            k = bisect.bisect_left(starts, a)
+            if (k == 0 or taken[k - 1][2] <= a) and (k == len(taken) or e <= starts[k]):
+                starts.insert(k, a)
+                taken.insert(k, found[i])
         return taken
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 2_000, precision: float = 0.98, seed: int = 3) -> Judge:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 2_000, most_cases: int = 20_000, precision: float = 0.98, seed: int = 3) -> Judge:
     """A judge fitted on a bounded sample of at most most_rows texts that hold a digit or an at sign, chosen by a seeded hash.
 
     No table labels personal data, so the sample labels itself: each base span is rewritten in its own
-    sentence in a way the base patterns miss (right) and as a look-alike (wrong), and candidates found
-    where the base has dropped a match, such as a number that fails its checksum, count as wrong. A fifth
-    of the texts is held back to set each kind's threshold at the wanted precision. Only the windows
-    around spans come to the driver.
+    sentence in a way the base patterns miss (right) and as a look-alike (wrong), and candidates as the
+    texts hold them, such as a number that fails its checksum or an "at" in prose, count as wrong. Texts are dealt to
+    FOLDS folds; trees of the other folds score each fold, and these scores set each kind's threshold at the wanted
+    precision, before the trees are grown again on all. Every span and candidate of a sampled text
+    is a case; at most most_cases cases, again by a seeded hash, come to the driver as features.
     """
     holds = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9]{3}|@"))
     sample = bounded_sample(holds, most_rows, "id", seed).select("id", "t")
@@ -171,32 +207,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rng = random.Random(f"{seed}:{key}")
                 base = base_spans(text)
-                fold = int(rng.random() < 0.2)
-                cases = [(text, c, 0) for c in candidates(text, base)[:8] if c[0] != "email" or "@" in text[c[1] : c[2]]]
-                for kind, s, e in base[:8]:
+                fold = rng.randrange(FOLDS)
+                cases = [(text, c, 0) for c in candidates(text, base)]
+                for kind, s, e in base:
                     left, right = text[max(0, s - 60) : s], text[e : e + 40]
-                    for label, make in ((1, disguised), (0, spoiled)):
+                    for label, make in ((1, disguised), (1, disguised), (0, spoiled), (0, spoiled)):
                         new = make(kind, text[s:e], rng)
-                        line = left + new + right
+                        line = (left := left + "at " if kind == "ip" and rng.random() < 0.3 else left) + new + right
                         lies = [c for c in candidates(line, base_spans(line)) if c[1] < len(left) + len(new) and c[2] > len(left)]
                         cases += [(line, c, int(label and c[0] == kind and abs(c[1] - len(left)) <= 1 and abs(c[2] - len(left) - len(new)) <= 1)) for c in lies]
-                rows += [(features(t, c), y, fold) for t, c, y in cases]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], names=["x", "y", "fold"])
+                rows += [(f"{key}:{i}", features(t, c), y, fold) for i, (t, c, y) in enumerate(cases)]
+            kinds = pa.string(), pa.list_(pa.float64()), pa.int32(), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["case", "x", "y", "fold"])
 
-    got = sorted((tuple(r[0]), r[1], r[2]) for r in cut(sample).mapInArrow(rewrite, "x array<double>, y int, fold int").collect())
+    every = cut(cut(sample).mapInArrow(rewrite, "case string, x array<double>, y int, fold int"))
+    got = sorted((tuple(r[0]), r[1], r[2]) for r in bounded_sample(every, most_cases, "case", seed).select("x", "y", "fold").collect())
     import numpy as np
 
     from loomwright.llm.boosting import Boosted, calibrated_threshold
 
-    if len({r[1] for r in got if not r[2]}) < 2:
-        return Judge(None, {})
     x, y, fold = np.array([r[0] for r in got]), np.array([r[1] for r in got], float), np.array([r[2] for r in got])
-    trees = Boosted().fit(x[fold == 0], y[fold == 0])
-    z, limits = trees.decision(x[fold == 1]), {}
+    if len(np.unique(y)) < 2 or any(len(np.unique(y[fold != f])) < 2 for f in range(FOLDS)):
+        return Judge(None, {})
+    z, limits = np.zeros(len(y)), {}
+    for f in range(FOLDS):
+        z[fold == f] = Boosted().fit(x[fold != f], y[fold != f]).decision(x[fold == f])
     for i, kind in enumerate(KINDS):
-        mine = x[fold == 1][:, 0] == i
-        limits[kind] = max(0.0, calibrated_threshold(z[mine], y[fold == 1][mine], precision))
-    return Judge(trees, limits)
+        mine = x[:, 0] == i
+        limits[kind] = max(0.0, calibrated_threshold(z[mine], y[mine], precision))
+    return Judge(Boosted().fit(x, y), limits)
 
 
 def find(docs: DataFrame, keep: list[str], judge: Judge, text_col: str = "text") -> DataFrame:
