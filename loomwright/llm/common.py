@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
 import uuid
 from itertools import compress
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="loomwright-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -85,6 +89,57 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 ENDS = re.compile(rb"([!-&(-/:-@\[-`{-~])(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))([!-&(-/:-@\[-`{-~]*)(?=[\x20\x09-\x0D]|\Z)")
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file is one whose texts may be encoded word by word: its normaliser only composes, lower-cases and makes
+    white space one space, its pre-tokenizer keeps runs of letters, single digits and runs of other signs, none of which crosses
+    white space, and its model marks the ends of words. Files of other kinds are not."""
+    if not path.endswith(".json"):
+        return False
+    held = json.loads(Path(path).read_text())
+    steps = lambda x, name: x.get(name, []) if (x or {}).get("type") == "Sequence" else []
+    normal = [n.get("type") for n in steps(held.get("normalizer"), "normalizers")]
+    spaces = [n for n in steps(held.get("normalizer"), "normalizers") if n.get("type") == "Replace"]
+    split = [p for p in steps(held.get("pre_tokenizer"), "pretokenizers") if p.get("type") == "Split"]
+    # The settings that the word memory was tested with.
+    return (
+        normal == ["NFC", "Replace", "Lowercase"] and spaces[0].get("pattern") == {"Regex": r"\s+"} and spaces[0].get("content") == " "
+        and [p.get("pattern") for p in split] == [{"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}]
+        and split[0].get("behavior") == "Removed" and split[0].get("invert") is True and held["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
+class LibraryIds:
+    """Token ids of whole texts by the library alone: tokenizers for .json files, sentencepiece for .model files."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            library = SentencePieceProcessor(model_file=path)
+            self.encode = lambda texts: library.encode(texts, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            library.no_truncation()
+            library.no_padding()
+            self.encode = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(self, texts: list[bytes | None], together: int = 64) -> list[bytes]:
+        import numpy as np
+
+        out = []
+        for i in range(0, len(texts), together):
+            out += [np.array(ids, "<u4").tobytes() for ids in self.encode([(t or b"").decode("utf-8", "replace") for t in texts[i : i + together]])]
+        return out
+
+
+def encoder(path: str) -> WordIds | LibraryIds:
+    """What encodes whole texts exactly as the library does: word by word where the file allows it, else the library itself."""
+    return WordIds(path) if by_words(path) else LibraryIds(path)
+
+
 class WordIds:
     """Token ids of whole texts, word by word, with a bounded memory of words already seen.
 

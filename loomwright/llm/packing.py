@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import WordIds, slices, vocabulary
+from loomwright.llm.common import encoder, slices, vocabulary
 
 
 class Bins:
@@ -79,7 +79,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
     def each(batches):
         import pyarrow as pa
 
-        words = WordIds(path)
+        words = encoder(path)
         for b in slices(batches):
             got = pa.array([t + end for t in words.many(b.column(1).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=[id_col, "ids"])
@@ -94,13 +94,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ids holds the piece's token ids as little-endian unsigned 32-bit bytes. Every id of every document, the
     end id included, lies in exactly one piece; offsets are gapless from 0. Documents are dealt to groups by
     a seeded hash of id and text; a group holds about group_bytes of text, so that tasks stay small however
-    large the table. A null or empty text gives the end id alone. Rows repeating id and text stay apart.
+    large the table; the place of a row in its partition is part of the hash, so that very many rows repeating id and text
+    (or null id and text) spread over groups. A scan of files repeats these places if a task is lost; write a table that a
+    shuffle has made to files first. A null or empty text gives the end id alone. Rows repeating id and text stay apart.
+    Any vocabulary of the tokenizers or sentencepiece libraries may be named; columns other than id and text are not read.
     """
     path = tokenizer or vocabulary()
     total = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
     groups = max(1, math.ceil((total[0] or 0) / group_bytes), math.ceil(total[1] / 100_000))
-    tokens = encoded(docs, id_col, text_col, path, end_id)
-    tokens = tokens.withColumn("_lw_group", F.pmod(F.xxhash64(F.lit(seed), id_col, F.crc32("ids")), F.lit(groups)))
+    # Rows that repeat id and text have no order, so their place in the table may part them; it is fixed before rows are dealt.
+    tokens = encoded(docs, id_col, text_col, path, end_id).withColumn("_lw_place", F.pmod(F.monotonically_increasing_id(), F.lit(1009)))
+    tokens = tokens.withColumn("_lw_group", F.pmod(F.xxhash64(F.lit(seed), id_col, F.crc32("ids"), "_lw_place"), F.lit(groups)))
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(k, T.LongType()) for k in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType())]
 
     def group_job(t):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.common import WordIds, slices, vocabulary
+from loomwright.llm.common import WordIds, encoder, slices, vocabulary
 
 STABLE = frozenset(" \t\n\x0b\x0c\r")
 
@@ -61,18 +61,20 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """Per document: id, n_bytes (UTF-8), n_tokens as the library gives them for the whole text, over_limit.
 
     Texts of more than `huge` bytes are encoded in overlapping chunks; others word by word, from words
-    already seen where possible. A null or empty text has 0 tokens. Repeated rows repeat.
+    already seen where possible. Both need a vocabulary whose tokens provably end at white space; with any other
+    the library encodes every text whole. A null or empty text has 0 tokens. Repeated rows repeat.
     """
     path = tokenizer or vocabulary()
 
     def each(batches):
         import pyarrow as pa
 
-        words = WordIds(path)
+        words = encoder(path)
         for b in slices(batches):
             texts = b.column(1).to_pylist()
-            n = [len(x) // 4 for x in words.many([t if t and len(t) <= huge else None for t in texts])]
-            n = [spliced(words.library, t.decode("utf-8", "replace")) if t and len(t) > huge else k for t, k in zip(texts, n, strict=True)]
+            cut = lambda t: isinstance(words, WordIds) and t is not None and len(t) > huge
+            n = [len(x) // 4 for x in words.many([None if cut(t) else t for t in texts])]
+            n = [spliced(words.library, t.decode("utf-8", "replace")) if cut(t) else k for t, k in zip(texts, n, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])

@@ -110,10 +110,24 @@ def test_order_never_changes_verdicts(spark, frame):
     one = sorted((r.doc_id, r.kept) for r in quality.verdicts(frame(rows), rules=dict(quality.RULES)).collect())
     two = sorted((r.doc_id, r.kept) for r in quality.verdicts(frame(rows), rules=dict(reversed(quality.RULES.items()))).collect())
     assert one == two and {k for _, k in one} == {True, False}
-    assert len(quality.cascade_order(spark, frame(rows), quality.RULES)) == len(quality.RULES)
+    assert len(quality.cascade_order(frame(rows), quality.RULES)) == len(quality.RULES)
     assert quality.report(frame(rows).limit(0)).count() == 0
 
 
+def test_order_follows_rejection_per_cost_and_no_clock(spark):
+    # Half the texts are short, all hold repeats: the rule over windows rejects more, the one over words costs far less.
+    rows = [(i, ("a b c " if i % 2 else "so it goes on and on with more " * 4) + f"w{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = {"windows": "n_repeat_words > 3", "words": "n_words < 10", "never": "n_symbols > 100000"}
+    got = quality.cascade_order(docs, rules, sample_rows=400)
+    share, cost = {k: s for k, _, s in got}, {k: c for k, c, _ in got}
+    assert [k for k, _, _ in got] == sorted(rules, key=lambda k: (-share[k] / cost[k], k)) and got[0][0] == "words" and got[-1][0] == "never"
+    assert share["words"] == share["windows"] == 0.5 and cost["windows"] > 2 * cost["words"]
+    # Reruns and other partitionings give the same order and the same rule that failed.
+    failed = lambda d: sorted((r.doc_id, r.failed_rule or "") for r in quality.verdicts(d, sample_rows=50).collect())
+    assert quality.cascade_order(docs.repartition(7), rules, sample_rows=400) == got and failed(docs) == failed(docs.repartition(5))
+
+
 # Packing and tokens -------------------------------------------------------------------------------------------------
 ODD = ["", " ", "It's. DON'T! <|endoftext|> <|STARTOFTEXT|> x<|startoftext|>.", "éa. É. ½. 3. a̸. ≠ İstanbul. ΣΑΣ. a…. x'. 'S. foo'S. 日本語. \x1c a\x85b a b.", "a" * 300 + ".", "…. .. a*** é%%% x_ y-- 'll. we'LL. 1.5. 1st. Ⅷ. ²."]
 
@@ -146,6 +160,47 @@ def test_counts(library, frame):
         assert got[i] == (len((t or "").encode()), n, n > 2048)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies_are_the_library_s(name, spark, small, frame):
+    from loomwright.llm import common
+
+    path = vocabulary(name)
+    assert common.by_words(vocabulary()) and not common.by_words(path)
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        ids = lambda t: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    else:
+        from sentencepiece import SentencePieceProcessor
+
+        ids = SentencePieceProcessor(model_file=path).encode
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(90, None), (91, "some words here. " * 9000)]
+    got = {r.doc_id: r.n_tokens for r in tokens.counts(frame(rows), tokenizer=path).collect()}
+    assert got == {i: len(ids(t or "")) for i, t in rows}
+    by_doc = {}
+    for r in packing.pack(frame(rows), tokenizer=path).collect():
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in by_doc.items()} == {i: np.array([*ids(t or ""), 1], "<u4").tobytes() for i, t in rows}
+
+
+def test_first_fit_is_the_plain_one():
+    rng = random.Random(8)
+    for _ in range(30):
+        needs = sorted((rng.randrange(1, 2048) for _ in range(rng.randrange(1, 300))), reverse=True)
+        bins, room = packing.Bins(len(needs), 2048), []
+        for n in needs:
+            k = next((i for i, r in enumerate(room) if r >= n), len(room))
+            room += [2048] * (k == len(room))
+            room[k] -= n
+            assert bins.first_fit(n) == k
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words in every row " * 20).alias("text"))
+    groups = packing.pack(docs, group_bytes=200_000).selectExpr("sequence_id >> 32 AS g").groupBy("g").count().collect()
+    assert len(groups) > 5
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [2048], [2049], [1, 1, 1], [5000, 3, 2047], [random.Random(7).randrange(1, 3000) for _ in range(500)]])
 def test_place_covers_every_token_once(lengths):
     seen = {i: np.zeros(n, int) for i, n in enumerate(lengths)}
