@@ -161,8 +161,13 @@ def bounded_samples(rows: DataFrame, by: list[str], order: list[str], n: int = 2
     return rows.withColumn("sample", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("sample") <= n)
 
 
-def weighted_draw(rows: DataFrame, weights: DataFrame, value: str, weight: str, u: Column) -> DataFrame:
-    """Rows with a value drawn by weight from a small table: u in [0, 1) falls in the value's share of the running total."""
+def weighted_draw(rows: DataFrame, weights: DataFrame, value: str, weight: str, u: Column, most: int = 100_000) -> DataFrame:
+    """Rows with a value drawn by weight from a table of classes: u in [0, 1) falls in the value's share of the running total.
+
+    The classes are counted and broadcast; of more than `most` the draw is refused, as they are then rows and no classes.
+    """
+    if (n := weights.count()) > most:
+        raise ValueError(f"{n} classes to draw from; at most {most} are sent to every task")
     w = Window.orderBy(value)
     cum = weights.withColumn("hi", F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy()))
     cum = cum.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0))).select(value, "lo", "hi")
@@ -173,8 +178,8 @@ def weighted_draw(rows: DataFrame, weights: DataFrame, value: str, weight: str,
 def annotate_dupes(values: DataFrame, conv: str, idx: str, value: str) -> DataFrame:
     """Per candidate its values that also occur earlier or later in the conversation, and whether it is preferred as key: none of its values recurs later."""
     w = Window.partitionBy(conv, value)
-    d = values.withColumn("n", F.size(F.collect_set(idx).over(w))).withColumn("lo", F.min(idx).over(w)).withColumn("hi", F.max(idx).over(w))
-    many = F.col("n") > 1
+    d = values.withColumn("lo", F.min(idx).over(w)).withColumn("hi", F.max(idx).over(w))
+    many = F.col("lo") != F.col("hi")
     pick = lambda c: F.array_sort(F.collect_set(F.when(many & c, F.col(value))))
     out = d.groupBy(conv, idx).agg(pick(F.col(idx) != F.col("hi")).alias("recurs_later"), pick(F.col(idx) != F.col("lo")).alias("seen_before"))
     return out.withColumn("prefer_as_key", F.size("recurs_later") == 0)

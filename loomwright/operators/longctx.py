@@ -116,6 +116,6 @@ def mix_distractors(blocks: DataFrame, pool: DataFrame, who: str, per_block: int
     n = pool.count()
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), who, "block", "slot")), 1, 12), 16, 10).cast("long") % F.lit(max(n, 1)) + 1
     want = blocks.select(who, "block", F.explode(F.sequence(F.lit(0), F.lit(per_block - 1))).alias("slot")).withColumn("no", pick)
-    got = want.join(numbered, "no")
+    got = want.hint("merge").join(numbered.hint("merge"), "no")
     used = F.sum("n_words").over(Window.partitionBy(who).orderBy("block", "slot"))
     return got.withColumn("used", used).where(F.col("used") <= budget).select(who, "block", "slot", "doc_id", "n_words", "used")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.sources.io import shared_folder
+
 
 def twin_join(items: DataFrame, keys: list[str], order: list[str], baseline: str = "baseline") -> DataFrame:
     """Items of other worlds with base_answer, what the baseline's item of the same keys was answered; null without a twin.
@@ -98,12 +100,8 @@ def descendants(edges: DataFrame, child: str, parent: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a checkpoint in the folder the session names, or a local one where it names none."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwright-"))
+    """Lineage cut by a checkpoint in the folder that shared_folder() gives."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -126,8 +124,8 @@ def token_pairs(rows: DataFrame, conv: str, key: str, tokens: str, least: int =
     w = Window.partitionBy(conv, key).orderBy("df", "tok")
     # Overlap is at least `least`, so leaving out the last least - 1 tokens of each ordered set loses no pair.
     head = df.withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.col("size") - (least - 1)).select(conv, key, "tok")
-    pairs = head.join(head.select(conv, "tok", F.col(key).alias("other")), [conv, "tok"]).where(F.col(key) < F.col("other")).select(conv, key, "other").distinct()
-    both = pairs.join(sets, [conv, key]).join(sets.select(conv, F.col(key).alias("other"), F.col("set").alias("other_set")), [conv, "other"])
+    pairs = head.hint("merge").join(head.select(conv, "tok", F.col(key).alias("other")).hint("merge"), [conv, "tok"]).where(F.col(key) < F.col("other")).select(conv, key, "other").distinct()
+    both = pairs.hint("merge").join(sets.hint("merge"), [conv, key]).hint("merge").join(sets.select(conv, F.col(key).alias("other"), F.col("set").alias("other_set")).hint("merge"), [conv, "other"])
     n = F.size(F.array_intersect("set", "other_set"))
     a, b = F.size("set"), F.size("other_set")
     return both.withColumn("overlap", n).where((n >= least) & ((n / (a + b - n) >= jaccard) | (n / F.least(a, b) >= contained))).select(conv, key, "other", "overlap")
@@ -137,7 +135,7 @@ def best_match(targets: DataFrame, cands: DataFrame, target_id: str, cand_id: st
     """For each target the candidate of its block with the largest token overlap, the smallest id on ties; none if nothing overlaps."""
     a = targets.select(*block, target_id, F.explode(F.array_distinct("tokens")).alias("tok"))
     b = cands.select(*block, cand_id, F.explode(F.array_distinct("tokens")).alias("tok"))
-    n = a.join(b, [*block, "tok"]).groupBy(*block, target_id, cand_id).agg(F.count("*").alias("overlap"))
+    n = a.hint("merge").join(b.hint("merge"), [*block, "tok"]).groupBy(*block, target_id, cand_id).agg(F.count("*").alias("overlap"))
     return n.withColumn("r", F.row_number().over(Window.partitionBy(*block, target_id).orderBy(F.desc("overlap"), cand_id))).where("r = 1").drop("r")
 
 

@@ -21,6 +21,19 @@ def rate_columns() -> list[Column]:
     return [F.count("*").alias("n"), *[share(F.col(ANSWER) == k).alias(f"{k}_rate") for k in known], share(~F.coalesce(F.col(ANSWER).isin(*known), F.lit(False))).alias("other_rate")]
 
 
+def rate_sums() -> list[Column]:
+    """Numbers behind rate_columns(); those of parts of the rows add up."""
+    known = (RECALLED, REFUSED, DISTRACTED)
+    return [F.count("*").alias("n"), *[F.count_if(F.col(ANSWER) == k).alias(k) for k in known]]
+
+
+def rates_of_sums() -> list[Column]:
+    """The rates from such sums."""
+    known = (RECALLED, REFUSED, DISTRACTED)
+    other = F.col("n") - F.col(RECALLED) - F.col(REFUSED) - F.col(DISTRACTED)
+    return [*[(F.col(k) / F.col("n")).alias(f"{k}_rate") for k in known], (other / F.col("n")).alias("other_rate")]
+
+
 def rates(items: DataFrame, by: list[str]) -> DataFrame:
     """Number of questions and the share of each answer type per group; with no keys and no rows, n is 0 and rates are 0."""
     out = items.groupBy(*by).agg(*rate_columns())
@@ -50,7 +63,7 @@ def by_stage(items: DataFrame, stages: list[str], by: list[str], stage_col: str
     """Rates per stage, with a row of zeros for the stages that have no items."""
     spark = items.sparkSession
     every = items.select(*by).distinct().withColumn(stage_col, F.explode(F.array(*map(F.lit, stages)))) if by else spark.createDataFrame([(s,) for s in stages], f"{stage_col} string")
-    return every.join(rates(items, [*by, stage_col]), [*by, stage_col], "left").na.fill(0)
+    return every.hint("merge").join(rates(items, [*by, stage_col]).hint("merge"), [*by, stage_col], "left").na.fill(0)
 
 
 def settings_rates(items: DataFrame, settings: list[tuple[str, str, str, str | None]]) -> DataFrame:
@@ -126,7 +139,7 @@ def completion(records: DataFrame, expected: dict[str, int]) -> DataFrame:
     dim = F.explode(F.array(*[F.struct(F.lit(w).alias("world"), F.lit(n).alias("expected")) for w, n in expected.items()]))
     every = records.select("system_id").distinct().select("system_id", dim.alias("d")).select("system_id", "d.*")
     got = records.groupBy("system_id", "world").agg(F.count_distinct("persona", "ask_stage").alias("got"))
-    return every.join(got, ["system_id", "world"], "left").na.fill(0, ["got"])
+    return every.hint("merge").join(got.hint("merge"), ["system_id", "world"], "left").na.fill(0, ["got"])
 
 
 def pooled(items: DataFrame, by: list[str], error: Column | None = None) -> DataFrame:

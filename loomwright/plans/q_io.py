@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,9 +16,8 @@ P = "predicted_answer_type"
 
 
 def scratch(t, name: str) -> str:
-    """A new folder below the shared one that the session names, or a local one where it names none."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwright-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{io.shared_folder(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("src_01_json_tree", "SELECT conv_id, count(*)::INT AS n_lines, arg_min(text, turn) AS first_line FROM conversations GROUP BY 1")
@@ -113,7 +111,7 @@ query("str_02_dedup_trace", "SELECT user_id, event_type, min(event_id) AS event_
 def str_02b(t):
     path = scratch(t, "dedup")
     s = streams.dedup_trace(as_stream(t, t.events.select("event_id", "ts", "user_id", "event_type"), "str02"), ["user_id", "event_type"], "ts", "365 days")
-    return streams.run_to_table(s.select("user_id", "event_type"), f"dedup_{uuid.uuid4().hex}", "append", path)
+    return streams.run_to_files(s.select("user_id", "event_type"), f"{path}/rows", f"{path}/checkpoint")
 
 
 FOLD = "WITH l AS (SELECT user_id, mem_id, arg_max(action, seq) AS a, arg_max(value, seq) AS value, max(seq) AS last_seq FROM {store_log} WHERE action <> 'NONE' GROUP BY ALL) SELECT user_id, mem_id, value, last_seq FROM l WHERE a <> 'DELETE'"
@@ -122,13 +120,14 @@ query("str_03_fold_actions", FOLD)(lambda t: streams.fold_batch(t.store_log, "us
 
 @query("str_03b_fold_stream", FOLD)
 def str_03b(t):
-    """The fold by state; the state processor needs the RocksDB store, which is set for this run and then set back."""
+    """The fold by state over several micro-batches in order of seq; a run's last batch holds what lives at its end. The state
+    processor needs the RocksDB store, which is set for this run and then set back."""
     key, path = "spark.sql.streaming.stateStore.providerClass", scratch(t, "fold")
     before = t.spark.conf.get(key)
     t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        s = streams.fold_stream(as_stream(t, t.store_log.select("seq", "user_id", "mem_id", "action", "value"), "str03", 1), "user_id", "mem_id", "seq", "value")
-        return streams.run_to_table(s, f"fold_{uuid.uuid4().hex}", "update", path)
+        s = streams.fold_stream(as_stream(t, t.store_log.select("seq", "user_id", "mem_id", "action", "value"), "str03"), "user_id", "mem_id", "seq", "value")
+        return streams.latest_step(streams.run_steps(s, f"{path}/steps", "update", f"{path}/checkpoint"), ["user_id"]).where("mem_id IS NOT NULL")
     finally:
         t.spark.conf.set(key, before)
 
@@ -144,7 +143,7 @@ query("str_04c_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts)
 def str_04d(t):
     path = scratch(t, "tumble")
     s = streams.windowed_rates(as_stream(t, t.events.select("event_id", "ts", "value"), "str04"), "ts", F.col("value") > 20, "1 day", late="365 days")
-    return streams.run_to_table(s, f"tumble_{uuid.uuid4().hex}", "complete", path)
+    return streams.latest_step(streams.run_steps(s, f"{path}/steps", "update", f"{path}/checkpoint"), ["start"])
 
 
 # User functions --------------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,19 @@ EVAL = f"method STRING, model STRING, world STRING, ask_period STRING, whole_rec
 TRACE = "event_type STRING, phase_label STRING, turn_index INT, user_input STRING, assistant_output STRING, user_input_sent BOOLEAN, qa_family STRING, timestamp STRING, predicted_choice STRING, memory_triggered BOOLEAN, error STRING"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a new local one where that is unset."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="loomwright-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def read_eval_tree(spark: SparkSession, roots: list[str], schema: str = EVAL) -> DataFrame:
     """Every JSON file under the roots, each path once, with its path."""
     df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(roots)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.operators.metrics import rate_columns
+from loomwright.operators.metrics import rate_sums, rates_of_sums
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_batch: int = 1) -> DataFrame:
@@ -17,13 +17,19 @@ def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per
 
 
 def stage_stream(batches: DataFrame, out: str, checkpoint: str) -> None:
-    """Each micro-batch is appended, then the rates of everything so far are written for the newest stage. Runs until the input is used up."""
+    """After each micro-batch the rates of everything so far are written as the newest step. Runs until the input is used up.
+
+    A step keeps sums per world, to which the next batch adds its own, so a batch reads its rows and one small table only.
+    """
+    columns = rate_sums()
 
     def evaluate(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{out}/items/batch={batch_id}")
-        seen = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/items").where(F.col("batch") <= batch_id)
-        seen.groupBy("world").agg(*rate_columns()).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/rates/step={batch_id}")
+        sums = df.groupBy("world").agg(*columns)
+        if batch_id:
+            sums = sums.unionByName(spark.read.schema(sums.schema).parquet(f"{out}/sums/step={batch_id - 1}"))
+        sums.groupBy("world").agg(*[F.sum(c).alias(c) for c in sums.columns if c != "world"]).write.mode("overwrite").parquet(f"{out}/sums/step={batch_id}")
+        spark.read.schema(sums.schema).parquet(f"{out}/sums/step={batch_id}").select("world", "n", *rates_of_sums()).write.mode("overwrite").parquet(f"{out}/rates/step={batch_id}")
 
     batches.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -47,24 +53,28 @@ def fold_batch(log: DataFrame, run: str, mem: str, seq: str, value: str) -> Data
 
 
 class Fold:
-    """State per run: a map of live entries. Used by transformWithStateInPandas; deletes drop state."""
+    """State per run: a map from entry to its last action that counts, by seq, so micro-batches may come in any order; a deleted
+    entry stays as a mark for older actions that come late. Used by transformWithStateInPandas."""
 
     def __init__(self, run: str, mem: str, seq: str, value: str):
         self.run, self.mem, self.seq, self.value = run, mem, seq, value
 
     def init(self, handle) -> None:
-        self.live = handle.getMapState("live", f"{self.mem} int", "value double, last_seq long")
+        self.live = handle.getMapState("live", f"{self.mem} int", "value double, last_seq long, live boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        for r in pd.concat(list(rows)).sort_values(self.seq).itertuples(index=False):
-            entry, action = (int(getattr(r, self.mem)),), r.action
-            if action == "DELETE":
-                if self.live.containsKey(entry):
-                    self.live.removeKey(entry)
-            elif action != "NONE":
-                self.live.updateValue(entry, (float(getattr(r, self.value)), int(getattr(r, self.seq))))
-        out = [(key[0], k[0], v[0], v[1]) for k, v in self.live.iterator()]
-        yield pd.DataFrame(out, columns=[self.run, self.mem, "value", "last_seq"])
+        # A run's rows of a batch come in chunks; each keeps only an entry's last action that counts, so one frame holds a row per entry.
+        last = pd.DataFrame()
+        for chunk in rows:
+            both = pd.concat([last, chunk[chunk["action"] != "NONE"]])
+            last = both.sort_values(self.seq).drop_duplicates(self.mem, keep="last")
+        for r in last.itertuples(index=False):
+            entry, seq = (int(getattr(r, self.mem)),), int(getattr(r, self.seq))
+            if not self.live.containsKey(entry) or self.live.getValue(entry)[1] < seq:
+                self.live.updateValue(entry, (float(getattr(r, self.value)), seq, r.action != "DELETE"))
+        # A run without live entries says so by one row without an entry, which takes the place of its earlier rows.
+        out = [(key[0], k[0], v[0], v[1]) for k, v in self.live.iterator() if v[2]] or [(key[0], None, None, None)]
+        yield pd.DataFrame(out, columns=[self.run, self.mem, "value", "last_seq"]).astype({self.mem: "Int32", "last_seq": "Int64"})
 
     def close(self) -> None:
         pass
@@ -91,9 +101,24 @@ def session_rates(events: DataFrame, time: str, who: str, gap: str, late: str |
     return src.groupBy(who, F.session_window(time, gap).alias("s")).agg(F.count("*").alias("n")).select(who, F.col("s.start").alias("start"), "n")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns its memory table; for parity checks on small inputs."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    df = stream.sparkSession.table(name)
-    return then(df) if then else df
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an append stream over what is there into Parquet files and reads them back."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_steps(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there; every micro-batch's rows go to Parquet under its number, and all are read back with step.
+    A batch that is run again writes the same folder, so a lost driver or executor doubles nothing."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/step={batch_id}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("step", T.IntegerType())])).parquet(path)
+
+
+def latest_step(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """Of every key the rows of its last step: what an update stream says of it at the end."""
+    last = steps.groupBy(*keys).agg(F.max("step").alias("step"))
+    return steps.hint("merge").join(last.hint("merge"), [*keys, "step"]).drop("step").select(*[c for c in steps.columns if c != "step"])

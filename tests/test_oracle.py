@@ -16,5 +16,6 @@ def test_same_rows(name, spark, small, same):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(name, spark, small):
-    df = QUERIES[name](spark, small)
-    assert df.columns and df.count() >= 0
+    """Rows come, and two runs give the same; what the rows must be is tested in test_properties."""
+    one, two = (sorted(map(repr, QUERIES[name](spark, small).collect())) for _ in range(2))
+    assert one and one == two
