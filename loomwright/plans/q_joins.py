@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -142,14 +144,36 @@ query("jon_26_reuse_profile", "SELECT c.c_custkey, o.o_orderkey, o.o_totalprice
 )
 
 # Worlds and questions ------------------------------------------------------------------------------------------------
-SUF, ACK = W.TEMPLATES["no_store_suffix"][0], W.TEMPLATES["no_store_ack"][0]
+def said(name: str, *keys: str) -> str:
+    """SQL of the wording that the same hash draws."""
+    t = W.TEMPLATES[name]
+    key = " || ':' || ".join([f"'{name}'", *[f"{k}::VARCHAR" for k in keys]])
+    return f"list_extract([{', '.join(repr(x) for x in t)}], ((('0x' || substr(md5({key}), 1, 8))::BIGINT % {len(t)}) + 1)::INT)"
+
+
 KEYED = "SELECT conv_id AS c, turn AS k FROM {user_turns} WHERE user_idx = 0"
-NO_STORE = f"SELECT conv_id, turn, role, CASE WHEN k IS NOT NULL THEN rtrim(text) || ' {SUF}' WHEN lag(k) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND role = 'assistant' THEN '{ACK} ' || text ELSE text END AS text FROM conversations LEFT JOIN ({KEYED}) ON c = conv_id AND k = turn"
+
+
+def no_store_sql(whole: str) -> str:
+    return f"""SELECT conv_id, turn, role, CASE WHEN k IS NOT NULL THEN {whole}
+WHEN lag(k) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND role = 'assistant' THEN {said("no_store_ack", "conv_id", "turn")} || ' ' || text ELSE text END AS text
+FROM conversations LEFT JOIN ({KEYED}) ON c = conv_id AND k = turn"""
+
+
+NO_STORE = no_store_sql(f"rtrim(text) || ' ' || {said('no_store_suffix', 'conv_id', 'turn')}")
+NO_STORE_PREFIX = no_store_sql(f"{said('no_store_prefix', 'conv_id', 'turn')} || ' ' || ltrim(text)")
 LAST = "(SELECT conv_id AS lc, max(turn) AS last FROM conversations GROUP BY 1)"
 REFK = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, left(text, 20) AS ref FROM {user_turns} WHERE user_idx = 0"
-FU, FA = (W.TEMPLATES[f"forget_{w}"][0].replace("{target_reference}", "' || ref || '") for w in ("user", "assistant"))
-FORGET = f"SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, last + 2 * k + 1, 'user', '{FU}' FROM ({REFK}) JOIN {LAST} ON lc = conv_id UNION ALL SELECT conv_id, last + 2 * k + 2, 'assistant', '{FA}' FROM ({REFK}) JOIN {LAST} ON lc = conv_id"
-pair = lambda name, i, cond="true": f" UNION ALL SELECT lc, last + {2 * i + 1}, 'user', '{W.TEMPLATES[name + '_user'][0]}' FROM {LAST} WHERE {cond} UNION ALL SELECT lc, last + {2 * i + 2}, 'assistant', '{W.TEMPLATES[name + '_assistant'][0]}' FROM {LAST} WHERE {cond}"
+FU, FA = (f"replace({said(f'forget_{w}', 'conv_id', 'k')}, chr(123) || 'target_reference' || chr(125), ref)" for w in ("user", "assistant"))
+FORGET = f"""SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, last + 2 * k + 1, 'user', {FU} FROM ({REFK}) JOIN {LAST} ON lc = conv_id
+UNION ALL SELECT conv_id, last + 2 * k + 2, 'assistant', {FA} FROM ({REFK}) JOIN {LAST} ON lc = conv_id"""
+
+
+def pair(name: str, i: int, cond: str = "true") -> str:
+    rows = [f"SELECT lc, last + {2 * i + step}, '{role}', {said(f'{name}_{role}', 'lc')} FROM {LAST} WHERE {cond}" for step, role in ((1, "user"), (2, "assistant"))]
+    return " UNION ALL " + " UNION ALL ".join(rows)
+
+
 NO_USE = "SELECT conv_id, turn, role, text FROM conversations" + pair("restrict", 0)
 
 
@@ -158,12 +182,18 @@ def keys(t):
 
 
 query("wld_01_no_store", NO_STORE)(lambda t: W.no_store(t.conversations, keys(t)).select("conv_id", "turn", "role", "text"))
+query("wld_01b_no_store_prefix", NO_STORE_PREFIX)(lambda t: W.no_store(t.conversations, keys(t), placement="prefix").select("conv_id", "turn", "role", "text"))
 query("wld_02_forget", FORGET)(lambda t: W.forget(t.conversations, keys(t), "ref"))
 query("wld_03_no_use", NO_USE + pair("release", 1, "lc % 2 = 0"))(lambda t: W.no_use(t.conversations, F.col("conv_id") % 2 == 0))
 ALL = " UNION ALL ".join(f"SELECT *, '{w}' AS world FROM ({q})" for w, q in (("baseline", "SELECT conv_id, turn, role, text FROM conversations"), ("no_store", NO_STORE), ("forget", FORGET), ("no_use", NO_USE)))
 query("wld_04_all_worlds", f"SELECT world, conv_id, turn, role, md5(text) AS h FROM ({ALL})")(lambda t: W.all_worlds(t.conversations, keys(t), "ref").select("world", "conv_id", "turn", "role", F.md5("text").alias("h")))
-query("wld_05_detect_directive", f"SELECT world, conv_id, turn, instr(text, 'Please forget anything I shared earlier about ') > 0 AS is_forget FROM ({ALL}) WHERE contains(text, 'By the way, please use everything I just shared in this round') OR contains(text, 'Please forget anything I shared earlier about ') OR contains(text, 'From now on, please do not use anything I shared earlier in t') OR contains(text, 'You can use what I shared earlier in the conversation again ')")(
-    lambda t: W.detect_directive(W.all_worlds(t.conversations, keys(t), "ref")).select("world", "conv_id", "turn", F.startswith("directive", F.lit("Please forget")).alias("is_forget"))
+query(
+    "wld_05_detect_directive",
+    f"SELECT world, conv_id, turn, {' OR '.join(f'instr(text, {h!r}) > 0' for h in W.heads(of='forget'))} AS is_forget FROM ({ALL}) WHERE {' OR '.join(f'contains(text, {h!r})' for h in W.heads())}",
+)(
+    lambda t: W.detect_directive(W.all_worlds(t.conversations, keys(t), "ref")).select(
+        "world", "conv_id", "turn", reduce(lambda a, b: a | b, [F.startswith("directive", F.lit(h)) for h in W.heads(of="forget")]).alias("is_forget")
+    )
 )
 query("wld_06_expected_type", "SELECT conv_id, turn, world, system_id, CASE WHEN turn_role = 'key' AND world IN ('no_store', 'forget', 'no_use') THEN 'not_remember' ELSE 'remember_correct' END AS expected FROM {eval_items}")(
     lambda t: t.eval_items.select("conv_id", "turn", "world", "system_id", expected_type(F.col("world"), F.col("turn_role")).alias("expected"))

@@ -218,3 +218,18 @@ def test_lineage_closure_of_the_whole_history(spark, small):
             k += 1
             want.add((d, a, k))
     assert {(r.descendant, r.ancestor, r.distance) for r in QUERIES["jon_11b_lineage_closure_all"](spark, small).collect()} == want
+
+
+def test_worlds_draw_several_wordings(spark, small):
+    from loomwright.operators import worlds
+
+    t = Tables(spark, small)
+    keys = t.user_turns.select("conv_id", "turn", F.lit("it").alias("ref"))
+    for placement in ("suffix", "prefix"):
+        texts = [r.text for r in worlds.no_store(t.conversations, keys, placement=placement).where("role = 'user'").collect()]
+        used = {w for w in worlds.TEMPLATES[f"no_store_{placement}"] for x in texts if (x.endswith(w) if placement == "suffix" else x.startswith(w))}
+        assert len(used) == len(worlds.TEMPLATES[f"no_store_{placement}"])
+    told = worlds.detect_directive(worlds.forget(t.conversations, keys, "ref")).collect()
+    assert len({r.directive for r in told}) == len(worlds.TEMPLATES["forget_user"]) and {r.pre for r in told} == {""}
+    whole = worlds.detect_directive(spark.createDataFrame([("Hi. " + w + " Now go on.",) for w in worlds.TEMPLATES["release_user"]], "text string")).collect()
+    assert sorted(r.directive for r in whole) == sorted(worlds.TEMPLATES["release_user"]) and {(r.pre, r.post) for r in whole} == {("Hi.", "Now go on.")}
