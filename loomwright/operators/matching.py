@@ -109,7 +109,26 @@ def shared_value_conflicts(cands: DataFrame, later: DataFrame, conv: str, value:
     """Pairs of a candidate and a record of a later stage of the same conversation that hold the same value: an equi-join with a range."""
     a = cands.select(conv, F.col("id").alias("cand_id"), F.col("stage_order").alias("cand_stage"), value).where(F.col(value).isNotNull())
     b = later.select(conv, F.col("id").alias("later_id"), F.col("stage_order").alias("later_stage"), value)
-    return a.join(b, [conv, value]).where("later_stage > cand_stage").select(conv, "cand_id", "later_id", F.lit(kind).alias("kind")).distinct()
+    return a.hint("merge").join(b.hint("merge"), [conv, value]).where("later_stage > cand_stage").select(conv, "cand_id", "later_id", F.lit(kind).alias("kind")).distinct()
+
+
+def future_conflicts(cands: DataFrame, later: DataFrame, edges: DataFrame, conv: str) -> DataFrame:
+    """What makes a candidate's facts come up again in a later stage of its conversation: conv, cand_id, later_id, kind.
+
+    Both sides have id, stage_order, and the lists values, context and tokens; edges has child and parent ids. Kinds: 'value' and
+    'context' for a shared entry, compared without case and outer space; 'lineage' where the later record descends from the
+    candidate at any distance; 'goal' where token sets overlap as token_pairs() says. Each pair once for a kind.
+    """
+    norm = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    each = lambda df, c: df.select(conv, "id", "stage_order", F.explode(c).alias("x")).withColumn("x", norm("x")).where("x <> ''")
+    shared = [shared_value_conflicts(each(cands, c), each(later, c), conv, "x", kind) for c, kind in (("values", "value"), ("context", "context"))]
+    a = cands.select(conv, F.col("id").alias("cand_id"), F.col("stage_order").alias("cand_stage"))
+    b = later.select(conv, F.col("id").alias("later_id"), F.col("stage_order").alias("later_stage"))
+    both = lambda pairs, kind: pairs.hint("merge").join(a.hint("merge"), "cand_id").hint("merge").join(b.hint("merge"), [conv, "later_id"]).where("later_stage > cand_stage").select(conv, "cand_id", "later_id", F.lit(kind).alias("kind"))
+    down = descendants(edges, "child", "parent").select(F.col("ancestor").alias("cand_id"), F.col("descendant").alias("later_id"))
+    goals = token_pairs(cands.select(conv, "id", "tokens").unionByName(later.select(conv, "id", "tokens")).dropDuplicates([conv, "id"]), conv, "id", "tokens")
+    one, other = (goals.select(F.col(x).alias("cand_id"), F.col(y).alias("later_id")) for x, y in (("id", "other"), ("other", "id")))
+    return shared[0].unionByName(shared[1]).unionByName(both(down, "lineage")).unionByName(both(one.unionByName(other), "goal"))
 
 
 def token_pairs(rows: DataFrame, conv: str, key: str, tokens: str, least: int = 4, jaccard: float = 0.5, contained: float = 0.7) -> DataFrame:

@@ -73,21 +73,31 @@ query(
     "WITH RECURSIVE e AS (SELECT event_id AS c, parent_id AS p FROM {history} WHERE parent_id IS NOT NULL AND stage < 2), r AS (SELECT c AS descendant, p AS ancestor, 1 AS distance FROM e UNION ALL SELECT r.descendant, e.p, r.distance + 1 FROM r JOIN e ON e.c = r.ancestor) SELECT descendant, ancestor, distance FROM r",
 )(lambda t: J.descendants(t.history.where("stage < 2").select("event_id", "parent_id"), "event_id", "parent_id"))
 query("jon_11b_lineage_closure_all")(lambda t: J.descendants(t.history.select("event_id", "parent_id"), "event_id", "parent_id"))
-CAND = "SELECT user_id, event_id AS id, stage AS o, event_type AS g, (value * 100)::BIGINT % 500 AS v, parent_id FROM {history}"
+K = "(props->>'$.k')::BIGINT"
+GOAL = f"['t' || event_type, 'h' || (hour(ts) // 6), 'd' || (event_id % 4), 'm' || ({K} % 5), 'n' || ({K} % 3), 'w' || (event_id % 3)]"
 
 
-def recs(t):
-    return t.history.select("user_id", F.col("event_id").alias("id"), F.col("stage").alias("stage_order"), "event_type", (F.round(F.col("value") * 100).cast("long") % 500).alias("v"), "parent_id")
+def records(t):
+    """Records of the history with the lists that conflicts are sought in."""
+    k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
+    word = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    lists = {
+        "values": F.array(F.round(F.col("value") * 100).cast("long") % 500),
+        "context": F.array(word(" K", k % 40), word("c", i % 60)),
+        "tokens": F.array(word("t", F.col("event_type")), word("h", F.floor(F.hour("ts") / 6)), word("d", i % 4), word("m", k % 5), word("n", k % 3), word("w", i % 3)),
+    }
+    return t.history.select("user_id", i.alias("id"), F.col("stage").alias("stage_order"), "parent_id", *[c.alias(n) for n, c in lists.items()])
 
 
 query(
     "jon_12_future_conflicts",
-    f"WITH h AS ({CAND}) SELECT a.user_id, a.id AS cand_id, b.id AS later_id, 'value' AS kind FROM h a JOIN h b ON a.user_id = b.user_id AND a.v = b.v AND b.o > a.o WHERE a.o = 0 UNION ALL SELECT a.user_id, a.id, b.id, 'lineage' FROM h a JOIN h b ON a.user_id = b.user_id AND b.parent_id = a.id AND b.o > a.o WHERE a.o = 0",
-)(
-    lambda t: J.shared_value_conflicts(recs(t).where("stage_order = 0"), recs(t), "user_id", "v", "value").unionByName(
-        J.shared_value_conflicts(recs(t).where("stage_order = 0").withColumn("link", F.col("id")), recs(t).withColumn("link", F.col("parent_id")), "user_id", "link", "lineage")
-    )
-)
+    f"""WITH h AS (SELECT user_id, event_id AS id, stage AS o, event_type, ts, (value * 100)::BIGINT % 500 AS v, ['k' || ({K} % 40), 'c' || (event_id % 60)] AS c, {GOAL} AS g FROM {{history}}),
+p AS (SELECT a.user_id, a.id AS cand_id, b.id AS later_id, a.v = b.v AS value, list_has_any(a.c, b.c) AS context,
+  a.event_type = b.event_type AND (b.ts > a.ts OR b.ts = a.ts AND b.id > a.id) AS lineage, len(list_intersect(a.g, b.g)) AS n, len(list_distinct(a.g)) AS x, len(list_distinct(b.g)) AS y
+  FROM h a JOIN h b ON a.user_id = b.user_id AND b.o > a.o WHERE a.o = 0)
+SELECT user_id, cand_id, later_id, 'value' AS kind FROM p WHERE value UNION ALL SELECT user_id, cand_id, later_id, 'context' FROM p WHERE context
+UNION ALL SELECT user_id, cand_id, later_id, 'lineage' FROM p WHERE lineage UNION ALL SELECT user_id, cand_id, later_id, 'goal' FROM p WHERE n >= 4 AND (n / (x + y - n) >= 0.5 OR n / least(x, y) >= 0.7)""",
+)(lambda t: J.future_conflicts(records(t).where("stage_order = 0"), records(t), t.history.select(F.col("event_id").alias("child"), F.col("parent_id").alias("parent")), "user_id"))
 query(
     "jon_13_similar_goals",
     f"WITH s AS (SELECT conv_id, turn, list_distinct({CT.format('text')}) AS s FROM conversations), p AS (SELECT a.conv_id, a.turn, b.turn AS other, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS x, len(b.s) AS y FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(a.s) >= 4 AND len(b.s) >= 4) SELECT conv_id, turn, other, n::INT AS overlap FROM p WHERE n >= 4 AND (n / (x + y - n) >= 0.2 OR n / least(x, y) >= 0.4)",
@@ -200,8 +210,8 @@ query("wld_06_expected_type", "SELECT conv_id, turn, world, system_id, CASE WHEN
 )
 query(
     "wld_07_task_table",
-    "SELECT conv_id, turn, 'whole' AS qa_family, 0 AS item_index, text AS question FROM {user_turns} WHERE user_idx < 3 UNION ALL SELECT conv_id, turn, 'slot', (k - 1)::INT, list_extract(string_split(text, ' '), k) FROM (SELECT *, unnest(range(1, least(len(string_split(text, ' ')), 2) + 1)) AS k FROM {user_turns} WHERE user_idx < 3)",
-)(lambda t: longctx.task_table(t.user_turns.where("user_idx < 3").select("conv_id", "turn", F.col("text").alias("question"), F.slice(F.split("text", " "), 1, 2).alias("slots"))))
+    "SELECT conv_id, turn, 'whole' AS qa_family, 0 AS item_index, text AS question FROM {user_turns} UNION ALL SELECT conv_id, turn, 'slot', (k - 1)::INT, list_extract(string_split(text, ' '), k) FROM (SELECT *, unnest(range(1, least(len(string_split(text, ' ')), 2) + 1)) AS k FROM {user_turns})",
+)(lambda t: longctx.task_table(t.user_turns.select("conv_id", "turn", F.col("text").alias("question"), F.slice(F.split("text", " "), 1, 2).alias("slots"))))
 
 
 @query(

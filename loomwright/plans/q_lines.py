@@ -103,8 +103,8 @@ query("prj_19_digit_chunks", f"SELECT doc_id, array_to_string({DC.format('text')
 query("prj_20_reference_phrase", r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'the ' || lower(left(trim(text), 1)) || substr(trim(text), 2) ELSE coalesce(nullif(lower(left(b, 1)) || substr(b, 2), ''), 'what I shared earlier') END AS phrase FROM (SELECT *, regexp_replace(regexp_replace(trim('Can you help me to ' || text), '(?i)^(please )?((can|could) you )?(help me (to )?|i (want|need|would like) (to )?|get help (with )?)', ''), '[.!?]+$', '') AS b FROM conversations)")(
     lambda t: t.conversations.select("conv_id", "turn", X.reference_phrase(F.when(F.col("turn") % 2 == 0, F.col("text")), F.concat(F.lit("Can you help me to "), "text")).alias("phrase"))
 )
-query("prj_20b_join_phrases", "SELECT conv_id, CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[1:len(p) - 1], ', ') || ' and ' || p[len(p)] END AS phrases FROM (SELECT conv_id, list_slice(list(DISTINCT left(text, 12) ORDER BY left(text, 12)), 1, 3) AS p FROM conversations GROUP BY conv_id)")(
-    lambda t: t.conversations.groupBy("conv_id").agg(X.join_phrases(F.array_sort(F.collect_set(F.left("text", F.lit(12))))).alias("phrases"))
+query("prj_20b_join_phrases", "SELECT conv_id, CASE WHEN len(p) = 1 THEN p[1] ELSE array_to_string(p[1:len(p) - 1], ', ') || ' and ' || p[len(p)] END AS phrases FROM (SELECT conv_id, list_slice(list(DISTINCT text ORDER BY text), 1, 3) AS p FROM conversations GROUP BY conv_id)")(
+    lambda t: t.conversations.groupBy("conv_id").agg(X.join_phrases(F.array_sort(F.collect_set("text"))).alias("phrases"))
 )
 query("prj_21_accept_phrase", r"SELECT conv_id, turn, CASE WHEN length(trim(text)) > 0 AND len(string_split_regex(trim(text), '\s+')) <= 18 AND NOT regexp_matches(text, '(?i)forget|remember|memory|as an ai') AND NOT (starts_with(lower(trim(text)), 'that ') AND len(string_split_regex(trim(text), '\s+')) < 4) THEN trim(text) ELSE role END AS phrase FROM conversations")(
     lambda t: t.conversations.select("conv_id", "turn", X.accept_phrase(F.col("text"), F.col("role")).alias("phrase"))
@@ -126,8 +126,8 @@ def prj_24(t):
     return e.where("kind <> 3").select("user_id", F.col("event_id").alias("entry_id"), F.coalesce(get("$.memory"), get("$.content"), F.concat_ws(" ", get("$.user_input"), get("$.agent_response"))).alias("text"))
 
 
-query("prj_25_prompts", "SELECT conv_id, turn, text || chr(10) || chr(10) || '(A) no ' || conv_id || chr(10) || '(B) yes ' || turn || chr(10) || '(C) other' || chr(10) || chr(10) || 'Answer with <final_answer>(letter)</final_answer>.' AS prompt, left('Memories:' || chr(10) || CASE WHEN turn % 2 = 0 THEN '- ' || role ELSE '(none)' END || chr(10) || chr(10) || text || chr(10) || chr(10) || '(A) no ' || conv_id || chr(10) || '(B) yes ' || turn || chr(10) || '(C) other', 60) AS with_memories FROM conversations")(
-    lambda t: t.conversations.select("conv_id", "turn", X.build_prompt(F.col("text"), choices()).alias("prompt"), F.left(X.build_prompt(F.col("text"), choices(), F.when(F.col("turn") % 2 == 0, F.array("role")).otherwise(F.array().cast("array<string>"))), F.lit(60)).alias("with_memories"))
+query("prj_25_prompts", "SELECT conv_id, turn, text || chr(10) || chr(10) || '(A) no ' || conv_id || chr(10) || '(B) yes ' || turn || chr(10) || '(C) other' || chr(10) || chr(10) || 'Answer with <final_answer>(letter)</final_answer>.' AS prompt, 'Memories:' || chr(10) || CASE WHEN turn % 2 = 0 THEN '- ' || role ELSE '(none)' END || chr(10) || chr(10) || text || chr(10) || chr(10) || '(A) no ' || conv_id || chr(10) || '(B) yes ' || turn || chr(10) || '(C) other' || chr(10) || chr(10) || 'Answer with <final_answer>(letter)</final_answer>.' AS with_memories FROM conversations")(
+    lambda t: t.conversations.select("conv_id", "turn", X.build_prompt(F.col("text"), choices()).alias("prompt"), X.build_prompt(F.col("text"), choices(), F.when(F.col("turn") % 2 == 0, F.array("role")).otherwise(F.array().cast("array<string>"))).alias("with_memories"))
 )
 
 
