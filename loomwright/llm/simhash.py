@@ -75,8 +75,8 @@ def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column]
     """Columns node, root: components over all pairs of nodes that share a variant, are near and are kept by confirm.
 
     words has node, word and fp; near compares two nodes, which are longs. Exact, with no cap, and without writing all
-    pairs of a variant. First the nodes of each whole segment are chained: each node meets the least and the greatest of
-    those that stand before it or first in a segment of its own, which joins dense groups at little cost. Then variants are
+    pairs of a variant. First the nodes of each whole segment are chained: for each of its segments a node meets the least and
+    the greatest of those that stand before it or first, which joins dense groups at little cost. Then variants are
     made, with each node's component so far, and only those whose nodes lie in several components are looked at: a node
     meets the first and the `back` before it, which is all there is to compare where back + 1 or fewer hold the variant.
     Of larger ones that still lie in several components, each node outside the commonest is compared with those of others.
@@ -89,8 +89,8 @@ def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column]
 
     pair = lambda df, t: df.select(F.least("node", t).alias("a"), F.greatest("node", t).alias("b"))
     apart = lambda t: (col(t) != col("node")) & near(col(t), col("node"))
-    first = met(segments(words, bits, False)).select("node", F.explode(F.array(*ties)).alias("t")).where(apart("t"))
-    first = first.groupBy("node").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
+    first = met(segments(words, bits, False)).select("node", (col("key") % 1024).alias("place"), F.explode(F.array(*ties)).alias("t")).where(apart("t"))
+    first = first.groupBy("node", "place").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
     known = cut(components(confirm(pair(first, "t").distinct())))
 
     placed = words.hint("merge").join(known.hint("merge"), "node", "left").select("word", "fp", "node", F.coalesce("root", "node").alias("root"))
