@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import html, licenses, mixing, packing, pii, quality, simhash, tokens, toxicity, vectors
+from loomwright.llm import alignment, bestfit, html, licenses, mixing, negatives, packing, pii, quality, simhash, tokens, toxicity, vectors
 from loomwright.plans.shipping import ship
 
 
@@ -27,6 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": lambda s, d: html.main_text(table(s, d, "pages")),
     "op9_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op10_token_counts": lambda s, d: tokens.counts(table(s, d, "documents")),
+    "op11_best_fit_packing": lambda s, d: bestfit.pieces(table(s, d, "documents")),
+    "op12_hard_negatives": lambda s, d: negatives.mined(table(s, d, "embeddings")),
+    "op13_token_alignment": lambda s, d: alignment.alignment(table(s, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -66,5 +69,14 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
   10 * n_symbols > 3 * n_words OR (n_dup_lines > 0 AND 2 * n_dup_lines >= len(string_split(t, chr(10)))) OR word_chars > 25 * n_words OR word_chars < 2 * n_words
   OR 2 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < word_chars OR 2 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > word_chars AS more FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT more AS kept FROM v
+""",
+    "op12_hard_negatives": r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END DESC, embedding DESC) = 1),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other)::INTEGER AS rank, s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score QUALIFY rank <= 5
 """,
 }

@@ -12,7 +12,7 @@ def test_same_rows(name, spark, small, same):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_clean_documents(spark, small, tmp_path):
