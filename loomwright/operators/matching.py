@@ -151,20 +151,98 @@ def token_pairs(rows: DataFrame, conv: str, key: str, tokens: str, least: int =
 
 
 def best_match(targets: DataFrame, cands: DataFrame, target_id: str, cand_id: str, block: list[str]) -> DataFrame:
-    """For each target the candidate of its block with the largest token overlap, the smallest id on ties; none if nothing overlaps."""
-    a = targets.select(*block, target_id, F.explode(F.array_distinct("tokens")).alias("tok"))
-    b = cands.select(*block, cand_id, F.explode(F.array_distinct("tokens")).alias("tok"))
-    n = a.hint("merge").join(b.hint("merge"), [*block, "tok"]).groupBy(*block, target_id, cand_id).agg(F.count("*").alias("overlap"))
-    return n.withColumn("r", F.row_number().over(Window.partitionBy(*block, target_id).orderBy(F.desc("overlap"), cand_id))).where("r = 1").drop("r")
+    """For each target the candidate of its block with the largest token overlap, the smallest id on ties; none if nothing overlaps.
+
+    A target's tokens are taken rarest first. Its rarest quarter finds a good candidate, whose whole overlap, n, is then known.
+    One as good misses at most size - n of the target's tokens, so it shares several of the first ones: only these are joined
+    with all that hold them, and what they find is counted out on the other, frequent tokens by lookups of (token, candidate).
+    Tokens that no target has are never joined, and frequent ones only where a target's best overlap is small.
+    """
+    word = [*block, "tok"]
+    t = targets.select(*block, target_id, F.explode(F.array_distinct("tokens")).alias("tok"))
+    asked = t.select(*word).distinct()
+    held = _cut(cands.select(*block, cand_id, F.explode(F.array_distinct("tokens")).alias("tok")).hint("merge").join(asked.hint("merge"), word, "left_semi"))
+    df = held.groupBy(*word).agg(F.count("*").alias("df"))
+    w = Window.partitionBy(*block, target_id)
+    t = _cut(t.hint("merge").join(df.hint("merge"), word).withColumns({"i": F.row_number().over(w.orderBy("df", "tok")), "size": F.count("*").over(w)}).drop("df"))
+    who, pair = [*block, target_id], [*block, target_id, cand_id]
+
+    def shared(heads: DataFrame) -> DataFrame:
+        return heads.hint("merge").join(held.hint("merge"), word).groupBy(*pair).agg(F.count("*").alias("n"))
+
+    def counted(pairs: DataFrame, rest: DataFrame) -> DataFrame:
+        """Pairs with the whole overlap: n so far and what the other tokens of the target add."""
+        more = pairs.select(*pair).hint("merge").join(rest.hint("merge"), who).select(*pair, "tok").hint("merge").join(held.hint("merge"), [*block, cand_id, "tok"]).groupBy(*pair).agg(F.count("*").alias("more"))
+        return pairs.hint("merge").join(more.hint("merge"), pair, "left").select(*pair, (F.col("n") + F.coalesce("more", F.lit(0))).alias("overlap"))
+
+    quarter = F.ceil(F.col("size") / 4)
+    good = shared(t.where(F.col("i") <= quarter)).groupBy(*who).agg(F.max(F.struct("n", -F.col(cand_id))).alias("b")).select(*who, (-F.col("b.col2")).alias(cand_id), F.col("b.n").alias("n"))
+    known = _cut(counted(good, t.where(F.col("i") > quarter)).select(*who, F.col("overlap").alias("least"), F.floor(F.col("overlap") / 4 + 1).alias("of")))
+    # With the first size - least + of tokens a candidate that is as good shares at least `of` of them.
+    cut_at = t.hint("merge").join(known.hint("merge"), who).withColumn("head", F.col("i") <= F.col("size") - F.col("least") + F.col("of"))
+    some = _cut(shared(cut_at.where("head").drop("least", "of")).hint("merge").join(known.hint("merge"), who).where("n >= of").select(*pair, "n"))
+    full = counted(some, cut_at.where("NOT head").select(*who, "tok"))
+    return full.withColumn("r", F.row_number().over(Window.partitionBy(*who).orderBy(F.desc("overlap"), cand_id))).where("r = 1").drop("r")
+
+
+def text_grams(text: str, q: int) -> Column:
+    """The distinct substrings of q characters."""
+    signs = F.regexp_extract_all(F.col(text), F.lit("(?s)(.)"), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.array_join(F.slice(signs, i, F.lit(q)), "")))
+
+
+def holding(needles: DataFrame, hays: DataFrame, block: list[str], per: str, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
+    """block, text and first: which texts of the same block hold which, by exact substring.
+
+    Both sides have block, text, pos. Per 'needle': every needle that some hay holds, with the least pos of those hays; per
+    'hay': every hay that holds some needle, with the least pos of those needles. Copies within a block count once.
+
+    A needle is sought by grams of the largest of `sizes` that is no longer than itself. One of just that size is a gram, and the
+    table of grams answers it. For a longer one all its grams must be held somewhere in the block, or it is held nowhere; the rarest
+    of them leads to the hays that are then read. No needle meets a hay that lacks that gram.
+    """
+    by, least = [*block, "text"], F.min("pos").alias("pos")
+    n, h = (df.where(F.col("text").isNotNull()).groupBy(*by).agg(least).withColumn("len", F.length("text")) for df in (needles, hays))
+    n = _cut(n.withColumn("q", F.array_max(F.array(*[F.when(F.col("len") >= q, q).otherwise(0) for q in sizes]))))
+    used = sorted(r.q for r in n.select("q").distinct().collect() if r.q)  # as many as there are sizes, at most
+    here = (lambda df, x: df.where(F.col("len") == 0).groupBy(*block).agg(F.min("pos").alias("first")).hint("merge").join(x.select(*by).hint("merge"), block))
+    # An empty needle is held by every text of its block.
+    if per == "needle":
+        found = [h.groupBy(*block).agg(F.min("pos").alias("first")).hint("merge").join(n.where("len = 0").select(*by).hint("merge"), block).select(*by, "first")]
+    else:
+        found = [here(n, h).select(*by, "first")]
+    for q in used:
+        mine = n.where(F.col("q") == q)
+        held = h.where(F.col("len") >= q).select(*block, F.col("text").alias("hay"), F.col("pos").alias("hay_pos"), F.explode(text_grams("text", q)).alias("gram"))
+        index = held.groupBy(*block, "gram").agg(F.count("*").alias("df"), F.min("hay_pos").alias("hay_pos"))
+        whole, longer = mine.where(F.col("len") == q), mine.where(F.col("len") > q)
+        is_gram = whole.withColumnRenamed("text", "gram")
+        if per == "needle":
+            found.append(is_gram.hint("merge").join(index.hint("merge"), [*block, "gram"]).select(*block, F.col("gram").alias("text"), F.col("hay_pos").alias("first")))
+        else:
+            found.append(held.hint("merge").join(is_gram.select(*block, "gram", "pos").hint("merge"), [*block, "gram"]).select(*block, F.col("hay").alias("text"), F.col("pos").alias("first")))
+        parts = longer.select(*by, "pos", F.explode(text_grams("text", q)).alias("gram")).hint("merge").join(index.select(*block, "gram", "df").hint("merge"), [*block, "gram"], "left")
+        lead = parts.groupBy(*by).agg(F.min("pos").alias("pos"), F.min(F.struct("df", "gram")).alias("lead"), F.count_if(F.col("df").isNull()).alias("absent")).where("absent = 0").select(*by, "pos", "lead.gram")
+        both = lead.hint("merge").join(held.hint("merge"), [*block, "gram"]).where(F.contains("hay", "text"))
+        found.append(both.select(*by, F.col("hay_pos").alias("first")) if per == "needle" else both.select(*block, F.col("hay").alias("text"), F.col("pos").alias("first")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy(*by).agg(F.min("first").alias("first"))
 
 
 def locate_turn(wanted: DataFrame, turns: DataFrame, conv: str, key: str, text: str, pos: str) -> DataFrame:
-    """Position of each wanted text: the first turn of its conversation with the same text, else the first where one text contains the other."""
-    t = turns.select(conv, F.col(pos).alias("pos"), F.col(text).alias("turn_text"))
-    same = wanted.join(t, (wanted[conv] == t[conv]) & (wanted[text] == t["turn_text"])).groupBy(wanted[conv], key).agg(F.min("pos").alias("pos")).withColumn("how", F.lit("exact"))
-    rest = wanted.join(same, [conv, key], "left_anti")
-    inside = F.contains("turn_text", text) | F.contains(text, "turn_text")
-    near = rest.join(t, conv).where(inside).groupBy(conv, key).agg(F.min("pos").alias("pos")).withColumn("how", F.lit("contained"))
+    """Position of each wanted text: the first turn of its conversation with the same text, else the first where one text contains the other.
+
+    Containment is a substring join by rare grams (holding()), in both directions, of the texts that have no equal turn.
+    """
+    t = turns.select(conv, F.col(pos).alias("pos"), F.col(text).alias("text"))
+    want = wanted.select(conv, key, F.col(text).alias("text"))
+    same = want.hint("merge").join(t.groupBy(conv, "text").agg(F.min("pos").alias("pos")).hint("merge"), [conv, "text"]).select(conv, key, "pos", F.lit("exact").alias("how"))
+    rest = _cut(want.hint("merge").join(t.select(conv, "text").distinct().hint("merge"), [conv, "text"], "left_anti"))
+    asked = rest.select(conv, "text").distinct().withColumn("pos", F.lit(0))
+    at = holding(asked, t, [conv], "needle").unionByName(holding(t, asked, [conv], "hay")).groupBy(conv, "text").agg(F.min("first").alias("pos"))
+    near = rest.hint("merge").join(at.hint("merge"), [conv, "text"]).select(conv, key, "pos", F.lit("contained").alias("how"))
     return same.unionByName(near)
 
 
@@ -201,11 +279,18 @@ def label_unique(rows: DataFrame, sample: str, label: str) -> DataFrame:
 
 
 def target_in_store(items: DataFrame, entries: DataFrame, run: str, item: str, needle_len: int = 24) -> DataFrame:
-    """Whether an entry of the item's run holds the first characters of the expected text, and the first entry that does."""
+    """Whether an entry of the item's run holds the first characters of the expected text, and the first entry that does.
+
+    The needle itself is the gram by which entries are indexed, so a run's items never meet its entries; shorter needles
+    are sought by the grams of holding().
+    """
     needle = F.substring(F.lower(F.trim("expected_text")), 1, needle_len)
-    e = entries.select(run, "entry_id", F.lower("text").alias("entry_text"))
-    hit = (F.length(needle) > 0) & F.contains("entry_text", needle)
-    return items.join(e, run, "left").groupBy(run, item).agg(F.coalesce(F.max(hit), F.lit(False)).alias("in_store"), F.min(F.when(hit, F.col("entry_id"))).alias("first_entry"))
+    asked = items.select(run, item, needle.alias("text"))
+    sizes = (*[q for q in (1, 2, 4, 8, 16, 32) if q < needle_len], needle_len)
+    e = entries.select(run, F.lower("text").alias("text"), F.col("entry_id").alias("pos"))
+    at = holding(asked.where("text <> ''").select(run, "text", F.lit(0).alias("pos")), e, [run], "needle", sizes)
+    found = asked.hint("merge").join(at.hint("merge"), [run, "text"], "left")
+    return found.groupBy(run, item).agg(F.max(F.col("first").isNotNull()).alias("in_store"), F.min("first").alias("first_entry"))
 
 
 def directive_batch(calls: DataFrame, run: str, seq: str, is_directive: Column, is_extract: Column, is_update: Column) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.operators.matching import _cut
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
@@ -29,11 +33,59 @@ def topk_cosine(queries: DataFrame, store: DataFrame, key: str, vector: str, k:
     return pairs.select("query_id", key, sim.alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs with the same first word whose lengths alone allow the ratio: an equi-join with a bound."""
-    first = lambda df, n: df.withColumn("w", F.substring_index("text", " ", 1)).withColumnRenamed("text", n)
-    a, b = F.length("left_text"), F.length("right_text")
-    return first(left, "left_text").join(first(right, "right_text"), "w").where(200.0 * F.least(a, b) >= least * (a + b)).drop("w")
+#: A gram that makes up more than one in so many of all grams counts as frequent; no more than that many can.
+FREQUENT = 50_000
+
+
+def gram_size(least: float) -> int:
+    """The longest grams, of up to three characters, some of which must survive the edits that a ratio of `least` allows."""
+    k = 1 - least / 100
+    sizes = [q for q in (3, 2, 1) if _lost(q, k) < 1]
+    if not sizes:
+        raise ValueError(f"a ratio of {least} leaves no gram that two texts must share")
+    return sizes[0]
+
+
+def _lost(q: int, k: float) -> float:
+    """Grams of a text that a partner within k may lack, per character: the partner is shorter by deletions, each of which
+    spoils q grams, or longer by insertions, each of which spoils q - 1."""
+    return max(q * 2 * k / (1 + k), (q - 1) * 2 * k / (1 - k))
+
+
+def grams(text: str, q: int) -> Column:
+    """All overlapping grams of q characters, with q - 1 signs, one at least, put before and behind the text."""
+    around = max(1, q - 1)
+    signs = F.regexp_extract_all(F.concat(F.lit("\u0001" * around), F.col(text), F.lit("\u0002" * around)), F.lit("(?s)(.)"), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), F.length(text) + 2 * around - q + 1), lambda i: F.array_join(F.slice(signs, i, F.lit(q)), "")) if q > 1 else signs
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float, by: list[str]) -> DataFrame:
+    """Pairs left_no, right_no of numbered texts (by, no, text) that may reach an insertion/deletion ratio of `least`; loses none.
+
+    Of two such texts the grams that an alignment keeps come in one order on both sides, so the rarest of them stands among the
+    first grams of either, rarest first, once as many are taken as the edits can spoil and one more. Only these are joined,
+    with equal columns `by`, in one of three neighbouring classes of length; lengths and places must fit as well. How rare
+    a gram is is known of frequent ones only, at most FREQUENT by their definition, which is what makes them safe to broadcast.
+    """
+    k, q = 1 - least / 100, gram_size(least)
+    lost, ratio = _lost(q, k), (1 + k) / (1 - k) * 1.0001
+    each = lambda df, n: df.select(*by, F.col("no").alias(n), F.length("text").alias(f"{n}_len"), F.posexplode(grams("text", q)).alias(f"{n}_at", "gram"))
+    a, b = each(left, "left_no"), each(right, "right_no")
+    n = _cut(a.select("gram").unionAll(b.select("gram")).groupBy("gram").agg(F.count("*").alias("df")))
+    total = n.agg(F.sum("df")).first()[0] or 0
+    frequent = F.broadcast(n.where(F.col("df") * FREQUENT > F.lit(total)))
+
+    def head(df: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy(name).orderBy(F.coalesce("df", F.lit(0)), "gram", f"{name}_at")
+        return df.join(frequent, "gram", "left").withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.floor(F.col(f"{name}_len") * lost + 1e-6) + 1).drop("i", "df")
+
+    level = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / math.log(ratio)).cast("int")
+    x = head(a, "left_no").withColumn("level", F.explode(F.array(*[level("left_no_len") + d for d in (-1, 0, 1)])))
+    y = head(b, "right_no").withColumn("level", level("right_no_len"))
+    la, lb, shift = F.col("left_no_len"), F.col("right_no_len"), F.col("left_no_at") - F.col("right_no_at")
+    edits = F.floor((la + lb) * k + 1e-6)
+    fits = (edits >= F.abs(la - lb)) & (2 * shift <= edits + la - lb) & (-2 * shift <= edits - la + lb)
+    return x.hint("merge").join(y.hint("merge"), [*by, "gram", "level"]).where(fits).select("left_no", "right_no").distinct()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -44,7 +96,7 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def ratio(a: str, b: str) -> float:
     """Longest common subsequence by bit vectors: one integer step per character."""
-    if not a and not b:
+    if a == b:
         return 100.0
     where: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -57,6 +109,23 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs whose ratio reaches the bound; the ratio has no builtin and runs in Arrow batches on candidates only."""
-    return fuzzy_candidates(left, right, least).withColumn("ratio", indel_ratio("left_text", "right_text")).where(F.col("ratio") >= least).select("left_id", "right_id", F.round("ratio", 6).alias("ratio"))
+def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float, by: list[str]) -> DataFrame:
+    """Distinct texts of both sides with equal columns `by` whose ratio reaches `least`: by, left_text, right_text, ratio.
+
+    Exact. Copies of a text are compared once. The ratio has no builtin and runs in Arrow batches on candidates only.
+    """
+    number = lambda df: _cut(df.select(*by, "text").where(F.col("text").isNotNull()).distinct().withColumn("no", F.monotonically_increasing_id()))
+    a, b = number(left), number(right)
+    pairs = fuzzy_candidates(a, b, least, by)
+    both = pairs.hint("merge").join(a.select(*by, F.col("no").alias("left_no"), F.col("text").alias("left_text")).hint("merge"), "left_no").hint("merge").join(b.select(F.col("no").alias("right_no"), F.col("text").alias("right_text")).hint("merge"), "right_no")
+    return both.withColumn("ratio", indel_ratio("left_text", "right_text")).where(F.col("ratio") >= least).select(*by, "left_text", "right_text", "ratio")
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, least: float, by: list[str], entry: str) -> DataFrame:
+    """Rows of left with what the list on the right says of their text: matched (Yes or No), n_entries (rows of right with the
+    same columns `by` whose text reaches the ratio), first_entry (the smallest of their column `entry`) and the best ratio."""
+    listed = right.groupBy(*by, F.col("text").alias("right_text")).agg(F.count("*").alias("n"), F.min(entry).alias("first"))
+    pairs = fuzzy_pairs(left, right, least, by)
+    best = pairs.hint("merge").join(listed.hint("merge"), [*by, "right_text"]).groupBy(*by, F.col("left_text").alias("text")).agg(F.sum("n").alias("n_entries"), F.min("first").alias("first_entry"), F.round(F.max("ratio"), 6).alias("ratio"))
+    out = left.hint("merge").join(best.hint("merge"), [*by, "text"], "left")
+    return out.withColumns({"matched": F.when(F.col("ratio").isNull(), "No").otherwise("Yes"), "n_entries": F.coalesce("n_entries", F.lit(0))})

@@ -116,10 +116,37 @@ query(
     "jon_16_vector_topk",
     "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 9) AS sim FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM p) WHERE r <= 5",
 )(lambda t: SIM.topk_cosine(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding", 5, block="label"))
-query("jon_17_fuzzy_join")(lambda t: SIM.fuzzy_join(t.user_turns.where("user_idx = 0").select(F.col("conv_id").alias("left_id"), F.left("text", F.lit(60)).alias("text")), t.user_turns.select(F.col("conv_id").alias("right_id"), F.left("text", F.lit(61)).alias("text")), 90.0))
-query("jon_17b_fuzzy_blocking", "SELECT a.conv_id AS left_id, b.conv_id AS right_id, count(*) AS n FROM (SELECT conv_id, left(text, 60) AS s FROM {user_turns} WHERE user_idx = 0) a JOIN (SELECT conv_id, left(text, 61) AS s FROM {user_turns}) b ON split_part(a.s, ' ', 1) = split_part(b.s, ' ', 1) AND 200.0 * least(length(a.s), length(b.s)) >= 90.0 * (length(a.s) + length(b.s)) GROUP BY ALL")(
-    lambda t: SIM.fuzzy_candidates(t.user_turns.where("user_idx = 0").select(F.col("conv_id").alias("left_id"), F.left("text", F.lit(60)).alias("text")), t.user_turns.select(F.col("conv_id").alias("right_id"), F.left("text", F.lit(61)).alias("text")), 90.0).groupBy("left_id", "right_id").agg(F.count("*").alias("n"))
-)
+
+
+def preferences(t):
+    """Texts of user turns with a side, and a list of the same texts without their first word, some on the other side."""
+    side = lambda c: F.when(c % 2 == 0, "likes").otherwise("dislikes")
+    said = t.user_turns.select("conv_id", "turn", side(F.col("conv_id")).alias("label"), "text")
+    listed = t.user_turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry"), side(F.col("conv_id") + (F.col("turn") % 3 == 2).cast("int")).alias("label"), F.regexp_replace("text", r"^\S+\s+", "").alias("text"))
+    return said, listed
+
+
+query("jon_17_fuzzy_join")(lambda t: SIM.fuzzy_match(*preferences(t), 90.0, ["label"], "entry").select("conv_id", "turn", "label", "matched", "n_entries", "first_entry", "ratio"))
+
+
+@query(
+    "jon_17b_fuzzy_blocking",
+    rf"""WITH s AS (SELECT DISTINCT 'l' AS side, CASE WHEN conv_id % 2 = 0 THEN 'likes' ELSE 'dislikes' END AS label, text FROM {{user_turns}}
+UNION ALL SELECT DISTINCT 'r', CASE WHEN (conv_id + CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END) % 2 = 0 THEN 'likes' ELSE 'dislikes' END, regexp_replace(text, '^\S+\s+', '') FROM {{user_turns}}),
+g AS (SELECT side, label, text, length(text) AS n, i - 1 AS spot, substr(repeat(chr(1), 2) || text || repeat(chr(2), 2), i, 3) AS gram FROM (SELECT *, unnest(range(1, length(text) + 3)) AS i FROM s)),
+d AS (SELECT gram, count(*) AS df FROM g GROUP BY gram), f AS (SELECT gram, df FROM d WHERE df * {SIM.FREQUENT} > (SELECT sum(df) FROM d)),
+h AS (SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY side, label, text ORDER BY coalesce(df, 0), g.gram, spot) AS r FROM g LEFT JOIN f ON f.gram = g.gram) WHERE r <= floor(n * {SIM._lost(3, 1 - 90.0 / 100)!r}::DOUBLE + 1e-6) + 1),
+p AS (SELECT DISTINCT a.label, a.text, b.text AS other FROM h a JOIN h b ON a.side = 'l' AND b.side = 'r' AND a.label = b.label AND a.gram = b.gram
+  AND floor((a.n + b.n) * {1 - 90.0 / 100!r}::DOUBLE + 1e-6) >= abs(a.n - b.n) AND 2 * (a.spot - b.spot) <= floor((a.n + b.n) * {1 - 90.0 / 100!r}::DOUBLE + 1e-6) + a.n - b.n AND 2 * (b.spot - a.spot) <= floor((a.n + b.n) * {1 - 90.0 / 100!r}::DOUBLE + 1e-6) - a.n + b.n)
+SELECT label, md5(text) AS text_md5, count(*) AS candidates FROM p GROUP BY ALL""",
+)
+def jon_17b(t):
+    """How many entries of the list each text is compared with."""
+    left, right = (df.select("label", "text").distinct().withColumn("no", F.xxhash64("label", "text")) for df in preferences(t))
+    pairs = SIM.fuzzy_candidates(left, right, 90.0, ["label"])
+    return pairs.groupBy("left_no").agg(F.count("*").alias("candidates")).join(left, F.col("left_no") == F.col("no")).select("label", F.md5("text").alias("text_md5"), "candidates")
+
+
 query("jon_18_later_occurrence", "SELECT event_id, CASE WHEN max(stage) OVER (PARTITION BY user_id, event_type) > stage THEN 'Yes' ELSE 'No' END AS more_update FROM {history}")(lambda t: J.later_occurrence(t.history, ["user_id", "event_type"], "stage").select("event_id", "more_update"))
 query(
     "jon_19_allocate",
