@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 #: Words that carry no content in goals and labels.
 GENERAL_WORDS = (
-    "a an and are as at be but by for from i in into is it me my of on or our that the their them they this to use using was we with you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "i", "in", "into", "is", "it", "me", "my", "of", "on", "or", "our", "that", "the", "their", "them", "they", "this", "to", "use", "using", "was", "we", "with", "you", "your",
+)
 #: Words that do not anchor a turn.
 STOP_TOKENS = (
-    "about again also been being between could does dont from have into just know like made main need near night over plan said same that them then there they this trip turn want what when which with would your"
-).split()
+    "about", "again", "also", "been", "being", "between", "could", "does", "dont", "from", "have", "into", "just", "know", "like", "made", "main", "need", "near", "night", "over", "plan", "said", "same", "that", "them", "then", "there", "they", "this", "trip", "turn", "want", "what", "when", "which", "with", "would", "your",
+)
 #: Phrases by which a stored text shows the directive itself.
 DIRECTIVE_PHRASES = [
     "forget", "do not retain", "don't retain", "want you to retain", "want you to keep", "want to retain", "do not use it", "not use it again", "not use again",
@@ -85,14 +85,13 @@ def norm_b(text: Column) -> Column:
 
 
 def norm_c(text: Column) -> Column:
-    """Compatibility form, dashes as -, lower case, and only a-z, 0-9, @ $ . + - kept. Folding has no builtin and runs in Arrow batches."""
+    """Compatibility form, lower case, en and em dash as -, and only a-z, 0-9, @ $ . + - kept. Folding has no builtin and runs in Arrow batches."""
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKD")
 
-    dashes = F.regexp_replace(fold(text), "[‐-―−]", "-")
-    return F.regexp_replace(F.lower(dashes), "[^a-z0-9@$.+-]+", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(fold(text)), "[–—]", "-"), "[^a-z0-9@$.+-]+", "")
 
 
 def content_tokens(text: Column) -> Column:

@@ -21,3 +21,16 @@ def global_index(df: DataFrame, order: list[str], name: str = "k") -> DataFrame:
     offsets = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
     # One row per partition: bounded by the number of partitions.
     return parts.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_i") + F.col("_before") + 1).cast("long")).drop("_p", "_i", "_before")
+
+
+def running_total(df: DataFrame, order: list[str], add: str, name: str) -> DataFrame:
+    """Rows with the total of a column up to and with them in the order of the columns, which together must be unique, and _lo, the
+    total before them. As global_index(), but what is carried over is each partition's sum."""
+    parts = _cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sums = parts.groupBy("_p").agg(F.sum(add).alias("_s"))
+    before = F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_p").orderBy(*order)
+    both = parts.join(F.broadcast(offsets), "_p")
+    upto, ahead = (F.sum(add).over(w.rowsBetween(Window.unboundedPreceding, end)) for end in (0, -1))
+    return both.withColumns({name: F.col("_before") + upto, "_lo": F.col("_before") + F.coalesce(ahead, F.lit(0))}).drop("_p", "_before")

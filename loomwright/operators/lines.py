@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as X
+from loomwright.operators.matching import _cut
 
 
 def flatten_stages(docs: DataFrame, stages: list[str], id_col: str = "conv_id") -> DataFrame:
@@ -161,18 +162,24 @@ def bounded_samples(rows: DataFrame, by: list[str], order: list[str], n: int = 2
     return rows.withColumn("sample", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("sample") <= n)
 
 
-def weighted_draw(rows: DataFrame, weights: DataFrame, value: str, weight: str, u: Column, most: int = 100_000) -> DataFrame:
-    """Rows with a value drawn by weight from a table of classes: u in [0, 1) falls in the value's share of the running total.
+def weighted_draw(rows: DataFrame, weights: DataFrame, value: str, weight: str, u: Column, bins: int | None = None) -> DataFrame:
+    """Rows with a value drawn by weight from a table of distinct values: u in [0, 1) falls in the value's share of the running total.
 
-    The classes are counted and broadcast; of more than `most` the draw is refused, as they are then rows and no classes.
+    The running total is taken in range partitions with an offset each, and the interval join is one by equal bins: there are as
+    many bins as values (or `bins`), each value stands in the bins that its share touches, a row in one. A heavy value touches many
+    bins, so neither a heavy value nor a long table of them meets in one task, and nothing is broadcast. No values, values
+    without weight and null weights draw nothing; rows whose u is null or outside [0, 1) are left out.
     """
-    if (n := weights.count()) > most:
-        raise ValueError(f"{n} classes to draw from; at most {most} are sent to every task")
-    w = Window.orderBy(value)
-    cum = weights.withColumn("hi", F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy()))
-    cum = cum.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0))).select(value, "lo", "hi")
-    d = rows.withColumn("_u", u)
-    return d.join(F.broadcast(cum), (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).drop("lo", "hi", "_u")
+    from loomwright.operators.indexing import running_total
+
+    cum = _cut(running_total(weights.where(F.col(weight) > 0).select(value, weight), [value], weight, "_hi"))
+    n, total = cum.agg(F.count("*"), F.max("_hi")).first()
+    bins = max(1, bins or n)
+    cum = cum.select(value, F.col("_lo") / F.lit(total or 1), F.col("_hi") / F.lit(total or 1)).toDF(value, "_lo", "_hi")
+    at = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1))
+    spread = cum.withColumn("_bin", F.explode(F.sequence(at("_lo"), at("_hi"))))
+    d = rows.withColumn("_u", u).where("_u >= 0 AND _u < 1").withColumn("_bin", at("_u"))
+    return d.hint("merge").join(spread.hint("merge"), "_bin").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_lo", "_hi", "_u", "_bin")
 
 
 def annotate_dupes(values: DataFrame, conv: str, idx: str, value: str) -> DataFrame:

@@ -86,10 +86,12 @@ SELECT group_pos, pos, s.system, CASE WHEN v.v IS NULL THEN '-' ELSE printf('%.2
 # Streams and their batch twins ----------------------------------------------------------------------------------------
 
 
-def as_stream(t, df, name: str, files: int = 3):
-    path = scratch(t, name)
-    df.repartitionByRange(files, df.columns[0]).write.parquet(path)
-    return streams.read_files(t.spark, path, df.schema)
+def as_stream(t, df, name: str, batches: int = 3):
+    """The rows as a stream of about as many micro-batches, in order of the first column. As many files are written as the rows
+    have partitions, and a micro-batch takes several of them, so work is spread at any size of the table."""
+    path, parts = scratch(t, name), max(batches, df.rdd.getNumPartitions())
+    df.repartitionByRange(parts, df.columns[0]).write.parquet(path)
+    return streams.read_files(t.spark, path, df.schema, per_batch=-(-parts // batches))
 
 
 @query("str_01_stage_stream", f"SELECT world, count(*) AS n, avg(CASE WHEN {P} = 'remember_correct' THEN 1 ELSE 0 END) AS remember_correct_rate FROM {{eval_items}} GROUP BY 1")
@@ -114,24 +116,50 @@ def str_02b(t):
     return streams.run_to_files(s.select("user_id", "event_type"), f"{path}/rows", f"{path}/checkpoint")
 
 
+@query("str_02c_restarted_stream", "SELECT DISTINCT user_id, event_type FROM events")
+def str_02c(t):
+    """The same stream stopped after its first micro-batch and started again from its checkpoint."""
+    path = scratch(t, "restart")
+    s = streams.dedup_trace(as_stream(t, t.events.select("event_id", "ts", "user_id", "event_type"), "str02c"), ["user_id", "event_type"], "ts", "365 days").select("user_id", "event_type")
+    streams.run_some(s, f"{path}/rows", f"{path}/checkpoint")
+    return streams.run_to_files(s, f"{path}/rows", f"{path}/checkpoint")
+
+
 FOLD = "WITH l AS (SELECT user_id, mem_id, arg_max(action, seq) AS a, arg_max(value, seq) AS value, max(seq) AS last_seq FROM {store_log} WHERE action <> 'NONE' GROUP BY ALL) SELECT user_id, mem_id, value, last_seq FROM l WHERE a <> 'DELETE'"
 query("str_03_fold_actions", FOLD)(lambda t: streams.fold_batch(t.store_log, "user_id", "mem_id", "seq", "value"))
 
 
-@query("str_03b_fold_stream", FOLD)
-def str_03b(t):
-    """The fold by state over several micro-batches in order of seq; a run's last batch holds what lives at its end. The state
-    processor needs the RocksDB store, which is set for this run and then set back."""
-    key, path = "spark.sql.streaming.stateStore.providerClass", scratch(t, "fold")
+def with_state(t, stream, name: str, keys: list[str]):
+    """The last say of a stateful stream about every key. State processors need the RocksDB store, which is set for this run and
+    then set back."""
+    key, path = "spark.sql.streaming.stateStore.providerClass", scratch(t, name)
     before = t.spark.conf.get(key)
     t.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        s = streams.fold_stream(as_stream(t, t.store_log.select("seq", "user_id", "mem_id", "action", "value"), "str03"), "user_id", "mem_id", "seq", "value")
-        return streams.latest_step(streams.run_steps(s, f"{path}/steps", "update", f"{path}/checkpoint"), ["user_id"]).where("mem_id IS NOT NULL")
+        return streams.latest_step(streams.run_steps(stream(), f"{path}/steps", "update", f"{path}/checkpoint"), keys).where("live").drop("live")
     finally:
         t.spark.conf.set(key, before)
 
 
+def actions(t):
+    return t.store_log.select("seq", "user_id", "mem_id", "action", "value")
+
+
+@query("str_03b_fold_stream", FOLD)
+def str_03b(t):
+    """The fold by state over several micro-batches: of each entry what the last batch that changed it says."""
+    return with_state(t, lambda: streams.fold_stream(as_stream(t, actions(t), "str03"), "user_id", "mem_id", "seq", "value"), "fold", ["user_id", "mem_id"])
+
+
+@query("str_03c_fresh_ids")
+def str_03c(t):
+    """The fold whose unknown updates get fresh numbers, over several micro-batches in order of seq."""
+    return with_state(t, lambda: streams.rename_stream(as_stream(t, actions(t), "str03c"), "user_id", "mem_id", "seq", "value"), "rename", ["user_id", "entry"])
+
+
+query("str_03d_fresh_ids_batch")(lambda t: streams.rename_batch(actions(t), "user_id", "mem_id", "seq", "value"))
+
+
 query("str_04_tumbling_rates", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, avg((value > 20)::INT) AS rate FROM events GROUP BY ALL")(lambda t: streams.windowed_rates(t.events, "ts", F.col("value") > 20, "1 day", by=["event_type"]))
 query("str_04b_sliding_rates", "SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k AS start, count(*) AS n, avg((value > 20)::INT) AS rate FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL")(lambda t: streams.windowed_rates(t.events, "ts", F.col("value") > 20, "1 day", "6 hours"))
 query("str_04c_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s")(

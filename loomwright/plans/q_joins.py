@@ -324,10 +324,52 @@ query("win_15_sample_blocks")(lambda t: longctx.sample_blocks(t.history.select("
 query("win_15b_sample_sizes", "SELECT user_id, least(8, count(*)) AS n, 0::BIGINT AS locked FROM (SELECT DISTINCT user_id, event_type, stage FROM {history}) GROUP BY user_id")(
     lambda t: longctx.sample_check(longctx.sample_blocks(t.history.select("user_id", F.col("event_type").alias("file"), "stage").distinct(), "user_id", 8), "user_id")
 )
-query("win_16_order_blocks", "SELECT user_id, count(*) AS n, min(event_id) AS a, max(event_id) AS b FROM {history} GROUP BY user_id")(
-    lambda t: longctx.order_blocks(t.history.select("user_id", "event_id", "stage", (F.col("event_id") % 10 == 0).alias("other")), "user_id", "event_id").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("a"), F.max("event_id").alias("b"))
-)
-query("win_16b_order_rows")(lambda t: longctx.order_blocks(t.history.select("user_id", "event_id", "stage", (F.col("event_id") % 10 == 0).alias("other")), "user_id", "event_id"))
-query("win_19_mix_distractors")(
-    lambda t: longctx.mix_distractors(t.history.select("user_id", F.col("event_id").alias("block")), t.documents.select("doc_id", words().alias("n_words")), "user_id", 2, 100_000)
-)
+
+
+def ordered(mode: str) -> str:
+    """SQL of the places of blocks around the chosen topic."""
+    part = "coalesce(min(CASE WHEN own AND stage = 2 THEN i END) OVER w, min(CASE WHEN own AND stage = 3 THEN i END) OVER w, n_own - 1) + 1" if mode == "A" else "n_own"
+    allowed, enough = ("floor(0.1::DOUBLE * part)", "part > 1") if mode == "A" else ("floor(0.1::DOUBLE * n)", "part > 1 AND n - n_own >= floor(0.1::DOUBLE * n)")
+    h = "('0x' || substr(md5('order:' || who || ':' || event_id), 1, 12))::BIGINT"
+    return f"""WITH b AS (SELECT user_id % 20 AS who, event_id, event_type AS topic, stage FROM {{history}}),
+c AS (SELECT who, arg_min(topic, (CASE WHEN stage = 3 THEN 0 ELSE 1 END, -stage, {h}, event_id)) AS chosen FROM b GROUP BY who),
+o AS (SELECT b.*, topic = chosen AS own FROM b JOIN c ON b.who = c.who),
+i AS (SELECT *, row_number() OVER (PARTITION BY who, own ORDER BY stage, CASE WHEN own THEN 0 ELSE {h} END, event_id) - 1 AS i, count(*) FILTER (own) OVER (PARTITION BY who) AS n_own, count(*) OVER (PARTITION BY who) AS n FROM o),
+p AS (SELECT *, {part} AS part FROM i WINDOW w AS (PARTITION BY who)),
+m AS (SELECT *, CASE WHEN {enough} THEN least({allowed}, n - n_own) ELSE 0 END AS m FROM p),
+s AS (SELECT *, NOT own AND i < m AS spread FROM m)
+SELECT who, event_id, topic, stage, own AS chosen, row_number() OVER (PARTITION BY who ORDER BY CASE WHEN own THEN CASE WHEN i < part THEN 0 ELSE 2 END WHEN spread THEN 0 ELSE 1 END,
+  CASE WHEN spread THEN round_even(part / (m + 1) * (i + 1), 0) ELSE i END, own, i)::INT AS place FROM s"""
+
+
+def sessions(t):
+    return t.history.select((F.col("user_id") % 20).alias("who"), "event_id", F.col("event_type").alias("topic"), "stage")
+
+
+query("win_16_order_blocks", ordered("A"))(lambda t: longctx.order_blocks(sessions(t), "who", "event_id", "topic", "stage", "A"))
+query("win_16b_order_rows", ordered("B"))(lambda t: longctx.order_blocks(sessions(t), "who", "event_id", "topic", "stage", "B"))
+
+#: Personas of few, some and many blocks, at any size of the tables.
+PERSONAS = "concat('a', conv_id % 2)", "concat('b', conv_id % 25)", "concat('c', conv_id % 400)"
+MIX_U = "('0x' || substr(md5('mix:' || who || ':' || block), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE"
+MIX_SOME = ", ".join(f"CASE WHEN u < {w[0]!r}::DOUBLE THEN 0 WHEN u < {w[0] + w[1]!r}::DOUBLE THEN 1 ELSE {2 if w[2] else 1 if w[1] else 0} END" for w in longctx.WEIGHTS)
+MIX_MANY = ", ".join(f"floor(u * {m + 1})::BIGINT" for m in longctx.MOST)
+
+
+@query(
+    "win_19_mix_distractors",
+    f"""WITH b AS (SELECT who, block, n_words FROM ({" UNION ALL ".join(f"SELECT {p} AS who, conv_id * 1000 + turn AS block, {WORDS} AS n_words FROM conversations" for p in PERSONAS)})),
+s AS (SELECT *, CASE WHEN n >= {longctx.MANY} THEN 'many' WHEN n >= {longctx.SOME} THEN 'some' ELSE 'none' END AS kind, {MIX_U} AS u FROM (SELECT *, count(*) OVER (PARTITION BY who) AS n FROM b)),
+c AS (SELECT *, CASE kind WHEN 'many' THEN [{MIX_MANY}] WHEN 'some' THEN [{MIX_SOME}] ELSE [0] END AS counts FROM s),
+t AS (SELECT who, block, n_words, kind, k - 1 AS try, least(counts[k], (SELECT count(*) FROM documents)) AS k FROM (SELECT *, unnest(range(1, len(counts) + 1)) AS k FROM c)),
+d AS (SELECT doc_id, {WORDS} AS words, row_number() OVER (ORDER BY md5('mix:' || doc_id), doc_id) AS no FROM documents),
+g AS (SELECT t.who, t.block, t.try, t.kind, x.slot, d.doc_id, coalesce(d.words, 0) AS words FROM t, unnest(range(0, t.k)) AS x(slot) JOIN d ON d.no = (('0x' || substr(md5('mix:at:' || t.who || ':' || t.block), 1, 12))::BIGINT + x.slot) % (SELECT count(*) FROM documents) + 1),
+o AS (SELECT who, try, kind, sum(n_words) AS own FROM t GROUP BY ALL), f AS (SELECT who, try, sum(words) AS more FROM g GROUP BY ALL),
+q AS (SELECT o.who, coalesce(min(CASE WHEN own + coalesce(more, 0) < CASE kind WHEN 'many' THEN 30000 WHEN 'some' THEN 4000 ELSE 3000 END THEN o.try END), max(o.try)) AS try FROM o LEFT JOIN f ON f.who = o.who AND f.try = o.try GROUP BY o.who)
+SELECT g.who, g.block, g.slot::INT AS slot, g.doc_id, g.words, g.try::INT AS try FROM g JOIN q ON q.who = g.who AND q.try = g.try""",
+)
+def win_19(t):
+    """Budgets are scaled to the short texts of these tables, so that some personas fit at once, some after tries and some never."""
+    turns = t.conversations.withColumn("n_words", words())
+    blocks = reduce(lambda a, b: a.unionByName(b), [turns.select(F.expr(p).alias("who"), (F.col("conv_id") * 1000 + F.col("turn")).alias("block"), "n_words") for p in PERSONAS])
+    return longctx.mix_distractors(blocks, t.documents.select("doc_id", words().alias("n_words")), "who", "block", "doc_id", budgets={"none": 3000, "some": 4000, "many": 30_000})

@@ -52,40 +52,168 @@ def fold_batch(log: DataFrame, run: str, mem: str, seq: str, value: str) -> Data
     return last.where("action <> 'DELETE'").select(run, mem, "value", "last_seq")
 
 
+def last_actions(rows: Iterator[pd.DataFrame], mem: str, seq: str) -> pd.DataFrame:
+    """Of one run's rows, which come in chunks, each entry's last action that counts: one frame with a row per entry."""
+    last = pd.DataFrame()
+    for chunk in rows:
+        both = pd.concat([last, chunk[chunk["action"] != "NONE"]])
+        last = both.sort_values(seq).drop_duplicates(mem, keep="last")
+    return last
+
+
 class Fold:
     """State per run: a map from entry to its last action that counts, by seq, so micro-batches may come in any order; a deleted
-    entry stays as a mark for older actions that come late. Used by transformWithStateInPandas."""
+    entry stays as a mark for older actions that come late. With `late`, marks that many numbers behind the newest of a run go,
+    so that state follows the living entries. Of every batch only the entries that it changed come out, with whether they live.
+    Used by transformWithStateInPandas."""
+
+    def __init__(self, run: str, mem: str, seq: str, value: str, late: int | None = None):
+        self.run, self.mem, self.seq, self.value, self.late = run, mem, seq, value, late
+
+    def init(self, handle) -> None:
+        self.live = handle.getMapState("live", f"{self.mem} int", "value double, last_seq long")
+        self.gone = handle.getMapState("gone", f"{self.mem} int", "last_seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        out = []
+        for r in last_actions(rows, self.mem, self.seq).itertuples(index=False):
+            entry, seq, value = (int(getattr(r, self.mem)),), int(getattr(r, self.seq)), float(getattr(r, self.value))
+            held = self.live.getValue(entry)[1] if self.live.containsKey(entry) else self.gone.getValue(entry)[0] if self.gone.containsKey(entry) else -1
+            if held >= seq:
+                continue
+            if r.action == "DELETE":
+                self.gone.updateValue(entry, (seq,))
+                self.live.removeKey(entry)
+            else:
+                self.live.updateValue(entry, (value, seq))
+                self.gone.removeKey(entry)
+            out.append((key[0], entry[0], value, seq, r.action != "DELETE"))
+        if self.late is not None and out:
+            newest = max(x[3] for x in out)
+            for entry in [k for k, v in self.gone.iterator() if v[0] < newest - self.late]:
+                self.gone.removeKey(entry)
+        yield pd.DataFrame(out, columns=[self.run, self.mem, "value", "last_seq", "live"])
+
+    def close(self) -> None:
+        pass
+
+
+class Renaming:
+    """Takes one run's actions in order of seq and says what becomes of the store.
+
+    An addition keeps its number unless a living entry has it; an update of a number that is not known becomes an addition; both
+    then get the number behind the greatest living one, 0 in an empty store. The log's number stands for the entry that it last
+    named, so later actions on it reach the renamed entry. Deletions and NONE of unknown numbers change nothing.
+    """
+
+    def __init__(self, alias: dict[int, int], live: dict[int, tuple[float, int]]):
+        self.alias, self.live = alias, live
+
+    def take(self, action: str, number: int, value: float, seq: int) -> int | None:
+        """The entry that the action has changed; None if there is none."""
+        entry = self.alias.get(number, number)
+        known = entry in self.live
+        if action == "DELETE" and known:
+            del self.live[entry]
+            self.alias.pop(number, None)
+        elif action == "UPDATE" and known:
+            self.live[entry] = (value, seq)
+        elif action in ("ADD", "UPDATE"):
+            entry = number if action == "ADD" and number not in self.live else max(self.live, default=-1) + 1
+            self.live[entry] = (value, seq)
+            self.alias[number] = entry
+        else:
+            return None
+        return entry
+
+
+class RenamingFold:
+    """State per run for Renaming: the living entries, which number of the log stands for which, and the last seq taken. A run's
+    log is read in its own order: rows up to that seq have been taken before and are passed over, so a batch that is sent again
+    changes nothing. Of every batch the changed entries come out, with whether they live. Used by transformWithStateInPandas."""
 
     def __init__(self, run: str, mem: str, seq: str, value: str):
         self.run, self.mem, self.seq, self.value = run, mem, seq, value
 
     def init(self, handle) -> None:
-        self.live = handle.getMapState("live", f"{self.mem} int", "value double, last_seq long, live boolean")
+        self.live = handle.getMapState("live", "entry int", "value double, last_seq long")
+        self.alias = handle.getMapState("alias", f"{self.mem} int", "entry int")
+        self.last = handle.getValueState("last", "last_seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        # A run's rows of a batch come in chunks; each keeps only an entry's last action that counts, so one frame holds a row per entry.
-        last = pd.DataFrame()
-        for chunk in rows:
-            both = pd.concat([last, chunk[chunk["action"] != "NONE"]])
-            last = both.sort_values(self.seq).drop_duplicates(self.mem, keep="last")
-        for r in last.itertuples(index=False):
-            entry, seq = (int(getattr(r, self.mem)),), int(getattr(r, self.seq))
-            if not self.live.containsKey(entry) or self.live.getValue(entry)[1] < seq:
-                self.live.updateValue(entry, (float(getattr(r, self.value)), seq, r.action != "DELETE"))
-        # A run without live entries says so by one row without an entry, which takes the place of its earlier rows.
-        out = [(key[0], k[0], v[0], v[1]) for k, v in self.live.iterator() if v[2]] or [(key[0], None, None, None)]
-        yield pd.DataFrame(out, columns=[self.run, self.mem, "value", "last_seq"]).astype({self.mem: "Int32", "last_seq": "Int64"})
+        last = self.last.get()[0] if self.last.exists() else -1
+        new = pd.concat([c[c[self.seq] > last] for c in rows]).sort_values(self.seq).drop_duplicates(self.seq)
+        if new.empty:
+            return
+        alias, live = {k[0]: v[0] for k, v in self.alias.iterator()}, {k[0]: (v[0], v[1]) for k, v in self.live.iterator()}
+        before = dict(alias)
+        store, changed = Renaming(alias, live), {}
+        for action, number, value, seq in zip(new["action"], new[self.mem], new[self.value], new[self.seq], strict=True):
+            if (entry := store.take(action, int(number), float(value), int(seq))) is not None:
+                changed[entry] = (float(value), int(seq))
+        for entry in changed:
+            self.live.updateValue((entry,), live[entry]) if entry in live else self.live.removeKey((entry,))
+        for number in before.keys() | alias.keys():
+            if number not in alias:
+                self.alias.removeKey((number,))
+            elif before.get(number) != alias[number]:
+                self.alias.updateValue((number,), (alias[number],))
+        self.last.update((int(new[self.seq].iloc[-1]),))
+        yield pd.DataFrame([(key[0], e, *v, e in live) for e, v in changed.items()], columns=[self.run, "entry", "value", "last_seq", "live"])
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(stream: DataFrame, run: str, mem: str, seq: str, value: str, kind: str = "long") -> DataFrame:
-    """Live store per run after every micro-batch, state kept by the state store."""
+def _stateful(stream: DataFrame, run: str, processor: object, schema: str) -> DataFrame:
     from pyspark.sql.streaming import StatefulProcessor
 
-    processor = type("FoldProcessor", (Fold, StatefulProcessor), {})
-    return stream.groupBy(run).transformWithStateInPandas(processor(run, mem, seq, value), f"{run} {kind}, {mem} int, value double, last_seq long", "Update", "None")
+    kind = type(f"{type(processor).__name__}Processor", (type(processor), StatefulProcessor), {})
+    own = kind.__new__(kind)
+    own.__dict__.update(processor.__dict__)
+    return stream.groupBy(run).transformWithStateInPandas(own, schema, "Update", "None")
+
+
+def fold_stream(stream: DataFrame, run: str, mem: str, seq: str, value: str, kind: str = "long", late: int | None = None) -> DataFrame:
+    """The entries of each run's store that a micro-batch has changed: run, entry, value, last_seq, live. State is kept by the state
+    store; late is how many numbers behind the newest an action of a run may come."""
+    return _stateful(stream, run, Fold(run, mem, seq, value, late), f"{run} {kind}, {mem} int, value double, last_seq long, live boolean")
+
+
+def rename_stream(stream: DataFrame, run: str, mem: str, seq: str, value: str, kind: str = "long") -> DataFrame:
+    """As fold_stream, for a log whose unknown updates get fresh numbers (Renaming): run, entry, value, last_seq, live. A run's rows
+    must come in order of seq, batch by batch."""
+    return _stateful(stream, run, RenamingFold(run, mem, seq, value), f"{run} {kind}, entry int, value double, last_seq long, live boolean")
+
+
+def rename_batch(log: DataFrame, run: str, mem: str, seq: str, value: str, kind: str = "long") -> DataFrame:
+    """Batch twin of rename_stream: the living entries after the whole log. Runs are sorted by Spark and read row by row, with the
+    store of one run in memory at a time."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        def told(who, store):
+            rows = [(who, e, *v) for e, v in store.live.items()] if store else []
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[run, "entry", "value", "last_seq"])
+
+        who, store, last, types = None, None, None, None
+        for b in batches:
+            types = types or [b.schema.field(run).type, pa.int32(), pa.float64(), pa.int64()]
+            for r, at, action, number, x in zip(*[b.column(c).to_pylist() for c in (run, seq, "action", mem, value)], strict=True):
+                if store is None or r != who:
+                    if store:
+                        yield told(who, store)
+                    who, store, last = r, Renaming({}, {}), None
+                if at != last:
+                    store.take(action, number, x, at)
+                last = at
+        if store:
+            yield told(who, store)
+
+    ordered = log.select(run, seq, "action", mem, value).repartition(run).sortWithinPartitions(run, seq)
+    return ordered.mapInArrow(each, f"{run} {kind}, entry int, value double, last_seq long")
 
 
 def windowed_rates(events: DataFrame, time: str, hit: Column, size: str, slide: str | None = None, late: str | None = None, by: list[str] | None = None) -> DataFrame:
@@ -102,11 +230,28 @@ def session_rates(events: DataFrame, time: str, who: str, gap: str, late: str |
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs an append stream over what is there into Parquet files and reads them back."""
+    """Runs an append stream over what is there into Parquet files and reads them back: those that the stream's own log names, so
+    that a stopped and restarted run counts each batch once."""
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_some(stream: DataFrame, path: str, checkpoint: str, batches: int = 1, wait_s: float = 0.05) -> int:
+    """Runs an append stream into Parquet files until some micro-batches are through, then stops it; gives the number of the last one.
+    What was on its way is done again by the next run from the same checkpoint, and the files' own log leaves its first try out."""
+    import time
+
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        while q.isActive and (q.lastProgress is None or q.lastProgress["batchId"] < batches - 1):
+            time.sleep(wait_s)
+        if q.exception():
+            raise q.exception()
+        return q.lastProgress["batchId"]
+    finally:
+        q.stop()
+
+
 def run_steps(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there; every micro-batch's rows go to Parquet under its number, and all are read back with step.
     A batch that is run again writes the same folder, so a lost driver or executor doubles nothing."""
