@@ -7,13 +7,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no content in goals and labels.
-GENERAL_WORDS = (
+GENERAL_WORDS = [
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "i", "in", "into", "is", "it", "me", "my", "of", "on", "or", "our", "that", "the", "their", "them", "they", "this", "to", "use", "using", "was", "we", "with", "you", "your",
-)
+]
 #: Words that do not anchor a turn.
-STOP_TOKENS = (
+STOP_TOKENS = [
     "about", "again", "also", "been", "being", "between", "could", "does", "dont", "from", "have", "into", "just", "know", "like", "made", "main", "need", "near", "night", "over", "plan", "said", "same", "that", "them", "then", "there", "they", "this", "trip", "turn", "want", "what", "when", "which", "with", "would", "your",
-)
+]
 #: Phrases by which a stored text shows the directive itself.
 DIRECTIVE_PHRASES = [
     "forget", "do not retain", "don't retain", "want you to retain", "want you to keep", "want to retain", "do not use it", "not use it again", "not use again",

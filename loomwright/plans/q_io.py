@@ -94,6 +94,17 @@ def as_stream(t, df, name: str, batches: int = 3):
     return streams.read_files(t.spark, path, df.schema, per_batch=-(-parts // batches))
 
 
+def as_ordered_stream(t, df, name: str, run: str, batches: int = 3):
+    """As as_stream, for readers that need each run's rows in order of the first column: spans of it are written one after another,
+    each with a run's rows in one file, as a file source takes older files first."""
+    path, seq, parts = scratch(t, name), df.columns[0], max(1, df.rdd.getNumPartitions())
+    cuts = df.agg(F.percentile_approx(seq, [(k + 1) / batches for k in range(batches - 1)], 10_000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        span = (F.lit(True) if low is None else F.col(seq) > low) & (F.lit(True) if high is None else F.col(seq) <= high)
+        df.where(span).repartition(parts, run).write.mode("append").parquet(path)
+    return streams.read_files(t.spark, path, df.schema, per_batch=parts)
+
+
 @query("str_01_stage_stream", f"SELECT world, count(*) AS n, avg(CASE WHEN {P} = 'remember_correct' THEN 1 ELSE 0 END) AS remember_correct_rate FROM {{eval_items}} GROUP BY 1")
 def str_01(t):
     """Rates after the last micro-batch; by then everything has come in, so they are those of the whole table."""
@@ -154,7 +165,7 @@ def str_03b(t):
 @query("str_03c_fresh_ids")
 def str_03c(t):
     """The fold whose unknown updates get fresh numbers, over several micro-batches in order of seq."""
-    return with_state(t, lambda: streams.rename_stream(as_stream(t, actions(t), "str03c"), "user_id", "mem_id", "seq", "value"), "rename", ["user_id", "entry"])
+    return with_state(t, lambda: streams.rename_stream(as_ordered_stream(t, actions(t), "str03c", "user_id"), "user_id", "mem_id", "seq", "value"), "rename", ["user_id", "entry"])
 
 
 query("str_03d_fresh_ids_batch")(lambda t: streams.rename_batch(actions(t), "user_id", "mem_id", "seq", "value"))
