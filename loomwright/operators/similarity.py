@@ -20,17 +20,99 @@ def norm(a: str) -> Column:
     return F.sqrt(F.aggregate(F.col(a), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def topk_cosine(queries: DataFrame, store: DataFrame, key: str, vector: str, k: int, block: str) -> DataFrame:
-    """The k stored vectors nearest to each query by cosine within the query's block (a user's store), own row left out.
+def _sides(queries: DataFrame, store: DataFrame, key: str, vector: str, by: list[str], rows_each: int) -> DataFrame:
+    """Pairs of a query and the stored rows with the same columns `by`, own row left out, with sim, their cosine; zero and null vectors are like none. The store is dealt
+    by hash into parts of about rows_each rows, which each query meets one by one, so a frequent key is many tasks."""
+    parts = max(1, math.ceil(store.count() / rows_each))
+    as_double = lambda df, i, v: df.select(*by, F.col(key).alias(i), F.col(vector).cast("array<double>").alias(v)).withColumn(f"{v}_norm", norm(v))
+    q = as_double(queries, "query_id", "q").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    s = as_double(store, key, "s").withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    pairs = q.hint("merge").join(s.hint("merge"), [*by, "_part"]).where(F.col("query_id") != F.col(key))
+    return pairs.withColumn("sim", F.round(dot("q", "s") / F.nullif(F.col("q_norm") * F.col("s_norm"), F.lit(0.0)), 9)).where(F.col("sim").isNotNull())
+
+
+def _first(pairs: DataFrame, key: str, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), key)
+    return pairs.select("query_id", key, "sim").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+def topk_cosine(queries: DataFrame, store: DataFrame, key: str, vector: str, k: int, block: str | None = None, rows_each: int = 100_000) -> DataFrame:
+    """The k stored vectors nearest to each query by cosine, within the query's block (a user's store) if one is named, own row left out.
 
-    Queries meet only entries of their own block, an equi-join; Spark keeps the first k per query before the
-    shuffle. Norms are taken once per row, not per pair.
+    Exact: a query meets every entry of its block. Spark keeps the first k per query before the shuffle; norms are taken once per row.
     """
-    as_double = lambda df, i, v: df.select(F.col(block), F.col(key).alias(i), F.col(vector).cast("array<double>").alias(v)).withColumn(f"{v}_norm", norm(v))
-    pairs = as_double(queries, "query_id", "q").join(as_double(store, key, "s"), block).where(F.col("query_id") != F.col(key))
-    sim = F.round(dot("q", "s") / (F.col("q_norm") * F.col("s_norm")), 9)
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), key)
-    return pairs.select("query_id", key, sim.alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    return _first(_sides(queries, store, key, vector, [block] if block else [], rows_each), key, k)
+
+
+def closest_of(notes: DataFrame, events: DataFrame, key: str, vector: str, by: list[str], rows_each: int = 100_000) -> DataFrame:
+    """Of the events with a note's own columns `by` (conversation, date) the one most like it: query_id, key, sim; ties to the
+    smaller key, no row where there is none. An aggregate with partial sums, so no date is sorted."""
+    pairs = _sides(notes, events, key, vector, by, rows_each)
+    best = pairs.groupBy("query_id").agg(F.max(F.struct("sim", (-F.col(key)).alias("back"))).alias("b"))
+    return best.select("query_id", (-F.col("b.back")).alias(key), F.col("b.sim").alias("sim"))
+
+
+class Lists:
+    """An inverted index of vectors: centres fitted on a bounded sample, every row in the list of its nearest centre.
+
+    Vectors count by direction. The sample is the `sample` rows with the least seeded hash; there are about as many lists as the
+    square root of the rows, at most `most`. Zero vectors and vectors with nulls are in no list.
+    """
+
+    def __init__(self, store: DataFrame, key: str, vector: str, sample: int = 20_000, most: int = 1024, seed: int = 16):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        self.key, self.vector = key, vector
+        sound = store.select(key, F.col(vector).cast("array<double>").alias("_v")).where("forall(_v, x -> x IS NOT NULL AND NOT isnan(x)) AND exists(_v, x -> x <> 0)")
+        n = sound.count()
+        h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30))
+        some = sound if n <= sample else sound.where(h < int(1.2 * sample / n * (1 << 30))).orderBy(h, key).limit(sample)
+        flat = F.transform("_v", lambda x: x / norm("_v"))
+        kinds = max(1, min(most, int(min(n, sample) ** 0.5)))
+        points = _cut(some.select(array_to_vector(flat).alias("features")))
+        self.centres = KMeans(k=kinds, seed=seed, maxIter=8).fit(points).clusterCenters() if n else []
+
+    def nearest(self, df: DataFrame, count: int) -> DataFrame:
+        """df with lists, the numbers of the `count` nearest lists, nearest first; null where a vector is in none."""
+        import numpy as np
+
+        centres = df.sparkSession.sparkContext.broadcast(np.array(self.centres, float))
+
+        @F.pandas_udf("array<int>")
+        def lists(v: pd.Series) -> pd.Series:
+            c = centres.value
+            ok = np.array([x is not None and len(c) and len(x) == c.shape[1] and bool(np.isfinite(x).all()) and bool(np.any(x)) for x in v], bool)
+            out = [None] * len(v)
+            if ok.any():
+                x = np.stack(list(v[ok])).astype(float)
+                d = (c * c).sum(1)[None, :] - 2 * (x / np.linalg.norm(x, axis=1)[:, None]) @ c.T
+                for i, row in zip(np.flatnonzero(ok), np.argsort(d, 1, kind="stable")[:, :count].astype("int32"), strict=True):
+                    out[i] = row
+            return pd.Series(out)
+
+        return df.withColumn("lists", lists(F.col(self.vector).cast("array<double>")))
+
+    def probes(self, queries: DataFrame, store: DataFrame, k: int, recall: float, asked: int = 50) -> int:
+        """How many lists a query has to look into to find the share `recall` of its k nearest, measured against the exact search for
+        `asked` queries, those with the least hash."""
+        some = _cut(queries.orderBy(F.xxhash64(F.lit(1), self.key), self.key).limit(asked))
+        exact = topk_cosine(some, store, self.key, self.vector, k)
+        homes = self.nearest(store.join(F.broadcast(_cut(exact.select(self.key).distinct())), self.key, "left_semi"), 1).select(self.key, F.col("lists")[0].alias("home"))
+        order = self.nearest(some, len(self.centres)).select(F.col(self.key).alias("query_id"), "lists")
+        at = sorted(r.p for r in exact.join(homes, self.key).join(order, "query_id").select(F.array_position("lists", F.col("home")).alias("p")).collect())  # asked * k numbers
+        return max(1, int(at[min(len(at) - 1, math.ceil(recall * len(at)) - 1)])) if at else 1
+
+
+def topk_lists(queries: DataFrame, store: DataFrame, key: str, vector: str, k: int, index: Lists | None = None, probes: int | None = None, recall: float = 0.97, rows_each: int = 100_000) -> DataFrame:
+    """As topk_cosine without a block, but a query meets only the rows of its nearest lists: as many as `recall` was measured to take."""
+    index = index or Lists(store, key, vector)
+    if not len(index.centres):
+        return topk_cosine(queries, store, key, vector, k)
+    probes = probes or index.probes(queries, store, k, recall)
+    q = index.nearest(queries, probes).withColumn("list", F.explode("lists"))
+    s = index.nearest(store, 1).withColumn("list", F.col("lists")[0]).where("list IS NOT NULL")
+    return _first(_sides(q, s, key, vector, ["list"], rows_each), key, k)
 
 
 #: A gram that makes up more than one in so many of all grams counts as frequent; no more than that many can.

@@ -117,6 +117,12 @@ query(
     "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 9) AS sim FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM p) WHERE r <= 5",
 )(lambda t: SIM.topk_cosine(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding", 5, block="label"))
 
+query(
+    "jon_16b_closest_of_date",
+    "WITH v AS (SELECT vec_id, label, vec_id // 7 % 30 AS day, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 9) AS sim FROM v q JOIN v c ON q.label = c.label AND q.day = c.day AND q.vec_id <> c.vec_id) SELECT query_id, arg_min(vec_id, (-sim, vec_id)) AS vec_id, max(sim) AS sim FROM p GROUP BY query_id",
+)(lambda t: (lambda v: SIM.closest_of(v, v, "vec_id", "embedding", ["label", "day"]))(t.embeddings.withColumn("day", F.expr("vec_id div 7 % 30"))))
+query("jon_16c_vector_lists")(lambda t: SIM.topk_lists(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding", 5))
+
 
 def preferences(t):
     """Texts of user turns with a side, and a list of the same texts without their first word, some on the other side."""

@@ -112,3 +112,27 @@ def test_targets_in_a_store(spark):
     assert got == {1: (True, 3), 2: (True, 4), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None)}
 
 
+
+
+def test_vector_lists_find_what_the_exact_search_finds(spark, small):
+    t = Tables(spark, small)
+    q = t.embeddings.where("vec_id % 10 = 0")
+    exact = {(r.query_id, r.vec_id) for r in similarity.topk_cosine(q, t.embeddings, "vec_id", "embedding", 5, rows_each=100).collect()}
+    index = similarity.Lists(t.embeddings, "vec_id", "embedding")
+    probes = index.probes(q, t.embeddings, 5, 0.97)
+    found = {(r.query_id, r.vec_id) for r in similarity.topk_lists(q, t.embeddings, "vec_id", "embedding", 5, index, rows_each=100).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and len(exact) == 5 * q.count() and 1 <= probes <= len(index.centres)
+    every = {(r.query_id, r.vec_id) for r in similarity.topk_lists(q, t.embeddings, "vec_id", "embedding", 5, index, probes=len(index.centres)).collect()}
+    assert every == exact
+    assert similarity.topk_lists(q, t.embeddings.limit(0), "vec_id", "embedding", 5).count() == 0
+
+
+def test_clustered_vectors_need_few_lists(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [(i, (c + 0.1 * rng.normal(size=8)).tolist()) for c in 5 * rng.normal(size=(12, 8)) for i in range(60)]
+    rows = [(k, v) for k, (_, v) in enumerate(rows)] + [(9001, [0.0] * 8), (9002, None), (9003, [None] * 8)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    index = similarity.Lists(df, "vec_id", "embedding")
+    assert len(index.centres) == 26 and index.probes(df.where("vec_id < 700"), df, 5, 0.97) <= 6
