@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +21,21 @@ DROP = frozenset("nav footer header aside form script style noscript template if
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Open elements that one of the same family ends, and where the search for them stops.
 SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in class, id or role that mark furniture, and those that mark the article.
+#: The families by a name, the tags that belong to each, and the end tags of light elements that no heavy one lets through.
+FAMILY = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+FAMILIES = {t: {f for k, f in FAMILY.items() if t in SIBLING[k][0] | SIBLING[k][1]} for k in SIBLING for t in SIBLING[k][0] | SIBLING[k][1]}
+LIGHT = frozenset(("p", "li", "span", "a", "b", "i", "em", "strong"))
+HEAVY = ("table", "td", "th", "article", "main", "body")
+#: Whole names of class, id or role that mark furniture, and those whose parts mark the article.
 AWAY = frozenset("nav navbar navigation menu submenu footer header masthead sidebar aside ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup comment comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager widget form login search toolbar skip hidden contentinfo complementary dialog paywall".split())
+#: Names made of several words: what they begin or end with to be furniture, and the pairs that name a page's own parts. Other
+#: words say nothing beside a second one: a share price, a form factor or a notice of meeting is text.
+PARTED = re.compile(
+    r"(?:nav|navbar|sidebar|footer|ads?|advert|cookies?|comments?|newsletter|breadcrumbs?|sponsored|promo)[-_].*|.*[-_](?:nav|navbar|navigation|sidebar|footer|ads?|adverts?|comments|newsletter|breadcrumbs?|pagination)"
+    r"|(?:site|page|global|top|main|primary|secondary)[-_](?:header|menu|banner|search)|(?:share|sharing|social|related)[-_](?:buttons?|links?|icons?|bar|posts?|articles?|stories|media)|(?:search|login|signup|subscribe|contact)[-_](?:form|box|bar)"
+)
+#: A page that has or lacks furniture is none.
+ABOUT = re.compile(r"(?:no|has|with|without)[-_]")
 #: Of these, what makes even an article element no main text.
 SMALL = frozenset("comment comments reply replies related promo sponsored ad ads advert advertisement recommended".split())
 HOME = frozenset("article content main post entry story body text page".split())
@@ -44,14 +56,17 @@ DEPTH = 4096
 
 
 class Node:
-    """An element. Its path is a hash of its block elements' steps from the top, which takes as much room at any depth."""
+    """An element. Its path is a hash of its block elements' steps from the top, which takes as much room at any depth; block and
+    box are the nearest block and the nearest container at or above it, so no walk goes through inline elements."""
 
-    __slots__ = ("tag", "path", "up", "away", "parts", "home", "depth")
+    __slots__ = ("tag", "path", "up", "away", "parts", "home", "depth", "block", "box")
 
     def __init__(self, tag, path, up, away, home):
         self.tag, self.path, self.up, self.away, self.home = tag, path, up, away, home
         self.parts = []
         self.depth = up.depth + 1 if up is not None else 0
+        self.block = self if up is None or tag in BLOCK else up.block
+        self.box = self if tag in CONTAINER else up.box if up is not None else None
 
 
 def path_of(above: int, step: str) -> int:
@@ -74,16 +89,22 @@ def tag_end(page: str, at: int) -> int:
     return -1
 
 
+def furniture(name: str, whole: frozenset) -> bool:
+    """Whether a class, id or role names furniture: as a whole, or as one of the known compounds. An article is judged by whole names."""
+    return name in whole or whole is AWAY and not ABOUT.match(name) and PARTED.fullmatch(name) is not None
+
+
 def describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The generalised step of a path (tag and classes, or else its id, with digits as #), whether it is furniture, whether it names the article."""
+    """The generalised step of a path (tag and classes, or else its id, with digits as #), whether it is furniture, whether it names the article.
+    Inline elements are no furniture by their names, only by being hidden."""
     found: dict[str, str] = {}
     for m in ATTR.finditer(attrs or ""):
         if (name := m[1].lower()) in SAYS:
             found.setdefault(name, m[2] or m[3] or m[4] or "")
     names = [GAP.sub("", re.sub(r"\d+", "#", c)) for c in found.get("class", "").split()]
-    said = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower()
-    words = set(re.split(r"[^a-z]+", re.sub(r"\b(?:no|has|with|without)[-_]\w+", "", said)))
-    away = tag in DROP or bool(words & (SMALL if tag == "article" else AWAY)) and tag not in ("main", "body", "html")
+    said = " ".join((found.get("class", ""), found.get("id", ""), found.get("role", ""))).lower().split()
+    words = {w for x in said if not ABOUT.match(x) for w in re.split(r"[^a-z]+", x)}
+    away = tag in DROP or tag in BLOCK and tag not in ("main", "body", "html") and any(furniture(x, SMALL if tag == "article" else AWAY) for x in said)
     away = away or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
     if not names and (name := re.sub(r"\d+", "#", GAP.sub("", found.get("id", "")))):
         return f"{tag}#{name}", away, tag in ("article", "main") or bool(words & HOME)
@@ -95,16 +116,24 @@ def parse(page: str) -> list[Node]:
     root = Node("", 0, None, False, False)
     nodes, top, at, n, over = [root], root, 0, len(page), 0
     ends: dict[str, int] = {}
-    opened: Counter[str] = Counter()
+    # Open elements by tag, and by family in the order they were opened: the last one is found without a walk.
+    opened: dict[str, list[Node]] = {}
+    families: dict[str, list[Node]] = {}
 
     def rise(to: Node) -> Node:
-        """Ends the open elements below one; none is looked for that is not open."""
+        """Ends the open elements below one."""
         now = top
         while now is not to:
-            opened[now.tag] -= 1
+            opened[now.tag].pop()
+            for f in FAMILIES.get(now.tag, ()):
+                families[f].pop()
             now = now.up
         return to
 
+    def last(tag: str) -> Node | None:
+        held = opened.get(tag)
+        return held[-1] if held else None
+
     while at < n:
         m = OPENS.search(page, at)
         if m is None:
@@ -130,9 +159,9 @@ def parse(page: str) -> list[Node]:
                 over -= 1
                 top = rise(top.up) if top.depth >= DEPTH else top
                 continue
-            node = top if opened[tag] else None
-            while node is not None and node.tag != tag:
-                node = node.up if not (node.tag in ("table", "td", "th", "article", "main", "body") and tag in ("p", "li", "span", "a", "b", "i", "em", "strong")) else None
+            node = last(tag)
+            if node is not None and tag in LIGHT and any((x := last(t)) is not None and x.depth > node.depth for t in HEAVY):
+                node = None
             if node is not None and node.up is not None:
                 top = rise(node.up)
             elif tag == "br":
@@ -141,21 +170,16 @@ def parse(page: str) -> list[Node]:
         if tag in ("br", "wbr"):
             top.parts.append(" " if tag == "br" else "")
             continue
-        if tag in CLOSES_P and opened["p"]:
-            node = top
-            while node.up is not None and node.tag != "p" and (node.tag not in BLOCK):
-                node = node.up
-            if node.tag == "p":
-                top = rise(node.up)
-        if tag in SIBLING and any(opened[x] for x in SIBLING[tag][0]):
-            mine, family_ends = SIBLING[tag]
-            node, last = top, None
-            while node.up is not None and node.tag not in family_ends:
-                if node.tag in mine:
-                    last = node
-                node = node.up
-            if last is not None:
-                top = rise(last.up)
+        if tag in CLOSES_P and top.block.tag == "p":
+            top = rise(top.block.up)
+        if tag in SIBLING:
+            outer = None
+            for node in reversed(families.get(FAMILY[tag], ())):
+                if node.tag in SIBLING[tag][1]:
+                    break
+                outer = node
+            if outer is not None:
+                top = rise(outer.up)
         attrs = page[m.end() : end]
         step, away, home = describe(tag, attrs)
         alone = tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK
@@ -173,7 +197,9 @@ def parse(page: str) -> list[Node]:
                 ends[tag] = found.end() if found else n
             at = ends[tag]
             continue
-        opened[tag] += 1
+        opened.setdefault(tag, []).append(node)
+        for f in FAMILIES.get(tag, ()):
+            families.setdefault(f, []).append(node)
         top = node
     return nodes
 
@@ -223,15 +249,12 @@ def scores(nodes: list[Node]) -> dict[int, float]:
             weight = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
         else:
             continue
-        up, share = (node if node.tag in CONTAINER else node.up), 1.0
-        while up is not None and weight:
-            if up.tag in CONTAINER:
-                got[id(up)] = got.get(id(up), 0.0) + weight * share
-                held[id(up)] = up
-                share *= 0.6
-                if share < 1e-6:
-                    break
-            up = up.up
+        box, share = node.box, 1.0
+        while box is not None and weight and share >= 1e-6:
+            got[id(box)] = got.get(id(box), 0.0) + weight * share
+            held[id(box)] = box
+            share *= 0.6
+            box = box.up.box if box.up is not None else None
     best: dict[int, float] = {}
     for k, v in got.items():
         node = held[k]

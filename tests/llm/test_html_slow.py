@@ -107,7 +107,7 @@ def slow_tree(page):
                 if own:
                     del stack[own[0] :]
             top = stack[-1]
-            step, away, home = H.describe(tag, attrs)
+            step, away, home = slow_describe(tag, attrs)
             node = {"tag": tag, "path": (*top["path"], step) if tag in H.BLOCK else top["path"], "away": away or top["away"], "home": home, "parts": []}
             top["parts"].append(node)
             every.append(node)
@@ -116,6 +116,33 @@ def slow_tree(page):
     return every
 
 
+def slow_describe(tag, attrs):
+    """Furniture by whole names, then by lists of compounds written out."""
+    held = {}
+    for m in H.ATTR.finditer(attrs or ""):
+        held.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    names = [n for k in ("class", "id", "role") for n in held.get(k, "").lower().split()]
+    away = tag in H.DROP or "hidden" in held or held.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", held.get("style", ""), re.I))
+    if tag in H.BLOCK and tag not in ("main", "body", "html"):
+        for n in names:
+            first, end = re.split(r"[-_]", n)[0], re.split(r"[-_]", n)[-1]
+            if tag == "article":
+                away |= n in H.SMALL
+            elif n in H.AWAY:
+                away = True
+            elif first != n and first not in ("no", "has", "with", "without"):
+                two = re.split(r"[-_]", n, maxsplit=1)
+                away |= first in "nav navbar sidebar footer ad ads advert cookie cookies comment comments newsletter breadcrumb breadcrumbs sponsored promo".split()
+                away |= end in "nav navbar navigation sidebar footer ad ads advert adverts comments newsletter breadcrumb breadcrumbs pagination".split()
+                away |= two[0] in "site page global top main primary secondary".split() and two[1] in "header menu banner search".split()
+                away |= two[0] in "share sharing social related".split() and two[1] in "button buttons link links icon icons bar post posts article articles stories media".split()
+                away |= two[0] in "search login signup subscribe contact".split() and two[1] in "form box bar".split()
+    home = tag in ("article", "main") or any(w in H.HOME for n in names if re.split(r"[-_]", n)[0] == n or re.split(r"[-_]", n)[0] not in ("no", "has", "with", "without") for w in re.split(r"[^a-z]+", n))
+    classes = sorted(re.sub(r"\d+", "#", c) for c in held.get("class", "").split())
+    own = re.sub(r"\d+", "#", re.sub(r"\s+", "", held.get("id", "")))
+    return (f"{tag}#{own}" if own and not classes else ".".join([tag, *classes])), away, home
+
+
 def slow_blocks(node):
     lines, now = [], {"text": "", "links": 0}
 
@@ -222,3 +249,25 @@ def test_time_and_room_follow_the_length(name):
 def test_text_below_the_depth_stays():
     page = "<article>" + "<div>" * 9_000 + "".join(f"<p>line {i} of the text</p>" for i in range(50)) + "</div>" * 9_000 + "</article>"
     assert H.extract("<body>" + page + "</body>", []) == "\n".join(f"line {i} of the text" for i in range(50))
+
+
+@pytest.mark.parametrize("inside", ['<p class="share-price">kept</p>', '<p class="form-factor">kept</p>', '<a class="related-term">kept</a>', '<section class="social-history">kept</section>', '<div class="notice-of-meeting">kept</div>', '<div class="page-text-search">kept</div>', '<span class="banner-image">kept</span>', '<div class="has-sidebar">kept</div>'])
+def test_compound_names_are_text(inside):
+    page = f"<html><body><div class='nav'>gone</div><article><p>Before it.</p>{inside}<p>After it.</p></article></body></html>"
+    assert H.extract(page, []).split() == "Before it. kept After it.".split()
+
+
+@pytest.mark.parametrize("name", ["nav", "main-nav", "site-header", "cookie-banner", "comments", "comment-list", "ad", "ad-slot", "top_sidebar", "share-buttons", "related-posts", "newsletter", "search-form", "ADS"])
+def test_furniture_is_left_out(name):
+    page = f"<html><body><article><p>Before it.</p><div class='x1 {name}'>gone</div><section id='{name}'>gone</section><p>After it.</p></article></body></html>"
+    assert H.extract(page, []).split() == "Before it. After it.".split()
+
+
+@pytest.mark.parametrize("page", ["<span>" * 4000 + "<p>x</p>" * 80_000, "<b>" * 3000 + "<td>x" * 80_000, "<div>" * 3000 + "<td>x" * 40_000, "<b><article>" + "<span>" * 4000 + "x</b>" * 80_000, "<ul><li>" * 1500 + "<i>" * 2000 + "<p>a<li>b" * 20_000])
+def test_time_follows_the_length(page):
+    import time
+
+    began = time.perf_counter()
+    text = H.extract(page, [])
+    assert "x" in text or "b" in text
+    assert time.perf_counter() - began < 6
