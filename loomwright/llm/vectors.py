@@ -32,12 +32,28 @@ def tile_top(qid, q, cid, c, k: int, step: int = 1024, band: int = 256):
 
     The product of int8 codes (exact in float32 up to 1024 components at a time) gives each pair's value
     within a bound on the quantisation error. A pair survives if its upper bound reaches the k-th largest
-    lower bound of its query; survivors are computed again from the vectors themselves.
+    lower bound of its query; survivors are computed again from the vectors themselves. Vectors of any magnitude take part: products
+    that underflow tie at zero, those that overflow at infinity.
     """
     import numpy as np
 
-    qc, qs, qn, qe = quantised(q)
-    cc, cs, cn, ce = quantised(c)
+    # Bounds are taken of scaled vectors: one power of two for each side, which changes no digit, keeps their products in range.
+    power = [int(np.clip(np.floor(np.log2(np.abs(x).max(initial=0) or 1.0)), -1000, 1000)) for x in (q, c)]
+    q2, c2 = q * 2.0 ** -power[0], c * 2.0 ** -power[1]
+    qc, qs, qn, qe = quantised(q2)
+    cc, cs, cn, ce = quantised(c2)
+    # What the vectors' own products lose to underflow, and from where on they are infinite and so alike, in these units.
+    lost = q.shape[1] * 2.0 ** min(1000, -1074 - sum(power))
+    most = 2.0 ** (1024 - sum(power)) if sum(power) > 1 else np.inf
+
+    def products(x, x2, rows):
+        with np.errstate(over="ignore", invalid="ignore"):
+            got = exact(np.broadcast_to(x, (len(rows), len(x))), c[rows])
+            odd = ~np.isfinite(got)
+            if odd.any():  # a partial sum has left the range; the whole may lie in it, and has a sign in any case
+                got[odd] = exact(np.broadcast_to(x2, (odd.sum(), len(x))), c2[rows[odd]]) * 2.0 ** (sum(power) // 2) * 2.0 ** (sum(power) - sum(power) // 2)
+        return got
+
     out = []
     for at in range(0, len(q), band):
         rows = slice(at, at + band)
@@ -46,13 +62,13 @@ def tile_top(qid, q, cid, c, k: int, step: int = 1024, band: int = 256):
             value += qc[rows, d : d + step].astype(np.float32) @ cc[:, d : d + step].astype(np.float32).T
         value *= qs[rows, None] * cs[None, :]
         slack = qe[rows, None] * cn[None, :] + qn[rows, None] * ce[None, :] + qe[rows, None] * ce[None, :]
-        slack += 1e-9 * (np.abs(value) + qn[rows, None] * cn[None, :] + slack) + 1e-300
+        slack += 1e-9 * (np.abs(value) + qn[rows, None] * cn[None, :] + slack) + 1e-300 + lost
         own = qid[rows, None] == cid[None, :]
-        low = np.where(own, -np.inf, value - slack)
+        low, high = np.where(own, -np.inf, np.clip(value - slack, -most, most)), np.clip(value + slack, -most, most)
         floor = np.partition(low, low.shape[1] - k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         for r in range(len(low)):
-            left = np.flatnonzero((value[r] + slack[r] >= floor[r]) & ~own[r])
-            score = exact(np.broadcast_to(q[at + r], (len(left), q.shape[1])), c[left])
+            left = np.flatnonzero((high[r] >= floor[r]) & ~own[r])
+            score = products(q[at + r], q2[at + r], left)
             best = np.lexsort((cid[left], -score))[:k]
             out.append((np.full(len(best), qid[at + r]), cid[left[best]], score[best]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -63,7 +79,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Candidates are all rows but the query's own. Null, empty and zero vectors, vectors holding null or
     non-finite components and rows with a null id take no part; of rows repeating an id the largest vector
-    counts. Vectors meet only those of their own length. Ties go to the smaller id. No candidates: no rows.
+    counts. Vectors meet only those of their own length; a score beyond the range of doubles is infinite, never NaN. Ties go to the smaller id. No candidates: no rows.
 
     Both sides are dealt by hash into blocks of a fixed size, and every query block meets every candidate
     block in a task of its own, which holds one tile. Each tile's k best then go to their query's task,
