@@ -192,8 +192,8 @@ query("udf_01_answer_method", "SELECT conv_id, turn, CASE WHEN length(text) % 2
 query("udf_01b_stateful_method", "SELECT conv_id, turn, chr((65 + user_idx % 3)::INT) AS answer FROM {user_turns}")(
     lambda t: answer_with(t.user_turns.select("conv_id", "turn"), lambda p: p["turn"].rank().astype(int).sub(1).mod(3).map({0: "A", 1: "B", 2: "C"}), by="conv_id")
 )
-query("udf_02_rewrite_step", "SELECT conv_id, turn, CASE WHEN starts_with(text, 'A') OR length(text) < 30 THEN role ELSE left(text, 30) END AS rewritten FROM conversations")(
-    lambda t: rewrite_with(t.conversations, lambda x: None if x.startswith("A") else x[:30] if x[29] else "", "text", F.col("role")).select("conv_id", "turn", "rewritten")
+query("udf_02_rewrite_step", "SELECT conv_id, turn, CASE WHEN starts_with(text, 'A') OR length(text) < 30 THEN role ELSE replace(text, ' ', '_') END AS rewritten FROM conversations")(
+    lambda t: rewrite_with(t.conversations, lambda x: None if x.startswith("A") else x.replace(" ", "_") if x[29] else "", "text", F.col("role")).select("conv_id", "turn", "rewritten")
 )
 query("udf_03_method_config", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'k=9' ELSE 'k=5' END || ',model=m' AS config, CASE WHEN user_id % 3 = 0 THEN 'typo' ELSE '' END AS unknown FROM (SELECT DISTINCT user_id FROM events)")(
     lambda t: t.events.select("user_id").distinct().select(

@@ -47,11 +47,11 @@ query("jon_07_baseline_retrieval", "SELECT conv_id, system_id, qa_family, left(a
 )
 query(
     "jon_08_interaction_candidates",
-    "WITH b AS (SELECT conv_id, stage, count(*) AS n, arg_min(line, pos) AS first FROM {lines} WHERE pos % 2 = 1 AND stage < 1 GROUP BY ALL) SELECT u.conv_id, u.turn, (row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn))::INT AS rank, coalesce(b.n, 0)::INT AS n_lines, b.first AS first_line FROM {user_turns} u LEFT JOIN b ON b.conv_id = u.conv_id AND b.stage = CAST(floor(u.turn / 8) AS INT)",
+    "WITH b AS (SELECT conv_id, stage, count(*) AS n, arg_min(line, pos) AS first FROM {lines} WHERE pos % 2 = 1 GROUP BY ALL) SELECT u.conv_id, u.turn, (row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn))::INT AS rank, coalesce(b.n, 0)::INT AS n_lines, b.first AS first_line FROM {user_turns} u LEFT JOIN b ON b.conv_id = u.conv_id AND b.stage = CAST(floor(u.turn / 8) AS INT)",
 )(
     lambda t: J.interaction_candidates(
         t.user_turns.select("conv_id", "turn", F.floor(F.col("turn") / 8).cast("int").alias("stage")),
-        t.lines.where("pos % 2 = 1 AND stage < 1").groupBy("conv_id", "stage").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]).alias("lines")),
+        t.lines.where("pos % 2 = 1").groupBy("conv_id", "stage").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]).alias("lines")),
         ["conv_id", "stage"], ["turn"], "conv_id",
     ).select("conv_id", "turn", "rank", F.size("lines").alias("n_lines"), F.try_element_at("lines", F.lit(1)).alias("first_line"))
 )
@@ -269,8 +269,8 @@ query(
 )
 
 # Set operations ------------------------------------------------------------------------------------------------------
-query("set_01_union_families", "SELECT conv_id, turn, 'whole' AS qa_family, NULL::VARCHAR AS slot FROM {user_turns} UNION ALL SELECT conv_id, turn, 'slot', left(text, 5) FROM {user_turns}")(
-    lambda t: t.user_turns.select("conv_id", "turn", F.lit("whole").alias("qa_family")).unionByName(t.user_turns.select("conv_id", "turn", F.lit("slot").alias("qa_family"), F.left("text", F.lit(5)).alias("slot")), allowMissingColumns=True)
+query("set_01_union_families", "SELECT conv_id, turn, 'whole' AS qa_family, NULL::VARCHAR AS slot FROM {user_turns} UNION ALL SELECT conv_id, turn, 'slot', text FROM {user_turns}")(
+    lambda t: t.user_turns.select("conv_id", "turn", F.lit("whole").alias("qa_family")).unionByName(t.user_turns.select("conv_id", "turn", F.lit("slot").alias("qa_family"), F.col("text").alias("slot")), allowMissingColumns=True)
 )
 query("set_02_shared_values", "SELECT a.user_id, string_agg(a.v, ',' ORDER BY a.v) AS shared FROM (SELECT DISTINCT user_id, event_type AS v FROM {history} WHERE stage = 0 INTERSECT SELECT DISTINCT user_id, event_type FROM {history} WHERE stage = 3) a GROUP BY a.user_id")(
     lambda t: t.history.where("stage = 0").select("user_id", "event_type").intersect(t.history.where("stage = 3").select("user_id", "event_type")).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("shared"))

@@ -179,8 +179,8 @@ query(
 )(
     lambda t: t.events.where("value > 1").withColumn("type", F.expr(TYPE_OF)).withColumn("r", F.row_number().over(Window.partitionBy("user_id", "type").orderBy((F.col("event_id") * 37) % 11, "event_id"))).where("r <= 2 AND (event_id * 7919) % 2 = 0").select("event_id")
 )
-query("flt_09_drop_blind", "SELECT conv_id, turn, world, system_id FROM {eval_items} i WHERE NOT EXISTS (SELECT 1 FROM {eval_items} b WHERE b.conv_id = i.conv_id AND b.turn = i.turn AND b.world = 'baseline' AND b.system_id < 3 AND b.predicted_answer_type = 'remember_correct')")(
-    lambda t: t.eval_items.join(t.eval_items.where("world = 'baseline' AND system_id < 3").groupBy("conv_id", "turn").agg(F.max((F.col("predicted_answer_type") == "remember_correct").cast("int")).alias("ok")).where("ok = 1"), ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "world", "system_id")
+query("flt_09_drop_blind", "SELECT conv_id, turn, world, system_id FROM {eval_items} i WHERE NOT EXISTS (SELECT 1 FROM {eval_items} b WHERE b.conv_id = i.conv_id AND b.turn = i.turn AND b.world = 'baseline' GROUP BY b.conv_id, b.turn HAVING count(*) FILTER (b.predicted_answer_type = 'remember_correct') >= 3)")(
+    lambda t: t.eval_items.join(t.eval_items.where("world = 'baseline'").groupBy("conv_id", "turn").agg(F.count_if(F.col("predicted_answer_type") == "remember_correct").alias("ok")).where("ok >= 3"), ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "world", "system_id")
 )
 query("flt_10_completeness", "SELECT user_id, array_to_string(list_filter([CASE WHEN count(*) FILTER (event_type = 'signup') = 0 THEN 'signup' END, CASE WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'purchase' END, CASE WHEN count(*) FILTER (stage = 3 AND value > 60) = 0 THEN 'late' END], lambda x: x IS NOT NULL), ',') AS missing FROM {history} GROUP BY user_id")(
     lambda t: t.history.groupBy("user_id").agg(F.collect_list(F.when(F.col("event_type") == "signup", 1)).alias("signup"), F.collect_list(F.when(F.col("event_type") == "purchase", 1)).alias("purchase"), F.collect_list(F.when((F.col("stage") == 3) & (F.col("value") > 60), 1)).alias("late"))

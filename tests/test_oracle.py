@@ -16,6 +16,7 @@ def test_same_rows(name, spark, small, same):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(name, spark, small):
-    """Rows come, and two runs give the same; what the rows must be is tested in test_properties."""
+    """Rows come, and two runs give the same. What the rows must be is tested in test_properties (lineage closure, placement, sampling),
+    test_matching (fuzzy join, vector lists), test_longctx (folded form) and test_streams (fresh ids)."""
     one, two = (sorted(map(repr, QUERIES[name](spark, small).collect())) for _ in range(2))
     assert one and one == two
