@@ -67,8 +67,8 @@ def best_two_fit(lengths: list[int], room: int = 2048) -> list[list[int]]:
     return bins
 
 
-def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, room: int) -> DataFrame:
-    """Columns id, piece, start, length, ids_crc32, ids of each document's pieces of at most `room` ids."""
+def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, room: int, with_ids: bool) -> DataFrame:
+    """Columns id, piece, start, length, ids_crc32 and, with with_ids, ids of each document's pieces of at most `room` ids."""
     import zlib
 
     end = int(end_id).to_bytes(4, "little")
@@ -77,22 +77,23 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
         import pyarrow as pa
 
         words = encoder(path)
-        for b in slices(batches):
-            for at in range(0, b.num_rows, 50):
-                part = b.slice(at, 50)
-                row, piece, ids = [], [], []
-                for i, t in enumerate(words.many(part.column(1).to_pylist())):
-                    t += end
-                    cuts = range(0, len(t), 4 * room)
-                    ids += [t[c : c + 4 * room] for c in cuts]
-                    piece += range(len(cuts))
-                    row += [i] * len(cuts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array([room * p for p in piece], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=[f.name for f in fields],
-                )
-
-    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")], T.StructField("ids", T.BinaryType())]
+        for part in slices(batches):
+            row, piece, size, crc, ids = [], [], [], [], []
+            for i, t in enumerate(words.many(part.column(1).to_pylist())):
+                t += end
+                for p, c in enumerate(range(0, len(t), 4 * room)):
+                    x = t[c : c + 4 * room]
+                    row.append(i)
+                    piece.append(p)
+                    size.append(len(x) // 4)
+                    crc.append(zlib.crc32(x))
+                    if with_ids:
+                        ids.append(x)
+            cols = [part.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array([room * p for p in piece], pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names=[f.name for f in fields])
+
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]]
+    fields += [T.StructField("ids", T.BinaryType())] * with_ids
     return docs.select(id_col, F.col(text_col).cast("binary").alias("_lw_text")).mapInArrow(each, T.StructType(fields))
 
 
@@ -126,8 +127,8 @@ def placed(pieces: DataFrame, key: str, length: str, room: int = 2048, group_row
     return spread.groupBy("group").applyInArrow(pack, "key long, sequence_id long, offset long").withColumnRenamed("key", key)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, room: int = 2048, group_rows: int = 20_000) -> DataFrame:
-    """One row per piece: id, piece (from 0), start (in its document), length, ids_crc32, ids, sequence_id, offset (in its sequence).
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, room: int = 2048, group_rows: int = 20_000, with_ids: bool = True) -> DataFrame:
+    """One row per piece: id, piece (from 0), start (in its document), length, ids_crc32, ids (unless with_ids is false), sequence_id, offset (in its sequence).
 
     A document's ids are those of its text and the end id. One of up to `room` ids stays whole; a longer one is cut into pieces
     of `room`, and only the last may be shorter. Every sequence holds at most `room` ids, offsets are gapless from 0. ids are
@@ -135,18 +136,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     A null or empty text gives the end id alone; repeated rows and null ids are packed like any other; an empty table gives no
     rows; columns other than id and text are not read. Pieces are numbered and written once, so a lost executor changes no
-    place; whole sequences need no packing, the others travel as numbers and lengths, and ids only if they are asked for.
+    place; whole sequences need no packing, and the others travel as numbers and lengths.
     A text's ids are held by one task.
     """
     path = tokenizer or vocabulary()
-    pieces = stash(cut_pieces(docs, id_col, text_col, path, end_id, room).withColumn("_lw_key", F.monotonically_increasing_id()))
+    pieces = stash(cut_pieces(docs, id_col, text_col, path, end_id, room, with_ids).withColumn("_lw_key", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") == room).withColumns({"sequence_id": -1 - F.col("_lw_key"), "offset": F.lit(0).cast("long")})
     short = pieces.where(F.col("length") < room)
     put = placed(short, "_lw_key", "length", room, group_rows)
     both = full.unionByName(short.hint("merge").join(put.hint("merge"), "_lw_key"))
-    return both.select(id_col, "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
+    return both.select(id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """The pieces of pack without the ids, which are then not read again."""
-    return pack(docs, id_col, text_col, tokenizer).drop("ids")
+    """The pieces of pack with checksums in place of the ids, which are then not written."""
+    return pack(docs, id_col, text_col, tokenizer, with_ids=False)
