@@ -44,6 +44,19 @@ NAMES: dict[str, list[str]] = {
 }
 #: How a notice announces a name, and the identifiers after the SPDX name.
 FORMS = ["Licensed under {}.", "Licensed under the {}.", "Licensed under a {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}."]
+#: How the identifier is given in fields of packages and in a sentence, and the titles of licence files.
+FIELDS = ["License: {}", "This project is {} licensed."]
+TITLES: dict[str, list[str]] = {
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "ISC": ["ISC License Copyright (c)"],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "MIT": ["MIT License Copyright (c)", "The MIT License (MIT) Copyright (c)"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0"],
+}
 SPDX = ["", "-only", "-or-later"]
 #: Public wordings of notices, by SPDX name.
 TEXTS: dict[str, list[str]] = {
@@ -87,7 +100,7 @@ TEXTS: dict[str, list[str]] = {
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
 }
 TEMPLATES: dict[str, list[str]] = {
-    name: [form.format(n) for n in NAMES[name] for form in FORMS] + [f"SPDX-License-Identifier: {name}{end}" for end in (SPDX if "GPL" in name else SPDX[:1])] + TEXTS.get(name, []) for name in sorted(NAMES)
+    name: [form.format(n) for n in NAMES[name] for form in FORMS] + [f"SPDX-License-Identifier: {name}{end}" for end in (SPDX if "GPL" in name else SPDX[:1])] + [form.format(name) for form in FIELDS] + TITLES.get(name, []) + TEXTS.get(name, []) for name in sorted(NAMES)
 }
 #: Words that notices hold; between two of them the line may end and a comment mark may stand.
 CUE = r"(?i)licen[sc]e|copyright|permission is hereby|permission is granted|permission to use|redistribution|public domain|released under|distributed under|waived all|creative commons|free software|SPDX".replace(" ", r"[\s*#/;>|!%-]+")
@@ -103,6 +116,12 @@ def words(s: str) -> list[str]:
     return [BREAK.sub("-", w).lower() for w in WORDS.findall(s)]
 
 
+#: An SPDX line with several operands, and what stands in it: operands, and exceptions behind WITH.
+EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[ \t]*[A-Za-z0-9.+-]+(?:[ \t]*\)*[ \t]+(?:AND|OR|WITH)[ \t]+\(*[ \t]*[A-Za-z0-9.+-]+)*[ \t]*\)*)", re.I)
+OPERAND = re.compile(r"\bWITH[ \t]+[A-Za-z0-9.+-]+|\b(?:AND|OR)\b|([A-Za-z0-9][A-Za-z0-9.-]*\+?)", re.I)
+LATER = re.compile(r"or-later|any later version", re.I)
+
+
 class Template:
     """A wording with its words and a compressor that has it as raw dictionary, prepared once for a worker."""
 
@@ -110,7 +129,7 @@ class Template:
         import zstandard as z
 
         self.name, self.text, self.words = name, text, words(text)
-        self.counts, self.terms = Counter(self.words), TERMS & set(self.words)
+        self.counts, self.terms, self.later = Counter(self.words), TERMS & set(self.words), bool(LATER.search(text))
         data = z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
         self.packer = z.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_checksum=False)
 
@@ -162,6 +181,21 @@ def reach(n: int) -> int:
     return n * 13 // 10 + 2
 
 
+def operands(m: re.Match) -> list[tuple[str, int, int]]:
+    """The licences that an SPDX expression names, with their places; exceptions are none."""
+    return [(x[1], x.start(1), x.end(1)) for x in OPERAND.finditer(m.string, m.start(1), m.end(1)) if x[1]]
+
+
+def ranked_best(held: Templates, block: str, share: float) -> dict | None:
+    """What a block that is one notice and no more says: of the templates whose every word it holds the one that saves most bytes."""
+    data, have = block.encode("utf-8", "replace"), words(block)
+    ranked = sorted(((len(held.plain.compress(data)) - len(t.packer.compress(data)), -i) for i, t in enumerate(held.all) if t.terms <= set(have) and len(t.words) == len(have)), reverse=True)
+    for saved, i in ranked:
+        if saved > 0 and (got := differences(held.all[-i].words, have, share)) and not got[2] and not got[3]:
+            return {"license": held.all[-i].name, "saved": int(saved), "missing": "", "extra": "", "or_later": held.all[-i].later}
+    return None
+
+
 def notices(text: str, templates: dict[str, list[str]] | None = None, share: float = 0.85) -> list[dict]:
     """Confirmed notices of one text: licence, start, end (code points), bytes saved and the words that differ.
 
@@ -170,15 +204,24 @@ def notices(text: str, templates: dict[str, list[str]] | None = None, share: flo
     confirmed that matches at least the share of its words with no difference in a word of TERMS; all that save any are tried.
     Of those that save nearly as much (0.8) the one with the fewest differing words is reported.
     Blocks with fewer of a template's words than the share, or without one of its terms, cannot be confirmed and are not
-    packed. The next cue is sought behind the notice, so each notice is reported once.
+    packed. The next cue is sought behind the notice, so each notice is reported once. An SPDX line with several operands gives a
+    notice for each of them that has a template, found in the same way from a line with that operand alone. or_later says
+    whether the wording allows later versions.
     """
     held = prepared(tuple((n, tuple(ts)) for n, ts in (templates or TEMPLATES).items()))
+    tags = {m.start(): operands(m) for m in EXPRESSION.finditer(text)} if "SPDX" in text or "spdx" in text else {}
     cues = [m.start() for m in CUES.finditer(text)]
     spots = [(BREAK.sub("-", m[0]).lower(), m.start(), m.end()) for m in WORDS.finditer(text)] if cues else []
     ends, out, done = [e for _, _, e in spots], [], 0
     for here in cues:
         if here < done:
             continue
+        if len(tags.get(here, ())) > 1 or here in tags and tags[here][0][0].endswith("+"):
+            for name, start, end in tags[here]:
+                if found := ranked_best(held, f"SPDX-License-Identifier: {re.sub('[+]$', '-or-later', name)}", share):
+                    out.append(found | {"start": here if not out or out[-1]["start"] < here else start, "end": end})
+                done = end
+            continue
         k, free, ranked = bisect.bisect_right(ends, here), bisect.bisect_left(ends, done), []
         around: dict[int, tuple] = {}
         for i, t in enumerate(held.all):
@@ -198,7 +241,7 @@ def notices(text: str, templates: dict[str, list[str]] | None = None, share: flo
             if got and part[got[1]][2] > here >= done and part[got[0]][1] >= done:
                 off = len(got[2]) + len(got[3])
                 if best is None or off < best[0]:
-                    best = off, best[1] if best else saved, {"license": held.all[-i].name, "start": part[got[0]][1], "end": part[got[1]][2], "saved": int(saved), "missing": " ".join(got[2]), "extra": " ".join(got[3])}
+                    best = off, best[1] if best else saved, {"license": held.all[-i].name, "start": part[got[0]][1], "end": part[got[1]][2], "saved": int(saved), "missing": " ".join(got[2]), "extra": " ".join(got[3]), "or_later": held.all[-i].later}
         if best:
             out.append(best[2])
             done = best[2]["end"]
@@ -206,20 +249,20 @@ def notices(text: str, templates: dict[str, list[str]] | None = None, share: flo
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per confirmed notice: id, license, start, end (code points, end exclusive), saved, missing, extra.
+    """One row per confirmed notice: id, license, start, end (code points, end exclusive), saved, missing, extra, or_later.
 
     Only texts with a cue leave the JVM; a null or empty text has none, an empty table gives none. A null id stays null and
     repeated rows repeat. Columns other than id and text are not read.
     """
-    fields = [("license", "string"), ("start", "int"), ("end", "int"), ("saved", "int"), ("missing", "string"), ("extra", "string")]
+    fields = [("license", "string"), ("start", "int"), ("end", "int"), ("saved", "int"), ("missing", "string"), ("extra", "string"), ("or_later", "boolean")]
 
     def each(batches):
         import pyarrow as pa
 
         for b in slices(batches):
             rows = [(i, n) for i, t in enumerate(b.column(1).to_pylist()) for n in notices(t, templates)]
-            cols = [pa.array([n[f] for _, n in rows], pa.string() if t == "string" else pa.int32()) for f, t in fields]
+            cols = [pa.array([n[f] for _, n in rows], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for f, t in fields]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in rows], pa.int32())), *cols], names=[id_col, *[f for f, _ in fields]])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(f, T.StringType() if t == "string" else T.IntegerType()) for f, t in fields]])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(f, {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}[t]) for f, t in fields]])
     return docs.select(id_col, F.col(text_col).alias("_lw_text")).where(F.col("_lw_text").rlike(CUE)).mapInArrow(each, schema)

@@ -402,7 +402,7 @@ def test_scan_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
     got = sorted((r.doc_id or -1, r.license, r.start) for r in licenses.scan(docs).collect())
     assert got == [(-1, "Apache-2.0", 0), (3, "Apache-2.0", 400_000), (4, "Apache-2.0", 0), (4, "Apache-2.0", 0)]
-    assert licenses.scan(docs.limit(0)).columns == ["doc_id", "license", "start", "end", "saved", "missing", "extra"]
+    assert licenses.scan(docs.limit(0)).columns == ["doc_id", "license", "start", "end", "saved", "missing", "extra", "or_later"]
 
 
 def test_licences_beyond_the_fourth_in_rank():
@@ -422,3 +422,26 @@ def test_licences_wrapped_with_another_term():
     assert licenses.notices(nd, {k: v for k, v in licenses.TEMPLATES.items() if k != "CC-BY-ND-4.0"}) == []
     two = "Licensed under the Apache\nLicense, Version 2.0.\nThis work is licensed under the GNU General\nPublic License, version 3."
     assert [n["license"] for n in licenses.notices(two, licenses.TEMPLATES)] == ["Apache-2.0", "GPL-3.0"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0\nimport x", [("MIT", False), ("Apache-2.0", False)]),
+        ("// SPDX-License-Identifier: (MIT AND BSD-3-Clause)", [("MIT", False), ("BSD-3-Clause", False)]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR LicenseRef-x", [("GPL-2.0", True)]),
+        ("SPDX-License-Identifier: GPL-2.0+\nx", [("GPL-2.0", True)]),
+        ("SPDX-License-Identifier: GPL-3.0-or-later\nx", [("GPL-3.0", True)]),
+        ("MIT License\n\nCopyright (c) 2020 Some One\n", [("MIT", False)]),
+        ("version: 1\nLicense: MIT\nauthor: x", [("MIT", False)]),
+        ("This project is MIT licensed.", [("MIT", False)]),
+        ('name = "x"\nlicense = "Apache-2.0"\n', [("Apache-2.0", False)]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n", [("Apache-2.0", False)]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", [("GPL-3.0", False)]),
+        ("This code has a MIT feel and no licence.", []),
+        ("The MIT students have a driving license.", []),
+        ("SPDX-License-Identifier: LicenseRef-A OR LicenseRef-B", []),
+    ],
+)
+def test_expressions_titles_and_fields(text, want):
+    assert [(n["license"], n["or_later"]) for n in licenses.notices(text)] == want
