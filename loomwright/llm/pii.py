@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import pickle
 import random
 import re
 from dataclasses import dataclass
@@ -230,13 +231,26 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     x, y, fold = np.array([r[0] for r in got]), np.array([r[1] for r in got], float), np.array([r[2] for r in got])
     if len(np.unique(y)) < 2 or any(len(np.unique(y[fold != f])) < 2 for f in range(FOLDS)):
         return Judge(None, {})
+    # One task for each fold left out and one for none; the cases, bounded above, go to each of them.
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast((x, y, fold))
+
+    def fit(batches):
+        import pyarrow as pa
+
+        x, y, fold = share.value
+        for b in batches:
+            out = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps(Boosted().fit(x[fold != f], y[fold != f])) for f in out], pa.binary())], names=["id", "model"])
+
+    models = {r.id: pickle.loads(r.model) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fit, "id long, model binary").collect()}
     z, limits = np.zeros(len(y)), {}
     for f in range(FOLDS):
-        z[fold == f] = Boosted().fit(x[fold != f], y[fold != f]).decision(x[fold == f])
+        z[fold == f] = models[f].decision(x[fold == f])
     for i, kind in enumerate(KINDS):
         mine = x[:, 0] == i
         limits[kind] = max(0.0, calibrated_threshold(z[mine], y[mine], precision))
-    return Judge(Boosted().fit(x, y), limits)
+    return Judge(models[FOLDS], limits)
 
 
 def find(docs: DataFrame, keep: list[str], judge: Judge, text_col: str = "text") -> DataFrame:
