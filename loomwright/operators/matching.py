@@ -187,8 +187,14 @@ def best_match(targets: DataFrame, cands: DataFrame, target_id: str, cand_id: st
 
 def text_grams(text: str, q: int) -> Column:
     """The distinct substrings of q characters."""
-    signs = F.regexp_extract_all(F.col(text), F.lit("(?s)(.)"), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.array_join(F.slice(signs, i, F.lit(q)), "")))
+    return F.array_distinct(each_gram(F.col(text), q, F.length(text) - q + 1))
+
+
+def each_gram(text: Column, q: int, count: Column) -> Column:
+    """The first `count` substrings of q characters. The characters are bound to a lambda's variable, as they would else be cut anew
+    for every one of them."""
+    signs = F.array(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)))
+    return F.element_at(F.transform(signs, lambda s: F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(s, i, F.lit(q)), ""))), 1)
 
 
 def holding(needles: DataFrame, hays: DataFrame, block: list[str], per: str, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
@@ -211,17 +217,20 @@ def holding(needles: DataFrame, hays: DataFrame, block: list[str], per: str, siz
         found = [h.groupBy(*block).agg(F.min("pos").alias("first")).hint("merge").join(n.where("len = 0").select(*by).hint("merge"), block).select(*by, "first")]
     else:
         found = [here(n, h).select(*by, "first")]
-    for q in used:
-        mine = n.where(F.col("q") == q)
-        held = h.where(F.col("len") >= q).select(*block, F.col("text").alias("hay"), F.col("pos").alias("hay_pos"), F.explode(text_grams("text", q)).alias("gram"))
-        index = held.groupBy(*block, "gram").agg(F.count("*").alias("df"), F.min("hay_pos").alias("hay_pos"))
-        whole, longer = mine.where(F.col("len") == q), mine.where(F.col("len") > q)
-        is_gram = whole.withColumnRenamed("text", "gram")
+    if used:
+        # Grams of all sizes stand in one table, as a gram's own length tells its size.
+        none = F.array().cast("array<string>")
+        of_size = [F.when(F.col("len") >= q, text_grams("text", q)).otherwise(none) for q in used]
+        held = h.where(F.col("len") >= used[0]).select(*block, F.col("text").alias("hay"), F.col("pos").alias("hay_pos"), F.explode(F.flatten(F.array(*of_size))).alias("gram"))
+        index = _cut(held.groupBy(*block, "gram").agg(F.count("*").alias("df"), F.min("hay_pos").alias("hay_pos")))
+        is_gram = n.where(F.col("len") == F.col("q")).where("q > 0").withColumnRenamed("text", "gram")
         if per == "needle":
             found.append(is_gram.hint("merge").join(index.hint("merge"), [*block, "gram"]).select(*block, F.col("gram").alias("text"), F.col("hay_pos").alias("first")))
         else:
             found.append(held.hint("merge").join(is_gram.select(*block, "gram", "pos").hint("merge"), [*block, "gram"]).select(*block, F.col("hay").alias("text"), F.col("pos").alias("first")))
-        parts = longer.select(*by, "pos", F.explode(text_grams("text", q)).alias("gram")).hint("merge").join(index.select(*block, "gram", "df").hint("merge"), [*block, "gram"], "left")
+        longer = n.where((F.col("len") > F.col("q")) & (F.col("q") > 0))
+        own = F.flatten(F.array(*[F.when(F.col("q") == q, text_grams("text", q)).otherwise(none) for q in used]))
+        parts = longer.select(*by, "pos", F.explode(own).alias("gram")).hint("merge").join(index.select(*block, "gram", "df").hint("merge"), [*block, "gram"], "left")
         lead = parts.groupBy(*by).agg(F.min("pos").alias("pos"), F.min(F.struct("df", "gram")).alias("lead"), F.count_if(F.col("df").isNull()).alias("absent")).where("absent = 0").select(*by, "pos", "lead.gram")
         both = lead.hint("merge").join(held.hint("merge"), [*block, "gram"]).where(F.contains("hay", "text"))
         found.append(both.select(*by, F.col("hay_pos").alias("first")) if per == "needle" else both.select(*block, F.col("hay").alias("text"), F.col("pos").alias("first")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.operators.matching import _cut
+from loomwright.operators.matching import _cut, each_gram
 
 
 def dot(a: str, b: str) -> Column:
@@ -137,8 +137,8 @@ def _lost(q: int, k: float) -> float:
 def grams(text: str, q: int) -> Column:
     """All overlapping grams of q characters, with q - 1 signs, one at least, put before and behind the text."""
     around = max(1, q - 1)
-    signs = F.regexp_extract_all(F.concat(F.lit("\u0001" * around), F.col(text), F.lit("\u0002" * around)), F.lit("(?s)(.)"), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 2 * around - q + 1), lambda i: F.array_join(F.slice(signs, i, F.lit(q)), "")) if q > 1 else signs
+    padded = F.concat(F.lit("\u0001" * around), F.col(text), F.lit("\u0002" * around))
+    return each_gram(padded, q, F.length(text) + 2 * around - q + 1)
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float, by: list[str]) -> DataFrame:
