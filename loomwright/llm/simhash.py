@@ -71,6 +71,20 @@ def segments(words: DataFrame, bits: int, wildcard: bool) -> DataFrame:
     return every.select(F.expr(f"((shiftrightunsigned(fp, {lo}) & {mask} {left}) * 1024) + word * {BITS} + bit").alias("key"), *rest)
 
 
+def once(a: Column, b: Column, bits: int) -> Column:
+    """Of the variants that two fingerprints share, whether the one in the column key is the first: that of the first
+    segment in which they differ in at most one bit, without this bit, or without the segment's first bit where they are equal."""
+    parts = bits // 2 + 1
+    starts = [BITS * i // parts for i in range(parts + 1)]
+    apart, bit = a.bitwiseXOR(b), F.pmod("key", F.lit(BITS)).cast("int")
+    first, before = F.lit(False), F.lit(True)
+    for lo, hi in zip(starts, starts[1:], strict=False):
+        part = F.shiftrightunsigned(apart, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        mine = (bit >= lo) & (bit < hi) & F.when(part == 0, bit == lo).otherwise(part == F.expr(f"shiftleft(1L, CAST(pmod(key, {BITS}) AS INT) - {lo})"))
+        first, before = first | (before & mine), before & (F.bit_count(part) > 1)
+    return first
+
+
 def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], back: int = 4) -> DataFrame:
     """Columns node, root: components over all pairs of nodes that share a variant, are near and are kept by confirm.
 
@@ -79,38 +93,48 @@ def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column]
     the greatest of those that stand before it or first, which joins dense groups at little cost. Then variants are
     made, with each node's component so far, and only those whose nodes lie in several components are looked at: a node
     meets the first and the `back` before it, which is all there is to compare where back + 1 or fewer hold the variant.
-    Of larger ones that still lie in several components, each node outside the commonest is compared with those of others.
+    Of larger ones that still lie in several components, each node outside the commonest is compared with those of others; two
+    nodes that share many variants of a word meet in the first of them only.
     """
     col, w = F.col, Window.partitionBy("key")
+    words = words.withColumn("own", col("fp"))
     ties = ["least", *[f"back{i}" for i in range(1, back + 1)]]
+    apart = lambda t: (col(t) != col("node")) & near(col(t), col("node"))
 
     def met(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("least", F.min("node").over(w)).withColumns({f"back{i}": F.lag("node", i).over(w.orderBy("node")) for i in range(1, back + 1)})
+        both = F.struct("node", "own")
+        return rows.withColumn("least", F.min(both).over(w)).withColumns({f"back{i}": F.lag(both, i).over(w.orderBy("node")) for i in range(1, back + 1)})
+
+    def near_ones(when: Callable[[str], Column]) -> Column:
+        """Of the ties of a row with met() the nodes that it is to be compared with."""
+        return F.array_compact(F.array(*[F.when(apart(f"{t}.node") & when(t), col(f"{t}.node")) for t in ties]))
 
     pair = lambda df, t: df.select(F.least("node", t).alias("a"), F.greatest("node", t).alias("b"))
-    apart = lambda t: (col(t) != col("node")) & near(col(t), col("node"))
-    first = met(segments(words, bits, False)).select("node", (col("key") % 1024).alias("place"), F.explode(F.array(*ties)).alias("t")).where(apart("t"))
+    first = met(segments(words, bits, False)).select("node", (col("key") % 1024).alias("place"), F.explode(near_ones(lambda t: F.lit(True))).alias("t"))
     first = first.groupBy("node", "place").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
     known = cut(components(confirm(pair(first, "t").distinct())))
 
-    placed = words.hint("merge").join(known.hint("merge"), "node", "left").select("word", "fp", "node", F.coalesce("root", "node").alias("root"))
-    open_ones = segments(placed, bits, True).withColumns({"k": F.count("*").over(w), "lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo <> hi").select("key", "node", "root", "k")
-    tied = reduce(lambda a, b: a | b, [F.coalesce(apart(t), F.lit(False)) for t in ties])
-    held = stash(met(open_ones).where((col("k") > back + 1) | tied))
-    some = held.select("k", "node", F.explode(F.array(*ties)).alias("t")).where(apart("t"))
-    many = some.where(col("k") > back + 1).groupBy("node").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
-    more = confirm(pair(some.where(col("k") <= back + 1), "t").union(pair(many, "t")).distinct())
+    placed = words.hint("merge").join(known.hint("merge"), "node", "left").select("word", "fp", "node", F.coalesce("root", "node").alias("root"), "own")
+    open_ones = segments(placed, bits, True).withColumns({"k": F.count("*").over(w), "lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo <> hi").select("key", "node", "root", "own", "k")
+    # Where few hold a variant all are compared, but two nodes only in the first variant that they share.
+    new = lambda t: once(col("own"), col(f"{t}.own"), bits)
+    few, many = col("k") <= back + 1, col("k") > back + 1
+    held = met(open_ones).select("key", "node", "own", "k", near_ones(lambda t: many | new(t)).alias("ts"))
+    held = stash(held.where(many | (F.size("ts") > 0)))
+    some = lambda which: held.where(which).select("node", F.explode("ts").alias("t"))
+    wide = some(many).groupBy("node").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
+    more = confirm(pair(some(few), "t").union(pair(wide, "t")).distinct())
     known = cut(components(known.select(col("node").alias("a"), col("root").alias("b")).union(more)))
 
-    marked = held.where(col("k") > back + 1).select("key", "node").hint("merge").join(known.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    marked = held.where(col("k") > back + 1).select("key", "node", "own").hint("merge").join(known.hint("merge"), "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root"))
     marked = stash(marked)
     most = marked.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     most = cut(most.where("roots > 1").select("key", col("main.root").alias("main")))
     if most.isEmpty():
         return known
     mixed = stash(marked.hint("merge").join(most.hint("merge"), "key"))
-    rest = mixed.where("root <> main").select("key", col("node").alias("t"), col("root").alias("other"))
-    last = mixed.hint("merge").join(rest.hint("merge"), "key").where((col("root") != col("other")) & apart("t"))
+    rest = mixed.where("root <> main").select("key", col("node").alias("t"), col("root").alias("other"), col("own").alias("t_own"))
+    last = mixed.hint("merge").join(rest.hint("merge"), "key").where((col("root") != col("other")) & once(col("own"), col("t_own"), bits) & apart("t"))
     last = cut(confirm(pair(last, "t").distinct()))
     # New links together with those so far, which stand as components.
     return known if last.isEmpty() else components(known.select(col("node").alias("a"), col("root").alias("b")).union(last))
