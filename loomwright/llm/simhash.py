@@ -85,7 +85,7 @@ def once(a: Column, b: Column, bits: int) -> Column:
     return first
 
 
-def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], back: int = 4) -> DataFrame:
+def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], back: int = 4, dense: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Columns node, root: components over all pairs of nodes that share a variant, are near and are kept by confirm.
 
     words has node, word and fp; near compares two nodes, which are longs. Exact, with no cap, and without writing all
@@ -94,7 +94,9 @@ def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column]
     made, with each node's component so far, and only those whose nodes lie in several components are looked at: a node
     meets the first and the `back` before it, which is all there is to compare where back + 1 or fewer hold the variant.
     Of larger ones that still lie in several components, each node outside the commonest is compared with those of others; two
-    nodes that share many variants of a word meet in the first of them only.
+    nodes that share many variants of a word meet in the first of them only. Where a quarter of a variant's nodes or
+    more were near one that they met, and the commonest component holds several, dense may take over: it gets spots (node, root, main, the commonest), the components and the links so far, and
+    returns the components with all links between a spot outside its main and others of that main.
     """
     col, w = F.col, Window.partitionBy("key")
     words = words.withColumn("own", col("fp"))
@@ -102,37 +104,43 @@ def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column]
     apart = lambda t: (col(t) != col("node")) & near(col(t), col("node"))
 
     def met(rows: DataFrame) -> DataFrame:
-        both = F.struct("node", "own")
+        both = F.struct("node", "own", "root")
         return rows.withColumn("least", F.min(both).over(w)).withColumns({f"back{i}": F.lag(both, i).over(w.orderBy("node")) for i in range(1, back + 1)})
 
+    def ends(rows: DataFrame, *by: str) -> DataFrame:
+        """node and t, the least and the greatest of the array ts in each group of by."""
+        most = rows.groupBy(*by).agg(F.min(F.array_min("ts")).alias("x"), F.max(F.array_max("ts")).alias("y")).where("x IS NOT NULL")
+        return most.select("node", F.explode(F.array("x", "y")).alias("t"))
+
     def near_ones(when: Callable[[str], Column]) -> Column:
-        """Of the ties of a row with met() the nodes that it is to be compared with."""
-        return F.array_compact(F.array(*[F.when(apart(f"{t}.node") & when(t), col(f"{t}.node")) for t in ties]))
+        """Of the ties of a row with met() the nodes of other components that it is to be compared with."""
+        return F.array_compact(F.array(*[F.when((col(f"{t}.root") != col("root")) & apart(f"{t}.node") & when(t), col(f"{t}.node")) for t in ties]))
 
     pair = lambda df, t: df.select(F.least("node", t).alias("a"), F.greatest("node", t).alias("b"))
-    first = met(segments(words, bits, False)).select("node", (col("key") % 1024).alias("place"), F.explode(near_ones(lambda t: F.lit(True))).alias("t"))
-    first = first.groupBy("node", "place").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
-    known = cut(components(confirm(pair(first, "t").distinct())))
+    first = met(segments(words.withColumn("root", col("node")), bits, False)).select("node", (col("key") % 1024).alias("place"), near_ones(lambda t: F.lit(True)).alias("ts"))
+    links = cut(confirm(pair(ends(first, "node", "place"), "t").distinct()))
+    known = cut(components(links))
 
     placed = words.hint("merge").join(known.hint("merge"), "node", "left").select("word", "fp", "node", F.coalesce("root", "node").alias("root"), "own")
     open_ones = segments(placed, bits, True).withColumns({"k": F.count("*").over(w), "lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo <> hi").select("key", "node", "root", "own", "k")
     # Where few hold a variant all are compared, but two nodes only in the first variant that they share.
     new = lambda t: once(col("own"), col(f"{t}.own"), bits)
     few, many = col("k") <= back + 1, col("k") > back + 1
-    held = met(open_ones).select("key", "node", "own", "k", near_ones(lambda t: many | new(t)).alias("ts"))
+    held = met(open_ones).select("key", "node", "own", "k", reduce(lambda x, y: x | y, [F.coalesce(apart(f"{t}.node"), F.lit(False)) for t in ties]).alias("tied"), near_ones(lambda t: many | new(t)).alias("ts"))
     held = stash(held.where(many | (F.size("ts") > 0)))
-    some = lambda which: held.where(which).select("node", F.explode("ts").alias("t"))
-    wide = some(many).groupBy("node").agg(F.min("t").alias("x"), F.max("t").alias("y")).select("node", F.explode(F.array("x", "y")).alias("t"))
-    more = confirm(pair(some(few), "t").union(pair(wide, "t")).distinct())
+    some = held.where(few).select("node", F.explode("ts").alias("t"))
+    more = cut(confirm(pair(some, "t").union(pair(ends(held.where(many), "node"), "t")).distinct()))
     known = cut(components(known.select(col("node").alias("a"), col("root").alias("b")).union(more)))
 
-    marked = held.where(col("k") > back + 1).select("key", "node", "own").hint("merge").join(known.hint("merge"), "node", "left").select("key", "node", "own", F.coalesce("root", "node").alias("root"))
-    marked = stash(marked)
-    most = marked.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    most = cut(most.where("roots > 1").select("key", col("main.root").alias("main")))
-    if most.isEmpty():
+    marked = held.where(many).select("key", "node", "own", "k", "tied").hint("merge").join(known.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marked = marked.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "ties": F.count_if("tied").over(w)}).where("lo <> hi")
+    marked = marked.withColumn("n", F.count("*").over(Window.partitionBy("key", "root"))).withColumn("main", F.max(F.struct("n", "root")).over(w))
+    mixed = stash(marked.select("key", "node", "own", "root", col("main.root").alias("main"), ((col("main.n") > 1) & (4 * col("ties") >= col("k"))).alias("dense")))
+    if mixed.isEmpty():
         return known
-    mixed = stash(marked.hint("merge").join(most.hint("merge"), "key"))
+    if dense is not None:
+        known = dense(cut(mixed.where("dense").select("node", "root", "main").distinct()), known, links.union(more))
+        mixed = mixed.where("NOT dense").drop("root").hint("merge").join(known.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = mixed.where("root <> main").select("key", col("node").alias("t"), col("root").alias("other"), col("own").alias("t_own"))
     last = mixed.hint("merge").join(rest.hint("merge"), "key").where((col("root") != col("other")) & once(col("own"), col("t_own"), bits) & apart("t"))
     last = cut(confirm(pair(last, "t").distinct()))
@@ -140,6 +148,61 @@ def linked(words: DataFrame, bits: int, near: Callable[[Column, Column], Column]
     return known if last.isEmpty() else components(known.select(col("node").alias("a"), col("root").alias("b")).union(last))
 
 
+def through_hubs(spots: DataFrame, known: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame], whole: Callable[[DataFrame], DataFrame], bounds: DataFrame, tenths: int, salts: int = 16) -> DataFrame:
+    """Columns node, root: the components known joined by all links of a similarity of tenths / 10 or more between a node outside
+    a main component and any other node, where both are spots (node, root, main) of that main.
+
+    Each node outside is first compared with four hubs of the main, the nodes with most links so far. For those that stay
+    outside, an order of shingles that puts the rare ones first gives a prefix: two sets of na and nb shingles that are alike
+    share at least c = tenths * (na + nb) / (10 + tenths), so one that they share stands in both among the first na - c + 1 and
+    nb - c + 1. A set that is not alike with a hub has more shingles that the hub lacks than that, if the other is not smaller
+    than the hub, so a node outside mostly meets only those with which it shares something that sets both apart from the main. No
+    link is lost. whole gives node, n and set of the nodes in the column node; bounds has node and BOUNDS.
+    """
+    col = F.col
+    seen = links.select(col("a").alias("node")).union(links.select(col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    best = seen.hint("merge").join(known.hint("merge"), "node").groupBy(col("root").alias("main"), F.pmod(F.xxhash64("node"), F.lit(4)).alias("part")).agg(F.max(F.struct("links", "node")).alias("best"))
+    mains = spots.select("main").distinct()
+    hubs = cut(mains.hint("merge").join(best.hint("merge"), "main", "left").select("main", F.coalesce("best.node", "main").alias("hub"), F.coalesce("best.links", F.lit(0)).alias("links")))
+    tried = spots.where("root <> main").select("node", "main").join(few_or_merge(hubs.select("main", "hub")), "main").where("node <> hub")
+    new = cut(confirm(tried.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()))
+    known = cut(components(known.select(col("node").alias("a"), col("root").alias("b")).union(new)))
+
+    hub = cut(hubs.groupBy("main").agg(F.max(F.struct("links", "hub")).alias("hub")).select("main", col("hub.hub").alias("hub")))
+    roots = known.select("node", col("root").alias("now"))
+    held = hub.hint("merge").join(roots.select(col("node").alias("main"), col("now").alias("home")).hint("merge"), "main", "left").select("main", "hub", F.coalesce("home", "main").alias("home"))
+    at = spots.select("node", "main").hint("merge").join(roots.hint("merge"), "node", "left").select("node", "main", F.coalesce("now", "node").alias("root"))
+    at = stash(at.join(few_or_merge(cut(held)), "main").withColumn("out", col("root") != col("home")))
+    busy = cut(at.where("out").select("main").distinct())
+    if busy.isEmpty():
+        return known
+    at = stash(at.join(few_or_merge(busy), "main", "left_semi"))
+    sets = whole(at.select("node").distinct())
+    # How common shingles are among the nodes of a main is learned from at most 16 of them; any order loses nothing.
+    some = at.groupBy("main", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(16)).alias("part")).agg(F.min("node").alias("node")).select("main", "node")
+    common = some.hint("merge").join(sets.hint("merge"), "node").select("main", F.explode("set").alias("shingle")).groupBy("main", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = common.groupBy("main").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    common = cut(common.select("main", F.transform("common", lambda x: x["shingle"]).alias("common")))
+    sets = sets.hint("merge").join(bounds.hint("merge"), "node")
+    # The nodes of one main are parted over several tasks, each with this list.
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    mine = at.hint("merge").join(sets.hint("merge"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    both = mine.hint("merge").join(salted.hint("merge"), ["main", "salt"], "left")
+    common = F.coalesce("common", F.array().cast("array<bigint>"))
+    order = F.concat(F.array_sort(F.array_except("set", common)), F.array_intersect(common, "set"))
+    firsts = F.slice(order, 1, F.floor(col("n") * (10 - tenths) / 10).cast("int") + 1)
+    rows = both.select("node", "root", "main", "out", "n", *BOUNDS, F.posexplode(firsts).alias("rank", "shingle"))
+    # The size of the largest set that may still be alike with one of n shingles, if the first that both hold has this rank (from 0).
+    rows = rows.withColumn("most", F.floor((10 + tenths) * (col("n") - col("rank")) / tenths).cast("long") - col("n"))
+    least = cut(at.select("node", "main").hint("merge").join(sets.select("node", "n").hint("merge"), "node").groupBy("main").agg(F.min("n").alias("least")))
+    rows = stash(rows.join(few_or_merge(least), "main").where("most >= least").drop("least"))
+    a = rows.where("out").select("main", "shingle", col("node").alias("a"), col("root").alias("a_root"), col("n").alias("an"), col("most").alias("a_most"), *[col(p).alias(f"a_{p}") for p in BOUNDS])
+    b = rows.select("main", "shingle", col("node").alias("b"), col("root").alias("b_root"), col("n").alias("bn"), col("most").alias("b_most"), "out", *[col(p).alias(f"b_{p}") for p in BOUNDS])
+    met = a.hint("merge").join(b.hint("merge"), ["main", "shingle"]).where((col("a_root") != col("b_root")) & (col("bn") <= col("a_most")) & (col("an") <= col("b_most")) & (~col("out") | (col("a") < col("b"))) & may_be_alike("a", "b", tenths))
+    last = cut(alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets.select("node", "n", "set"), tenths))
+    return known if last.isEmpty() else cut(components(known.select(col("node").alias("a"), col("root").alias("b")).union(last)))
+
+
 def classes(fps: DataFrame, bits: int = 4) -> DataFrame:
     """Columns fp, root for the fingerprints linked to another at `bits` or fewer differing bits: exact, with no cap."""
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits
@@ -210,8 +273,28 @@ def set_words(hashes, count: int):
     return out
 
 
+#: Columns of a set that bound what it can share with another: its size, and 256 bits that each of its hashes flips one of.
+BOUNDS = ["size", "p0", "p1", "p2", "p3"]
+
+
+def parity(hashes):
+    """256 bits as four longs, of which each hash flips the one that its own lowest bits name."""
+    import numpy as np
+
+    return np.packbits((np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_be_alike(a: str, b: str, tenths: int) -> Column:
+    """Whether BOUNDS, prefixed a and b, allow a Jaccard similarity of tenths / 10: where bits differ hashes do, and sets that are
+    alike differ in few. True for all that are alike."""
+    c = lambda side, name: F.col(f"{side}_{name}")
+    total = c(a, "size") + c(b, "size")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(c(a, p).bitwiseXOR(c(b, p))) for p in BOUNDS[1:]])
+    return (10 * F.least(c(a, "size"), c(b, "size")) >= tenths * F.greatest(c(a, "size"), c(b, "size"))) & ((10 + tenths) * differ <= (10 - tenths) * total)
+
+
 def marked_sets(docs: DataFrame, keys: list[str], text_col: str, size: int, count: int) -> DataFrame:
-    """The key columns, set_hash of the text's set of shingles, and f0, f1, ..., the SimHash words of this set."""
+    """The key columns, set_hash of the text's set of shingles, f0, f1, ..., the SimHash words of this set, and BOUNDS."""
     names = [f"f{k}" for k in range(count)]
 
     def each(batches):
@@ -223,9 +306,11 @@ def marked_sets(docs: DataFrame, keys: list[str], text_col: str, size: int, coun
             sets = [shingles(t, size) for t in b.column(len(keys)).to_pylist()]
             whole = np.array([xxh(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             words = np.array([set_words(x, count) for x in sets], np.uint64).reshape(-1, count).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(whole), *[pa.array(words[:, k].copy()) for k in range(count)]], names=[*keys, "set_hash", *names])
+            bounds = np.array([[len(x), *parity(x)] for x in sets], np.int64).reshape(-1, len(BOUNDS))
+            columns = [*[words[:, k] for k in range(count)], *[bounds[:, k] for k in range(len(BOUNDS))]]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(whole), *[pa.array(c.copy()) for c in columns]], names=[*keys, "set_hash", *names, *BOUNDS])
 
-    schema = T.StructType([*[T.StructField(k, docs.schema[k].dataType) for k in keys], *[T.StructField(k, T.LongType()) for k in ("set_hash", *names)]])
+    schema = T.StructType([*[T.StructField(k, docs.schema[k].dataType) for k in keys], *[T.StructField(k, T.LongType()) for k in ("set_hash", *names, *BOUNDS)]])
     return docs.select(*keys, F.col(text_col).cast("binary").alias("_lw_text")).mapInArrow(each, schema)
 
 
@@ -260,19 +345,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Near-duplicates are texts whose sets of shingles of `size` words have a Jaccard similarity of tenths / 10 or more.
     Candidates come from `count` SimHash words of the set, each indexed by deletion variants as for classes(): a pair is one
-    if some segment of some word differs in at most one bit. Candidates that also differ in under a quarter of all bits are
-    then compared on their whole sets, so no pair below the similarity is linked. At 0.8 a bit differs with probability
+    if some segment of some word differs in at most one bit. Candidates that also differ in under a quarter of all bits,
+    and whose BOUNDS do not exclude the similarity, are then compared on their whole sets, so no pair below the similarity is linked. At 0.8 a bit differs with probability
     0.151, and 6 words find a link with probability 0.94 (0.99 at 0.85, over 0.999 at 0.9); copies of one set are always found.
     Null and blank texts are alike. Of rows repeating both id and text one stays. Columns stay as they were; an empty
     table gives none.
     """
     keyed = docs.withColumn("_lw_hash", F.xxhash64(text_col))
     names = [f"f{k}" for k in range(count + 1)]
-    rows = cut(marked_sets(keyed, [id_col, "_lw_hash"], text_col, size, count + 1).groupBy(id_col, "_lw_hash", "set_hash", *names).agg(F.count("*").alias("n")))
+    rows = cut(marked_sets(keyed, [id_col, "_lw_hash"], text_col, size, count + 1).groupBy(id_col, "_lw_hash", "set_hash", *names, *BOUNDS).agg(F.count("*").alias("n")))
     me = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_lw_hash").alias("h"), "n")
     # A set's name is its number and, behind that, 28 bits of the word that is not indexed: most chance meetings show there.
     sign = F.col(names[-1]).bitwiseAND(F.lit((1 << 28) - 1))
-    sets = global_index(rows.groupBy("set_hash", *names).agg(F.min(me).alias("rep")), ["set_hash", *names], "number")
+    sets = global_index(rows.groupBy("set_hash", *names, *BOUNDS).agg(F.min(me).alias("rep")), ["set_hash", *names, *BOUNDS], "number")
     sets = cut(sets.withColumn("node", F.shiftleft("number", 28) + sign).drop("number"))
     words = reduce(DataFrame.union, [sets.select("node", F.lit(k).alias("word"), F.col(f"f{k}").alias("fp")) for k in range(count)])
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 28) - 1))) <= 9
@@ -291,14 +376,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return reduce(DataFrame.union, made)
 
     def confirm(pairs):
-        fp = lambda side: sets.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}_{f}") for f in names])
+        fp = lambda side: sets.select(F.col("node").alias(side), *[F.col(f).alias(f"{side}_{f}") for f in names + BOUNDS])
         both = pairs.hint("merge").join(fp("a").hint("merge"), "a").hint("merge").join(fp("b").hint("merge"), "b")
         apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in names])
-        close = stash(both.where(4 * apart < BITS * len(names)).select("a", "b"))
+        close = stash(both.where((4 * apart < BITS * len(names)) & may_be_alike("a", "b", tenths)).select("a", "b"))
         return alike(close, shingled(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), tenths)
 
     repeated = not sets.where("rep.n > 1").isEmpty()
-    root = cut(linked(words, 4, near, confirm))
+    root = cut(linked(words, 4, near, confirm, dense=lambda spots, known, links: through_hubs(spots, known, links, confirm, shingled, sets.select("node", *BOUNDS), tenths)))
     grouped = sets.hint("merge").join(root.hint("merge"), "node", "left").select("set_hash", "rep", F.coalesce("root", "node").alias("root"))
     first = cut(grouped.groupBy("root").agg(F.min("rep").alias("first")))
     named = cut(grouped.hint("merge").join(first.hint("merge"), "root").select("set_hash", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")))
