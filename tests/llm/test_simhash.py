@@ -160,3 +160,53 @@ def test_stage_against_all_pairs_of_the_smallest_table(spark, small):
     want = {i for i, _ in rows if find(i) == i}
     got = {r.doc_id for r in simhash.keep_first(docs).collect()}
     assert want <= got and len(got - want) <= 1 and len(got) < len(rows)
+
+
+def family(rng, size=60, n=90):
+    """Sets around one base: each swaps some of its hashes for others, and some repeat another one's swaps with few more."""
+    base = [rng.getrandbits(63) for _ in range(size)]
+    out = []
+    for i in range(n):
+        own = set(base) if i % 3 or not out else set(rng.choice(out))
+        for h in rng.sample(sorted(own), rng.randrange(0, 3) if i % 3 == 0 else rng.randrange(0, 18)):
+            own.discard(h)
+            own.add(rng.getrandbits(63))
+        out.append(frozenset(own))
+    return list(dict.fromkeys(out))
+
+
+def alike_sets(a, b):
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def test_bounds_allow_all_that_are_alike(spark):
+    sets = family(random.Random(5))
+    bounds = [(len(s), *map(int, simhash.parity(np.array(sorted(s), np.uint64)))) for s in sets]
+    rows = [(i, j, *bounds[i], *bounds[j]) for i in range(len(sets)) for j in range(i)]
+    names = ["i", "j", *[f"{side}_{c}" for side in "ab" for c in simhash.BOUNDS]]
+    got = {(r.i, r.j) for r in spark.createDataFrame(rows, names).where(simhash.may_be_alike("a", "b", 8)).collect()}
+    links = {(i, j) for i, j in ((r[0], r[1]) for r in rows) if alike_sets(sets[i], sets[j])}
+    assert links and links <= got and len(got) < len(rows) / 2
+
+
+@pytest.mark.parametrize("start", [[], [(0, 1)]])
+def test_hubs_and_prefixes_lose_no_link(spark, start):
+    sets = family(random.Random(11))
+    held = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(sets)], "node long, n int, set array<bigint>")
+    bounds = spark.createDataFrame([(i, len(s), *map(int, simhash.parity(np.array(sorted(s), np.uint64)))) for i, s in enumerate(sets)], ["node", *simhash.BOUNDS])
+    links = spark.createDataFrame(start, "a long, b long")
+    known = components(links)
+    spots = spark.createDataFrame([(i, 0 if i == 1 and start else i, 0) for i in range(len(sets))], "node long, root long, main long")
+    got = simhash.through_hubs(spots, known, links, lambda pairs: simhash.alike(pairs, held, 8), lambda nodes: held.join(nodes, "node"), bounds, 8)
+    root = {i: i for i in range(len(sets))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in [*start, *[(i, j) for i in root for j in range(i) if alike_sets(sets[i], sets[j])]]:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    assert {r.node: r.root for r in got.collect()} == {i: find(i) for i in root if sum(find(j) == find(i) for j in root) > 1}
+    assert len({find(i) for i in root}) > 5
