@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.sources.io import shared_folder
 
@@ -185,11 +186,6 @@ def best_match(targets: DataFrame, cands: DataFrame, target_id: str, cand_id: st
     return full.withColumn("r", F.row_number().over(Window.partitionBy(*who).orderBy(F.desc("overlap"), cand_id))).where("r = 1").drop("r")
 
 
-def text_grams(text: str, q: int) -> Column:
-    """The distinct substrings of q characters."""
-    return F.array_distinct(each_gram(F.col(text), q, F.length(text) - q + 1))
-
-
 def each_gram(text: Column, q: int, count: Column) -> Column:
     """The first `count` substrings of q characters. The characters are bound to a lambda's variable, as they would else be cut anew
     for every one of them."""
@@ -197,53 +193,115 @@ def each_gram(text: Column, q: int, count: Column) -> Column:
     return F.element_at(F.transform(signs, lambda s: F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(s, i, F.lit(q)), ""))), 1)
 
 
-def holding(needles: DataFrame, hays: DataFrame, block: list[str], per: str, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
+def windows(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Of the windows of s characters of `text`, for each s in `sizes`, the places that stand for them: columns keep, s, h, at, start.
+
+    A window of s >= 4 is s // 2 + 1 grams of about half its length, and stands at the first of those with the least hash h; at is
+    that place and start the first window that stands there. Neighbours mostly stand at the same place, so there is about one in
+    s / 4 characters, and a text that holds a window has its place among its own. A shorter window is a gram itself, and of each
+    gram one place is given.
+    """
+    schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(c, t) for c, t in (("s", T.IntegerType()), ("h", T.LongType()), ("at", T.IntegerType()), ("start", T.IntegerType()))]])
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def table(b, rows):
+            i = np.concatenate([np.full(len(r[2]), r[0]) for r in rows])
+            s = np.concatenate([np.full(len(r[2]), r[1], "int32") for r in rows])
+            rest = [np.concatenate([r[k] for r in rows]) for k in (2, 3, 4)]
+            return pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(i)) for c in keep], *map(pa.array, (s, *rest))], names=schema.names)
+
+        for b in batches:
+            rows, n = [], 0
+            for i, (text, sizes) in enumerate(zip(b.column("text").to_pylist(), b.column("sizes").to_pylist(), strict=True)):
+                signs = np.frombuffer(text.encode("utf-32-le"), "<u4").astype("uint64")
+                for s in sizes:
+                    if len(signs) >= s:
+                        rows.append((i, s, *window_places(signs, s)))
+                        n += len(rows[-1][2])
+                if n > 200_000:
+                    yield table(b, rows)
+                    rows, n = [], 0
+            if rows:
+                yield table(b, rows)
+
+    return df.select(*keep, "text", "sizes").mapInArrow(each, schema)
+
+
+def window_places(signs, s: int):
+    """h, at and start as windows() says, of one text's code points."""
+    import numpy as np
+
+    q = s if s < 4 else s // 2
+    w, n = s - q + 1, len(signs) - q + 1
+    h = np.zeros(n, "uint64")
+    for j in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + signs[j : j + n]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    if w == 1:
+        at = start = np.unique(h, return_index=True)[1]
+    else:
+        at, start = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(1) + np.arange(n - w + 1), return_index=True)
+    return h[at].view("int64"), at.astype("int32"), start.astype("int32")
+
+
+def holding(needles: DataFrame, hays: DataFrame, block: list[str], per: str, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 24, 32)) -> DataFrame:
     """block, text and first: which texts of the same block hold which, by exact substring.
 
     Both sides have block, text, pos. Per 'needle': every needle that some hay holds, with the least pos of those hays; per
     'hay': every hay that holds some needle, with the least pos of those needles. Copies within a block count once.
 
-    A needle is sought by grams of the largest of `sizes` that is no longer than itself. One of just that size is a gram, and the
-    table of grams answers it. For a longer one all its grams must be held somewhere in the block, or it is held nowhere; the rarest
-    of them leads to the hays that are then read. No needle meets a hay that lacks that gram.
+    A needle is sought by windows of the largest of `sizes` that is no longer than itself, and windows by the places that stand for
+    them (windows()). All places of a needle must stand in the block's hays, or it is held nowhere; the rarest leads to the hays with
+    that window. A needle of just that size is then found; a longer one is sought in those hays' texts. No needle meets a
+    hay that lacks the window, and texts are joined by number, so no place carries one.
     """
-    by, least = [*block, "text"], F.min("pos").alias("pos")
-    n, h = (df.where(F.col("text").isNotNull()).groupBy(*by).agg(least).withColumn("len", F.length("text")) for df in (needles, hays))
-    n = _cut(n.withColumn("q", F.array_max(F.array(*[F.when(F.col("len") >= q, q).otherwise(0) for q in sizes]))))
-    used = sorted(r.q for r in n.select("q").distinct().collect() if r.q)  # as many as there are sizes, at most
-    here = (lambda df, x: df.where(F.col("len") == 0).groupBy(*block).agg(F.min("pos").alias("first")).hint("merge").join(x.select(*by).hint("merge"), block))
+    by, place = [*block, "text"], [*block, "s", "h"]
+    n, h = (df.where(F.col("text").isNotNull()).groupBy(*by).agg(F.min("pos").alias("pos")).withColumns({"len": F.length("text"), "no": F.monotonically_increasing_id()}) for df in (needles, hays))
+    h = _cut(h)
+    # A needle longer than every hay of its block is held nowhere.
+    most = h.groupBy(*block).agg(F.max("len").alias("most"))
+    n = n.hint("merge").join(most.hint("merge"), block).where("len <= most").drop("most")
+    n = _cut(n.withColumn("s", F.array_max(F.array(*[F.when(F.col("len") >= q, q).otherwise(0) for q in sizes]))))
     # An empty needle is held by every text of its block.
     if per == "needle":
-        found = [h.groupBy(*block).agg(F.min("pos").alias("first")).hint("merge").join(n.where("len = 0").select(*by).hint("merge"), block).select(*by, "first")]
+        found = h.groupBy(*block).agg(F.min("pos").alias("first")).hint("merge").join(n.where("len = 0").select(*by).hint("merge"), block).select(*by, "first")
+    else:
+        found = n.where("len = 0").select(*block, F.col("pos").alias("first")).hint("merge").join(h.select(*by).hint("merge"), block).select(*by, "first")
+    sought = n.where("s > 0")
+    used = sought.groupBy(*block).agg(F.collect_set("s").alias("sizes"))  # as many as there are sizes, at most
+    held = windows(h.hint("merge").join(used.hint("merge"), block), [*block, "no"]).select(*place, F.col("no").alias("hay"), "at")
+    asked = _cut(windows(sought.withColumn("sizes", F.array("s")), [*block, "no"]))
+    held = _cut(held.hint("merge").join(asked.select(*place).distinct().hint("merge"), place, "left_semi"))
+    df = held.groupBy(*place).agg(F.count("*").alias("df"))
+    lead = asked.hint("merge").join(df.hint("merge"), place, "left").groupBy("no").agg(F.min(F.struct("df", "h", "at", "start")).alias("lead"), F.count_if(F.col("df").isNull()).alias("absent")).where("absent = 0")
+    lead = _cut(lead.hint("merge").join(sought.hint("merge"), "no").select(*place[:-1], "lead.h", (F.col("lead.at") - F.col("lead.start")).alias("back"), "no", "text", "pos", "len", F.substring("text", F.col("lead.start") + 1, F.col("s")).alias("gram")))
+
+    def leading(leads: DataFrame) -> DataFrame:
+        """The windows of hays that stand where the leads' windows do."""
+        at = held.hint("merge").join(leads.select(*place, "back").distinct().hint("merge"), place).select("hay", "s", (F.col("at") - F.col("back")).alias("start")).where("start >= 0").distinct()
+        hay = h.select(F.col("no").alias("hay"), *block, F.col("text").alias("hay_text"), F.col("pos").alias("hay_pos"), F.col("len").alias("hay_len"))
+        return at.hint("merge").join(hay.hint("merge"), "hay").where("start + s <= hay_len").withColumn("gram", F.substring("hay_text", F.col("start") + 1, F.col("s")))
+
+    whole, longer = lead.where("len = s"), lead.where("len > s")
+    if per == "needle":
+        first = leading(whole).groupBy(*block, "gram").agg(F.min("hay_pos").alias("first"))
+        found = found.unionByName(whole.select(*by).hint("merge").join(first.withColumnRenamed("gram", "text").hint("merge"), by).select(*by, "first"))
     else:
-        found = [here(n, h).select(*by, "first")]
-    if used:
-        # Grams of all sizes stand in one table, as a gram's own length tells its size.
-        none = F.array().cast("array<string>")
-        of_size = [F.when(F.col("len") >= q, text_grams("text", q)).otherwise(none) for q in used]
-        held = h.where(F.col("len") >= used[0]).select(*block, F.col("text").alias("hay"), F.col("pos").alias("hay_pos"), F.explode(F.flatten(F.array(*of_size))).alias("gram"))
-        index = _cut(held.groupBy(*block, "gram").agg(F.count("*").alias("df"), F.min("hay_pos").alias("hay_pos")))
-        is_gram = n.where(F.col("len") == F.col("q")).where("q > 0").withColumnRenamed("text", "gram")
-        if per == "needle":
-            found.append(is_gram.hint("merge").join(index.hint("merge"), [*block, "gram"]).select(*block, F.col("gram").alias("text"), F.col("hay_pos").alias("first")))
-        else:
-            found.append(held.hint("merge").join(is_gram.select(*block, "gram", "pos").hint("merge"), [*block, "gram"]).select(*block, F.col("hay").alias("text"), F.col("pos").alias("first")))
-        longer = n.where((F.col("len") > F.col("q")) & (F.col("q") > 0))
-        own = F.flatten(F.array(*[F.when(F.col("q") == q, text_grams("text", q)).otherwise(none) for q in used]))
-        parts = longer.select(*by, "pos", F.explode(own).alias("gram")).hint("merge").join(index.select(*block, "gram", "df").hint("merge"), [*block, "gram"], "left")
-        lead = parts.groupBy(*by).agg(F.min("pos").alias("pos"), F.min(F.struct("df", "gram")).alias("lead"), F.count_if(F.col("df").isNull()).alias("absent")).where("absent = 0").select(*by, "pos", "lead.gram")
-        both = lead.hint("merge").join(held.hint("merge"), [*block, "gram"]).where(F.contains("hay", "text"))
-        found.append(both.select(*by, F.col("hay_pos").alias("first")) if per == "needle" else both.select(*block, F.col("hay").alias("text"), F.col("pos").alias("first")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy(*by).agg(F.min("first").alias("first"))
+        found = found.unionByName(leading(whole).hint("merge").join(whole.select(*block, "gram", "pos").hint("merge"), [*block, "gram"]).select(*block, F.col("hay_text").alias("text"), F.col("pos").alias("first")))
+    pairs = leading(longer).select(*block, "gram", "hay").distinct().hint("merge").join(longer.select(*block, "gram", "text", "pos").hint("merge"), [*block, "gram"]).select("hay", "text", "pos")
+    both = pairs.hint("merge").join(h.select(F.col("no").alias("hay"), *block, F.col("text").alias("hay_text"), F.col("pos").alias("hay_pos")).hint("merge"), "hay").where(F.contains("hay_text", "text"))
+    found = found.unionByName(both.select(*by, F.col("hay_pos").alias("first")) if per == "needle" else both.select(*block, F.col("hay_text").alias("text"), F.col("pos").alias("first")))
+    return found.groupBy(*by).agg(F.min("first").alias("first"))
 
 
 def locate_turn(wanted: DataFrame, turns: DataFrame, conv: str, key: str, text: str, pos: str) -> DataFrame:
     """Position of each wanted text: the first turn of its conversation with the same text, else the first where one text contains the other.
 
-    Containment is a substring join by rare grams (holding()), in both directions, of the texts that have no equal turn.
+    Containment is a substring join by rare windows (holding()), in both directions, of the texts that have no equal turn.
     """
     t = turns.select(conv, F.col(pos).alias("pos"), F.col(text).alias("text"))
     want = wanted.select(conv, key, F.col(text).alias("text"))
@@ -290,8 +348,8 @@ def label_unique(rows: DataFrame, sample: str, label: str) -> DataFrame:
 def target_in_store(items: DataFrame, entries: DataFrame, run: str, item: str, needle_len: int = 24) -> DataFrame:
     """Whether an entry of the item's run holds the first characters of the expected text, and the first entry that does.
 
-    The needle itself is the gram by which entries are indexed, so a run's items never meet its entries; shorter needles
-    are sought by the grams of holding().
+    The needle itself is a window by which entries are indexed, so a run's items never meet its entries; shorter needles
+    are sought by the smaller windows of holding().
     """
     needle = F.substring(F.lower(F.trim("expected_text")), 1, needle_len)
     asked = items.select(run, item, needle.alias("text"))

@@ -113,6 +113,27 @@ def test_targets_in_a_store(spark):
 
 
 
+def test_few_places_stand_for_the_windows_of_a_text(spark):
+    """Far fewer rows than characters are dealt out, and none of them with a text; any part of a text has its places among the text's own."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh é😀") for _ in range(3000)) for _ in range(20)]
+    rows = [(i, t, [24]) for i, t in enumerate(texts)] + [(100 + i, t[(k := rng.randrange(2000)) : k + 24 + i], [24]) for i, t in enumerate(texts)]
+    got = matching.windows(spark.createDataFrame(rows, "no int, text string, sizes array<int>"), ["no"])
+    assert got.columns == ["no", "s", "h", "at", "start"]
+    held = {}
+    for r in got.collect():
+        held.setdefault(r.no, set()).add(r.h)
+    assert sum(len(held[i]) for i in range(20)) < 20 * 3000 / 5 and all(held[100 + i] and held[100 + i] <= held[i] for i in range(20))
+
+
+def test_holding_where_needles_share_their_beginnings(spark):
+    start = "please do remember that I "
+    needles = [(1, start + f"like number {i}", i) for i in range(300)]
+    hays = [(1, f"{i} well, " + start + f"like number {i} and no other, " + start, 1000 + i) for i in range(0, 600, 2)]
+    n, h = (spark.createDataFrame(x, "block int, text string, pos int") for x in (needles, hays))
+    want = {t: min(p for _, u, p in hays if t in u) for _, t, _ in needles if any(t in u for _, u, _ in hays)}
+    assert {r.text: r["first"] for r in matching.holding(n, h, ["block"], "needle").collect()} == want and len(want) > 150
+
 
 def test_vector_lists_find_what_the_exact_search_finds(spark, small):
     t = Tables(spark, small)
