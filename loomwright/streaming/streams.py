@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,6 +109,14 @@ class Renaming:
 
     def __init__(self, alias: dict[int, int], live: dict[int, tuple[float, int]]):
         self.alias, self.live = alias, live
+        self.numbers = [-entry for entry in live]  # a heap of all that live, and of some that do no more
+        heapq.heapify(self.numbers)
+
+    def fresh(self) -> int:
+        """The number behind the greatest living one."""
+        while self.numbers and -self.numbers[0] not in self.live:
+            heapq.heappop(self.numbers)
+        return 1 - self.numbers[0] if self.numbers else 0
 
     def take(self, action: str, number: int, value: float, seq: int) -> int | None:
         """The entry that the action has changed; None if there is none."""
@@ -119,8 +128,9 @@ class Renaming:
         elif action == "UPDATE" and known:
             self.live[entry] = (value, seq)
         elif action in ("ADD", "UPDATE"):
-            entry = number if action == "ADD" and number not in self.live else max(self.live, default=-1) + 1
+            entry = number if action == "ADD" and number not in self.live else self.fresh()
             self.live[entry] = (value, seq)
+            heapq.heappush(self.numbers, -entry)
             self.alias[number] = entry
         else:
             return None
@@ -136,29 +146,21 @@ class RenamingFold:
         self.run, self.mem, self.seq, self.value = run, mem, seq, value
 
     def init(self, handle) -> None:
-        self.live = handle.getMapState("live", "entry int", "value double, last_seq long")
-        self.alias = handle.getMapState("alias", f"{self.mem} int", "entry int")
-        self.last = handle.getValueState("last", "last_seq long")
+        # A run's state is one value, as every access to the store is a call to another process.
+        self.store = handle.getValueState("store", "last_seq long, entries array<int>, values array<double>, seqs array<long>, numbers array<int>, named array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else -1
+        last, *lists = self.store.get() or (-1, *[[]] * 5)
         new = pd.concat([c[c[self.seq] > last] for c in rows]).sort_values(self.seq).drop_duplicates(self.seq)
         if new.empty:
             return
-        alias, live = {k[0]: v[0] for k, v in self.alias.iterator()}, {k[0]: (v[0], v[1]) for k, v in self.live.iterator()}
-        before = dict(alias)
+        entries, values, seqs, numbers, named = lists
+        live, alias = dict(zip(entries, zip(values, seqs, strict=True), strict=True)), dict(zip(numbers, named, strict=True))
         store, changed = Renaming(alias, live), {}
         for action, number, value, seq in zip(new["action"], new[self.mem], new[self.value], new[self.seq], strict=True):
             if (entry := store.take(action, int(number), float(value), int(seq))) is not None:
                 changed[entry] = (float(value), int(seq))
-        for entry in changed:
-            self.live.updateValue((entry,), live[entry]) if entry in live else self.live.removeKey((entry,))
-        for number in before.keys() | alias.keys():
-            if number not in alias:
-                self.alias.removeKey((number,))
-            elif before.get(number) != alias[number]:
-                self.alias.updateValue((number,), (alias[number],))
-        self.last.update((int(new[self.seq].iloc[-1]),))
+        self.store.update((int(new[self.seq].iloc[-1]), list(live), [v for v, _ in live.values()], [n for _, n in live.values()], list(alias), list(alias.values())))
         yield pd.DataFrame([(key[0], e, *v, e in live) for e, v in changed.items()], columns=[self.run, "entry", "value", "last_seq", "live"])
 
     def close(self) -> None:

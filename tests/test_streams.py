@@ -1,6 +1,7 @@
 """Streams that are cut, restarted and dealt into batches in different ways."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -131,3 +132,26 @@ def test_restart_from_a_checkpoint_is_exactly_once(spark, small, tmp_path):
     run()
     again = spark.read.schema(stream().schema).parquet(f"{tmp_path}/c").select("event_id").collect()
     assert tried.count(2) == 2 and sorted(again) == sorted(uncut)
+
+
+def test_fresh_numbers_take_no_search_through_the_store():
+    """The greatest living number is not sought anew for each action; after deletions it falls as before."""
+    rng, live, alias, plain, names = random.Random(2), {}, {}, {}, {}
+    store = streams.Renaming(alias, live)
+    for seq in range(3000):
+        action, number = rng.choice(["ADD", "UPDATE", "DELETE", "ADD"]), rng.randrange(9)
+        entry = names.get(number, number)
+        if action == "DELETE" and entry in plain:
+            del plain[entry]
+            names.pop(number, None)
+        elif action == "UPDATE" and entry in plain:
+            plain[entry] = seq
+        elif action != "DELETE":
+            entry = number if action == "ADD" and number not in plain else max(plain, default=-1) + 1
+            plain[entry], names[number] = seq, entry
+        store.take(action, number, 0.0, seq)
+        assert {e: s for e, (_, s) in live.items()} == plain and alias == names
+    began, store = time.process_time(), streams.Renaming({}, {})
+    for seq in range(60_000):
+        store.take("ADD", 0, 0.0, seq)
+    assert len(store.live) == 60_000 and time.process_time() - began < 5
