@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,18 +120,77 @@ def future_conflicts(cands: DataFrame, later: DataFrame, edges: DataFrame, conv:
 
     Both sides have id, stage_order, and the lists values, context and tokens; edges has child and parent ids. Kinds: 'value' and
     'context' for a shared entry, compared without case and outer space; 'lineage' where the later record descends from the
-    candidate at any distance; 'goal' where token sets overlap as token_pairs() says. Each pair once for a kind.
+    candidate at any distance; 'goal' where token sets overlap as similar_goals() says. Each pair once for a kind.
+
+    Every kind reads both sides, so give tables that are cheap to read, such as stored() ones.
     """
     norm = lambda c: F.lower(F.trim(F.col(c).cast("string")))
     each = lambda df, c: df.select(conv, "id", "stage_order", F.explode(c).alias("x")).withColumn("x", norm("x")).where("x <> ''")
-    shared = [shared_value_conflicts(each(cands, c), each(later, c), conv, "x", kind) for c, kind in (("values", "value"), ("context", "context"))]
+    value, context = (shared_value_conflicts(each(cands, c), each(later, c), conv, "x", kind) for c, kind in (("values", "value"), ("context", "context")))
+    lineage, goal = later_descendants(cands, later, edges, conv), similar_goals(cands, later, conv)
+    return value.unionByName(context).unionByName(lineage.withColumn("kind", F.lit("lineage"))).unionByName(goal.withColumn("kind", F.lit("goal")))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read back: smaller than a checkpoint where rows hold lists of words."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def later_descendants(cands: DataFrame, later: DataFrame, edges: DataFrame, conv: str) -> DataFrame:
+    """Pairs of a candidate and a record of a later stage of its conversation that descends from it at any distance: conv, cand_id, later_id.
+
+    A child has one parent, as in descendants(). A node is one row all along: the candidates among the ancestors passed so far, and
+    the ancestor that it has come to, whose own row doubles the distance. Rounds end when no node leads on. On cycles they
+    all do; once a round has ended no node, only those on or below cycles are left, which have passed all of it
+    when the distance is their number.
+    """
+    up = edges.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("child"))).groupBy("child").agg(F.max("parent").alias("to"))
+    asked = cands.select(F.col("id").alias("to"), F.lit(True).alias("asked")).distinct()
+    nodes = up.hint("merge").join(asked.hint("merge"), "to", "left").select("child", "to", F.when(F.col("asked"), F.array("to")).otherwise(F.array().cast(T.ArrayType(up.schema["to"].dataType))).alias("above"))
+    nodes = _cut(nodes)
+    on, reach = nodes.count(), 1
+    while on:
+        step = nodes.select(F.col("child").alias("to"), F.col("to").alias("further"), F.col("above").alias("more"))
+        moved = nodes.where("to IS NOT NULL").hint("merge").join(step.hint("merge"), "to", "left").select("child", F.col("further").alias("to"), F.when(F.size("more") > 0, F.array_union("above", "more")).otherwise(F.col("above")).alias("above"))
+        nodes = _cut(nodes.where("to IS NULL").unionByName(moved))
+        still, reach = nodes.where("to IS NOT NULL").count(), 2 * reach
+        if still == on and reach >= on:
+            break
+        on = still
+    records = later.select(conv, F.col("id").alias("later_id"), F.col("stage_order").alias("later_stage"))
+    pairs = nodes.where(F.size("above") > 0).withColumnRenamed("child", "later_id").hint("merge").join(records.hint("merge"), "later_id").select(conv, "later_id", "later_stage", F.explode("above").alias("cand_id")).where("cand_id <> later_id")
     a = cands.select(conv, F.col("id").alias("cand_id"), F.col("stage_order").alias("cand_stage"))
-    b = later.select(conv, F.col("id").alias("later_id"), F.col("stage_order").alias("later_stage"))
-    both = lambda pairs, kind: pairs.hint("merge").join(a.hint("merge"), "cand_id").hint("merge").join(b.hint("merge"), [conv, "later_id"]).where("later_stage > cand_stage").select(conv, "cand_id", "later_id", F.lit(kind).alias("kind"))
-    down = descendants(edges, "child", "parent").select(F.col("ancestor").alias("cand_id"), F.col("descendant").alias("later_id"))
-    goals = token_pairs(cands.select(conv, "id", "tokens").unionByName(later.select(conv, "id", "tokens")).dropDuplicates([conv, "id"]), conv, "id", "tokens")
-    one, other = (goals.select(F.col(x).alias("cand_id"), F.col(y).alias("later_id")) for x, y in (("id", "other"), ("other", "id")))
-    return shared[0].unionByName(shared[1]).unionByName(both(down, "lineage")).unionByName(both(one.unionByName(other), "goal"))
+    return pairs.hint("merge").join(a.hint("merge"), [conv, "cand_id"]).where("later_stage > cand_stage").select(conv, "cand_id", "later_id")
+
+
+def similar_goals(cands: DataFrame, later: DataFrame, conv: str, least: int = 4, jaccard: float = 0.5, contained: float = 0.7, often: int = 200) -> DataFrame:
+    """Pairs of a candidate and a record of a later stage of its conversation whose token sets overlap as in token_pairs(): conv, cand_id, later_id.
+
+    Sets are put in one order within a conversation, its `often` most frequent tokens last, and as in token_pairs() a prefix of
+    each is exploded and joined; any order loses nothing. A prefix takes its set along, which is short, so a pair is checked where
+    it meets, and only at the first token that both share. Before lists are compared, 64 bits of each set bound the overlap: a
+    bit that one side lacks stands for a token that it lacks. Only candidates meet later records, so no pair is made that
+    another step drops for its order or stage.
+    """
+    sets = lambda df: df.select(conv, "id", F.col("stage_order").alias("stage"), F.array_distinct(F.array_compact("tokens")).alias("set")).where(F.size("set") >= least)
+    df = sets(later).select(conv, F.explode("set").alias("tok")).groupBy(conv, "tok").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc("df"), "tok"))
+    last = _cut(df.withColumn("place", place).where(F.col("place") <= often).groupBy(conv).agg(F.sort_array(F.collect_list(F.struct("place", "tok")), asc=False)["tok"].alias("last")))
+
+    def heads(df: DataFrame, who: str) -> DataFrame:
+        # array_except() and array_intersect() keep the order of their first list.
+        ordered = sets(df).hint("merge").join(last.hint("merge"), conv).withColumn("set", F.concat(F.array_sort(F.array_except("set", "last")), F.array_intersect("last", "set")))
+        bits = F.aggregate("set", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+        return ordered.withColumn("bits", bits).select(conv, F.explode(F.slice("set", F.lit(1), F.size("set") - (least - 1))).alias("tok"), *[F.col(c).alias(f"{who}_{c}") for c in ("id", "stage", "set", "bits")])
+
+    x, y, p, q = F.size("cand_set"), F.size("later_set"), F.col("cand_bits"), F.col("later_bits")
+    near = lambda n: (n >= least) & ((n / (x + y - n) >= jaccard) | (n / F.least(x, y) >= contained))
+    most = F.least(x - F.bit_count(p.bitwiseAND(F.bitwise_not(q))), y - F.bit_count(q.bitwiseAND(F.bitwise_not(p))))
+    # The shared tokens are bound to a lambda's variable, as they would else be sought anew for every use.
+    alike = F.exists(F.array(F.array_intersect("cand_set", "later_set")), lambda s: (s[0] == F.col("tok")) & near(F.size(s)))
+    return heads(cands, "cand").hint("merge").join(heads(later, "later").hint("merge"), [conv, "tok"]).where("later_stage > cand_stage").where(near(most)).where(alike).select(conv, "cand_id", "later_id")
 
 
 def token_pairs(rows: DataFrame, conv: str, key: str, tokens: str, least: int = 4, jaccard: float = 0.5, contained: float = 0.7) -> DataFrame:

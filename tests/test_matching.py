@@ -178,3 +178,62 @@ def test_tiles_keep_ties_by_key_and_leave_odd_vectors_out(spark):
     assert got == {i: [j for j in range(i % 3, 60, 3) if j != i][:4] for i in range(60)}
     assert {r.query_id: r.vec_id for r in similarity.closest_of(df, df, "vec_id", "embedding", []).collect()} == {i: j[0] for i, j in got.items()}
     assert similarity._nearest(df, df, "vec_id", "embedding", [], 4, 1000).count() == 4 * 60
+
+
+def conflicts_by_loops(cands, later, edges):
+    parent = {}
+    for child, up in edges:
+        if up is not None and up != child:
+            parent[child] = max(up, parent.get(child, up))
+
+    def above(node):
+        seen, at = [], parent.get(node)
+        while at is not None and at != node and at not in seen:
+            seen.append(at)
+            at = parent.get(at)
+        return seen
+
+    norm = lambda xs: {str(x).strip().lower() for x in xs if x is not None} - {""}
+    want = []
+    for conv, cand, stage, values, context, tokens in cands:
+        for conv_, rec, stage_, values_, context_, tokens_ in later:
+            if conv == conv_ and stage_ > stage:
+                a, b = ({x for x in t if x is not None} for t in (tokens, tokens_))
+                n = len(a & b)
+                found = {"value": norm(values) & norm(values_), "context": norm(context) & norm(context_), "lineage": cand in above(rec), "goal": n >= 4 and (n / len(a | b) >= 0.5 or n / min(len(a), len(b)) >= 0.7)}
+                want += [(conv, cand, rec, kind) for kind, is_so in found.items() if is_so]
+    return sorted(want)
+
+
+def test_future_conflicts_equal_loops(spark):
+    """Cycles, forks, ancestors in other conversations, several shared entries, missing tokens, and more frequent tokens than are put in order."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):
+        tokens = [None if x == 3 else f"t{int(x)}" for x in (rng.paretovariate(0.4) for _ in range(rng.randrange(0, 9)))] if i % 3 else [rng.choice([*"abcdef", None]) for _ in range(rng.randrange(0, 9))]
+        if i % 5 == 0:
+            tokens = [*"abc", None]
+        rows.append((i % 4, i, rng.randrange(4), [rng.choice([" A", "a", "b", "", None, *map(str, range(40))]) for _ in range(rng.randrange(3))], [rng.choice(["k1", "K1 ", "k2", *map(str, range(60))]) for _ in range(rng.randrange(3))], tokens))
+    # Most nodes hang below an earlier one; 20 to 39 lie on or below cycles, and some have two parents, none, or themselves.
+    edges = [(i, i - rng.choice([1, 2, 4, 4, 4, 4])) for i in range(240) if i >= 4 and i % 17] + [(i, i + 4) for i in range(20, 36, 4)] + [(36, 36), (40, None), (41, 33)]
+    cands, later = [r for r in rows if r[2] < 2], rows
+    schema = "conv long, id long, stage_order int, values array<string>, context array<string>, tokens array<string>"
+    a, b, e = (spark.createDataFrame(x, y) for x, y in ((cands, schema), (later, schema), (edges, "child long, parent long")))
+    want = conflicts_by_loops(cands, later, edges)
+    assert {w[3] for w in want} == {"value", "context", "lineage", "goal"}
+    assert sorted(map(tuple, matching.future_conflicts(a, b, e, "conv").select("conv", "cand_id", "later_id", "kind").collect())) == want
+    goals = sorted(w[:3] for w in want if w[3] == "goal")
+    assert sorted(map(tuple, matching.similar_goals(a, b, "conv", often=2).collect())) == goals
+
+
+def test_lineage_makes_a_row_for_a_record(spark, monkeypatch):
+    """A chain of 300 below one candidate has 44,850 pairs of ancestors; only those that end in a candidate are made."""
+    cut, made = matching._cut, []
+    monkeypatch.setattr(matching, "_cut", lambda df: (lambda out: (made.append(out.count()), out)[1])(cut(df)))
+    rows = [(0, i, int(i > 0), [], [], []) for i in range(300)]
+    schema = "conv long, id long, stage_order int, values array<string>, context array<string>, tokens array<string>"
+    later = spark.createDataFrame(rows, schema)
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 300)], "child long, parent long")
+    got = matching.future_conflicts(later.where("stage_order = 0"), later, edges, "conv").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, i, "lineage") for i in range(1, 300)]
+    assert max(made) <= 300
