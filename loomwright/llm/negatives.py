@@ -210,9 +210,10 @@ def hung(rows: DataFrame, tree: Tree, width: int) -> DataFrame:
     return out
 
 
-def visits(anchors: DataFrame, tree: Tree, width: int, home: bool) -> DataFrame:
-    """anchors (with v, least and most, scores that matter) times the leaves to visit: the own one with home, else every one that
-    the annulus of these scores may meet. A null bound is none."""
+def visits(anchors: DataFrame, tree: Tree, width: int, home: bool, most: int = 20_000) -> DataFrame:
+    """id of each of the anchors (with v, least and most, scores that matter) and the leaves to visit: the own one with home, else every one that
+    the annulus of these scores may meet. A null bound is none. A visit carries no vector, and at most `most` of them leave a task at once:
+    where ranges exclude little, an anchor visits every leaf."""
     share = anchors.sparkSession.sparkContext.broadcast(tree)
 
     def each(batches):
@@ -222,29 +223,31 @@ def visits(anchors: DataFrame, tree: Tree, width: int, home: bool) -> DataFrame:
         t = share.value
         bound = lambda c, none: np.array([none if x is None else float(x) for x in c.to_pylist()]) / t.scale / t.scale
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                x = whole(part.column("v"), width)[0]
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
+                x, ids = whole(part.column("v"), width)[0], part.column("id").to_numpy()
                 if home:
                     q, leaf = np.arange(len(x)), t.leaf_of(t.lifted(x))
                 else:
                     q, leaf = t.reached(t.lifted(x, query=True), bound(part.column("least"), -np.inf), bound(part.column("most"), np.inf))
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(q)).columns, pa.array(leaf)], names=[*part.schema.names, "leaf"])
+                for i in range(0, len(q), most):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q[i : i + most]]), pa.array(leaf[i : i + most])], names=["id", "leaf"])
 
-    return anchors.mapInArrow(each, with_leaf(anchors))
+    return anchors.select("id", "v", *([] if home else ["least", "most"])).mapInArrow(each, "id long, leaf int")
 
 
-def tiles(seen: DataFrame, rows: DataFrame, sizes: dict[int, int], tile: tuple[int, int]) -> DataFrame:
-    """Visits and the rows of their leaves in one table, dealt into tiles of at most about tile[0] visits and tile[1] rows: a leaf of
-    any size, or one that every anchor visits, is many tiles and no task holds more than one at a time."""
+def tiles(seen: DataFrame, asked: DataFrame, rows: DataFrame, sizes: dict[int, int], tile: tuple[int, int]) -> DataFrame:
+    """Visits, with the anchors asked that they name, and the rows of their leaves in one table, dealt into tiles of at most about tile[0] visits and
+    tile[1] rows: a leaf of any size, or one that every anchor visits, is many tiles and no task holds more than one at a time."""
     spark = rows.sparkSession
     counts = {r.leaf: r.n for r in seen.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     parts = [(k, math.ceil(n / tile[0]), max(1, math.ceil(sizes[k] / tile[1]))) for k, n in counts.items() if k in sizes]
     dealt = F.broadcast(spark.createDataFrame(parts, "leaf int, qs int, rs int"))  # a row for each leaf, at most
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    names = [c for c in seen.columns if c not in ("leaf", "v", "id", "label")]
-    a = seen.join(dealt, "leaf").select("leaf", F.pmod(F.xxhash64("id"), "qs").alias("qb"), upto("rs").alias("rb"), F.lit(True).alias("query"), "id", "label", "v", *names)
-    b = rows.join(dealt, "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(1)), "rs").alias("rb"), upto("qs").alias("qb"), F.lit(False).alias("query"), "id", "label", "v", *[F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in names])
+    names = [c for c in asked.columns if c not in ("v", "id", "label")]
+    place = seen.join(dealt, "leaf").select("id", "leaf", F.pmod(F.xxhash64("id"), "qs").alias("qb"), upto("rs").alias("rb"))
+    a = place.hint("merge").join(asked.hint("merge"), "id").select("leaf", "qb", "rb", F.lit(True).alias("query"), "id", "label", "v", *names)
+    b = rows.join(dealt, "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(1)), "rs").alias("rb"), upto("qs").alias("qb"), F.lit(False).alias("query"), "id", "label", "v", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in names])
     return a.unionByName(b)
 
 
@@ -316,8 +319,9 @@ def hard_negatives(
     none = F.lit(None).cast("long")
 
     def search(asked: DataFrame, home: bool, k: int, kind: str, by: list[str]) -> DataFrame:
+        asked = stash(asked)
         seen = stash(visits(asked, tree, width, home))
-        return stash(best(scored(tiles(seen, rows, sizes, tile), width, k, kind), k, by))
+        return stash(best(scored(tiles(seen, asked, rows, sizes, tile), width, k, kind), k, by))
 
     # Positives: the own leaf says what the last of them scores at least.
     first = search(anchors.select("*", none.alias("least"), none.alias("most")), True, positives, "same", ["anchor_id"])
